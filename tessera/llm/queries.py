@@ -6,6 +6,9 @@ import importlib
 
 #: Module and function of each query.
 NAMES = {
+    "op1_warc": "warc",
+    "op2_license_scan": "license_scan",
+    "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
 }
 
