@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op1_warc": "warc",
     "op2_license_scan": "license_scan",
+    "op3_hyperminhash": "near_dedup",
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
 }
