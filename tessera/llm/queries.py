@@ -11,6 +11,11 @@ NAMES = {
     "op3_hyperminhash": "near_dedup",
     "op4_token_counts": "token_counts",
     "op5_exact_dedup": "exact_dedup",
+    "op6_decontaminate": "decontaminate",
+    "op7_suffix_dedup": "suffix_dedup",
+    "op8_mix_sources": "mixing",
+    "op9_secret_scan": "secret_scan",
+    "op10_language_id": "language_id",
 }
 
 

@@ -75,9 +75,9 @@ def slices(column: pa.Array, max_bytes: int = 1 << 21):
         row = end
 
 
-def running_total(df: DataFrame, group: str, order: str, value: str, out: str, part_rows: int = 1 << 16) -> DataFrame:
+def running_total(df: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), part_rows: int = 1 << 16) -> DataFrame:
     """df with out: the sum of value over the rows of the same group that come before, by the unsigned order of the
-    64-bit hash in column order (ties: by tie column doc_id are the caller's matter).
+    64-bit hash in column order and then of ties.
 
     A group may be any share of the rows: its hash range is cut into parts whose number follows the number of rows
     (two windows: one over the parts' sums, one inside each part), so no task holds a whole group.
@@ -92,5 +92,5 @@ def running_total(df: DataFrame, group: str, order: str, value: str, out: str, p
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     joined = cut.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
-    inside = W.partitionBy(group, "_part").orderBy(order, *[c for c in ("doc_id",) if c in df.columns]).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(group, "_part").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part", "_g", "_p", "_base")
