@@ -9,9 +9,11 @@ bucket-specific hashes of the whole set, so short texts have full sketches, too.
 2. 42 bands of 6 registers give band keys. Every node of a bucket is paired with the bucket's first node only, so a
    bucket of n nodes gives n - 1 pairs. Pairs pass a bound on set sizes and the collision-corrected Jaccard estimate of
    their registers, and are then confirmed on the full sets, recomputed from the whole texts.
-3. Confirmed links are joined into components. For each bucket that still holds more than one component, further
-   rounds take another first node, and a last pass compares, over those buckets only, nodes of different components.
-   No pair of one bucket that could join two components is left out, and no pairs are made inside a component.
+3. Confirmed links are joined into components. Nodes that share a bucket share its first node, so the nodes of a
+   first node are a group that holds all their candidate pairs. A group with more than one component is cut into
+   blocks of at most about 256 nodes, and every two of its blocks are compared in a task of their own, which computes
+   the intersections of all full sets as products of 0/1 matrices and gives back only links between components. No
+   candidate that could join two components is left out, and no table of pairs is made.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^6)^42 = 2e-9; at 0.8, 3e-6.
 
@@ -38,7 +40,8 @@ MANTISSA = 10
 BANDS, BAND_SIZE = 42, 6
 #: Standard errors of the estimate that a true pair may fall below the threshold.
 SLACK = 5.0
-STAR_ROUNDS = 2
+#: Nodes of a group that are compared with as many others in one task.
+BLOCK = 256
 
 _rng = np.random.default_rng(7)
 SEEDS = _rng.integers(1, 2**63, BUCKETS, dtype=np.uint64)
@@ -192,6 +195,42 @@ def confirmed(size: int, percent: int):
     return run
 
 
+def compared(size: int, percent: int):
+    """The links between nodes of different labels in two blocks of a group, by their full sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, label, part = (group.column(k).to_numpy() for k in ("node", "label", "part"))
+        keys, rows, at = [], [], 0
+        for _, buf, off in slices(group.column("text")):
+            key, row = shingle_sets(buf, off, size)
+            keys.append(key)
+            rows.append(row + at)
+            at += len(off) - 1
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        n = np.bincount(row, minlength=len(node))
+        _, column, times = np.unique(key, return_inverse=True, return_counts=True)
+        some = times[column] > 1
+        _, column = np.unique(column[some], return_inverse=True)
+        row = row[some]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        shared = np.zeros((len(node), len(node)), np.float32)
+        width = max(1, (1 << 23) // max(1, len(node)))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [low, low + width])
+            has = np.zeros((len(node), width), np.float32)
+            has[row[a:b], column[a:b] - low] = 1
+            shared += has @ has.T
+        shared = shared.astype(np.int64)
+        linked = (100 * shared >= percent * (n[:, None] + n[None] - shared)) & (label[:, None] != label[None]) & (node[:, None] < node[None])
+        if len(np.unique(part)) > 1:  # pairs inside a block are compared in that block's own group
+            linked &= part[:, None] != part[None]
+        a, b = np.nonzero(linked)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, links) of every row of docs.
 
@@ -212,39 +251,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.select("node").distinct()
     texts = rows.join(members.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     texts = materialise(texts, "near-texts")
-    tested = None
-    links = None
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left, right = (own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}")) for s in "ab")
-        sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        near = sized.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(estimated(percent / 100), "a long, b long").distinct()
-        x, y = (texts.select(F.col("node").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab")
-        return near.join(x, "a").join(y, "b").select("a", "b", "t_a", "t_b").mapInArrow(confirmed(shingle, percent), "a long, b long").distinct()
-
-    open_buckets = buckets
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        if turn == 0:
-            pairs = open_buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            labelled = open_buckets.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).where("_low < _high")
-            open_buckets = materialise(labelled.join(mixed.select("band", "hub"), "band"), "near-open")
-            if open_buckets.isEmpty():
-                break
-            if turn < STAR_ROUNDS:
-                across = open_buckets.where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-            else:
-                x = open_buckets.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
-                y = open_buckets.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-                across = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b")
-            pairs = across.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(confirm(pairs), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "a", "b")
+    first_pairs = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    left, right = (own.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}")) for s in "ab")
+    sized = first_pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = sized.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(estimated(percent / 100), "a long, b long").distinct()
+    x, y = (texts.select(F.col("node").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab")
+    stars = near.join(x, "a").join(y, "b").select("a", "b", "t_a", "t_b").mapInArrow(confirmed(shingle, percent), "a long, b long").distinct()
+    stars = materialise(stars, "near-stars")
+    labels = connected_components(stars, "a", "b")
+
+    grouped = buckets.select("first", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grouped = materialise(grouped, "near-groups")
+    mixed = grouped.groupBy("first").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
+    parts = F.ceil(F.col("_n") / BLOCK).cast("long")
+    blocks = grouped.join(mixed, "first").withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "_parts"))
+    blocks = blocks.join(texts, "node").select("first", "node", "label", "text", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("other"))
+    blocks = blocks.select("first", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "text")
+    across = blocks.groupBy("first", "low", "high").applyInArrow(compared(shingle, percent), "a long, b long").distinct()
+    links = stars.unionByName(materialise(across, "near-across"))
+    labels = connected_components(links, "a", "b")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     ends = nodes.join(labels, "node", "left").join(degree, "node", "left").select(*key, F.coalesce("label", "node").alias("_label"), F.coalesce("links", F.lit(0)).alias("_links"))
