@@ -3,6 +3,7 @@
 A byte goes if a string of `least` (50) bytes that covers it also starts in a document with a smaller id. Spark ranks
 positions by the string that starts there and lengthens it, and a position whose rank has become unique is dropped:
 
+* Whole texts. A document that equals one with a smaller id goes as a whole and is not ranked any further.
 * 16 bytes. Every string of 50 bytes is represented by the least 16-byte string in it (least by a hash, then leftmost),
   its anchor: two equal strings have the same anchor at the same place. Only anchors are ranked, about one in twenty
   positions, and those of one document only are dropped. Neighbouring positions with one anchor form a run.
@@ -129,7 +130,11 @@ def pair_key(name: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def run_rows(least: int):
-    """(anchor, whole, left, right, doc, start, size): the runs whose anchors are listed for their document."""
+    """(anchor, whole, sides, doc, place): the runs whose anchors are listed for their document.
+
+    sides holds 32 bits of the name to the left of the anchor and 32 of that to the right (they only prune); place is
+    the run's start times 4096, and the anchor's place in it times 64, and its size: both are below 64.
+    """
     side = (least - ANCHOR) // 2
 
     def run(batches):
@@ -156,7 +161,9 @@ def run_rows(least: int):
                 low = r.place - side
                 left = np.where(low >= off[r.row], wide[np.maximum(low, 0)], lonely(1))
                 right = np.where(r.place + ANCHOR + side <= off[r.row + 1], wide[r.place], lonely(2))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (r.name, whole, left, right)), ids.take(pa.array(at + r.row)), pa.array((r.start - off[r.row])), pa.array(r.size)], ["anchor", "whole", "left", "right", "doc", "start", "size"])
+                sides = (left >> U(32) << U(32)) | (right >> U(32))
+                place = (r.start - off[r.row]) * 4096 + (r.place - r.start) * 64 + r.size
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (r.name, whole, sides)), ids.take(pa.array(at + r.row)), pa.array(place)], ["anchor", "whole", "sides", "doc", "place"])
 
     return run
 
@@ -175,8 +182,9 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def position_rows(least: int):
-    """(anchor, name, doc, start, size): a row for each position of the open runs; a row for each interval that is already
-    decided, with size > 0 and a name of its own."""
+    """(anchor, name, doc, start, size): a row for each position of the open runs that an extension allows; a row for each
+    interval that is already decided, with size > 0 and a name of its own."""
+    side = (least - ANCHOR) // 2
 
     def run(batches):
         for batch in batches:
@@ -184,18 +192,21 @@ def position_rows(least: int):
             for at, buf, off in slices(texts):
                 n = len(off) - 1
                 value, row = flat(listed, at, n)
-                start, size, anchor = (value.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                is_open = value.field(3).to_numpy(zero_copy_only=False).astype(bool)
                 if not len(row):
                     continue
-                inside = start + size + least - 1 <= np.diff(off)[row]
-                is_open, decided = is_open & inside, ~is_open
+                place, anchor, state = (value.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                start, inner, size = place >> 12, (place >> 6) & 63, place & 63
+                fits = start + size + least - 1 <= np.diff(off)[row]
+                decided, is_open = state == 0, (state > 0) & fits
                 r, a, b = merged(row[decided], start[decided], (start + size + least - 1)[decided])
                 out = [(pair_key(a.astype(np.uint64), r).view(np.int64), np.zeros(len(r), np.int64), r, a, b - a)]
                 if is_open.any():
-                    r, a, s, h = row[is_open], start[is_open], size[is_open], anchor[is_open]
+                    r, a, s, h, m, c = (x[is_open] for x in (row, start, size, anchor, inner, state))
                     of = np.repeat(np.arange(len(r)), s)
-                    where = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s) + a[of]
+                    step = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s)
+                    before = m[of] - step  # bytes of the string that lie before the anchor
+                    some = ((before >= side) & (c[of] & 1 > 0)) | ((before <= least - ANCHOR - side) & (c[of] & 2 > 0))
+                    of, where = of[some], (step + a[of])[some]
                     out.append((h[of], names(buf, least)[off[r[of]] + where].view(np.int64), r[of], where, np.zeros(len(of), np.int64)))
                 anchor, name, r, a, s = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), ids.take(pa.array(at + r)), pa.array(a), pa.array(s)], ["anchor", "name", "doc", "start", "size"])
@@ -231,32 +242,44 @@ def cut_rows(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(np.diff(off)), pa.array(removed), pa.array(spans), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed_intervals(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc, start, size): intervals of bytes to remove, in no order and perhaps overlapping; docs has doc and text."""
-    known = docs.where("doc IS NOT NULL")
+def removed_intervals(known: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc, start, size): intervals of bytes to remove, in no order and perhaps overlapping; known has doc and text."""
+    if not ANCHOR < least < ANCHOR + 63:
+        raise ValueError("places are packed for strings of 17 to 78 bytes")
+    digests = known.where(F.octet_length("text") >= least).select("doc", F.sha2("text", 256).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high")
+    copies = digests.join(firsts, "digest").where("doc > _low").select("doc").distinct()
     of_anchor = W.partitionBy("anchor")
-    ranked = known.mapInArrow(anchors(least), "anchor long, doc long")
+    ranked = known.join(copies, "doc", "left_anti").mapInArrow(anchors(least), "anchor long, doc long")
     shared = ranked.withColumns({"_low": F.min("doc").over(of_anchor), "_high": F.max("doc").over(of_anchor)}).where("_low < _high")
     lists = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    runs = docs.join(lists, "doc").select("doc", "text", "anchors").mapInArrow(run_rows(least), "anchor long, whole long, left long, right long, doc long, start long, size long")
-    first = {"_whole": F.min("doc").over(W.partitionBy("anchor", "whole")), "_anchor": F.min("doc").over(of_anchor)}
-    runs = runs.withColumns(first).withColumn("_open", (F.col("doc") == F.col("_whole")) & (F.col("doc") > F.col("_anchor")))
-    runs = runs.withColumn("_any", F.max("_open").over(of_anchor)).where("doc > _whole OR _any")
-    for side in ("left", "right"):
+    runs = known.join(lists, "doc").select("doc", "text", "anchors").mapInArrow(run_rows(least), "anchor long, whole long, sides long, doc long, place long")
+    runs = runs.withColumns({"_whole": F.min("doc").over(W.partitionBy("anchor", "whole")), "_anchor": F.min("doc").over(of_anchor)})
+    first = F.col("doc") == F.col("_whole")
+    runs = runs.withColumn("_any", F.max(first & (F.col("doc") > F.col("_anchor"))).over(of_anchor)).where("doc > _whole OR _any")
+    runs = runs.withColumns({"left": F.shiftright("sides", 32), "right": F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))})
+    state = F.lit(0)
+    for bit, side in ((1, "left"), (2, "right")):
         same = W.partitionBy("anchor", side)
-        runs = runs.withColumn(f"_{side}", F.min("doc").over(same) < F.max("doc").over(same))
-    runs = runs.withColumn("open", F.col("doc") == F.col("_whole")).where("NOT open OR _left OR _right")
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "anchor", "open")).alias("runs"))
-    last = docs.join(lists, "doc").select("doc", "text", "runs").mapInArrow(position_rows(least), "anchor long, name long, doc long, start long, size long")
+        mine = F.when(first, F.col("doc"))
+        runs = runs.withColumn(f"_{side}", F.coalesce(F.min(mine).over(same) < F.max(mine).over(same), F.lit(False)).cast("int") * bit)
+        state = state + F.col(f"_{side}")
+    runs = runs.withColumn("state", F.when(first, state).otherwise(0)).where("doc > _whole OR state > 0")
+    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("place", "anchor", "state")).alias("runs"))
+    last = known.join(lists, "doc").select("doc", "text", "runs").mapInArrow(position_rows(least), "anchor long, name long, doc long, start long, size long")
     last = last.withColumn("_low", F.min("doc").over(W.partitionBy("anchor", "name")))
-    return last.where("size > 0 OR doc > _low").select("doc", "start", F.when(F.col("size") > 0, F.col("size")).otherwise(least).alias("size"))
+    cut = last.where("size > 0 OR doc > _low").select("doc", "start", F.when(F.col("size") > 0, F.col("size")).otherwise(least).alias("size"))
+    return cut.unionByName(copies.select("doc", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("size")))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = removed_intervals(rows, least).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
-    return rows.join(cuts, "doc", "left").select("doc", "text", "cuts").mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    known = rows.where("doc IS NOT NULL")  # every join of texts has the same exchange of these rows
+    cuts = removed_intervals(known, least).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
+    nameless = rows.where("doc IS NULL").select("doc", "text", F.lit(None).cast("array<struct<start:bigint,size:bigint>>").alias("cuts"))
+    every = known.join(cuts, "doc", "left").select("doc", "text", "cuts").unionByName(nameless)
+    return every.mapInArrow(cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
