@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ranked_metrics(hits: DataFrame, gold: DataFrame, k: int, places: int = 6) -> DataFrame:
-    """(query_id, recall, precision, mrr, ndcg) of hits (query_id, id, rank) against gold (query_id, id)."""
-    relevant = gold.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = hits.join(gold, ["query_id", "id"]).groupBy("query_id").agg(
+def ranked_metrics(hits: DataFrame, totals: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(query_id, recall, precision, mrr, ndcg) of hits (query_id, rank, relevant); totals (query_id, n) has the number of
+    relevant ids of each query, so the judgements themselves are not expanded."""
+    found = hits.where("relevant").groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias("hit"), F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), places)
-    return relevant.join(found, "query_id", "left").select(
+    return totals.where("n > 0").join(found, "query_id", "left").select(
         "query_id", r(F.col("hit") / F.col("n")).alias("recall"), r(F.col("hit") / F.lit(k)).alias("precision"),
         r(1 / F.col("first")).alias("mrr"), r(F.col("dcg") / ideal).alias("ndcg"),
     )

@@ -97,8 +97,8 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float
                 continue
             rows = lambda at: np.asarray(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)  # noqa: E731, B023
             a, b = rows(qs), rows(ps)
-            unit = lambda m: np.divide(m, s, out=np.zeros_like(m), where=(s := np.sqrt((m * m).sum(1, keepdims=True))) > 0)
-            sims = np.round(unit(a) @ unit(b).T, places)
+            norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
+            sims = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), places)
             keep = min(k, len(ps))
             for i, row in zip(qs, sims, strict=True):
                 best = np.lexsort((key[ps], -row))[:keep]
