@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import documents, search
+
 
 def queries() -> dict:
-    return {}
+    return {**search.QUERIES, **documents.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**search.ORACLE, **documents.ORACLE}
