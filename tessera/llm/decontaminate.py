@@ -3,8 +3,9 @@
 1. The items' word n-grams are counted over all documents. A bitmap of fixed size (2 MB, whatever the benchmark's size)
    of their hashes lets a scan pass over the n-grams of the documents that cannot be an item's; what passes is joined
    with the n-grams themselves, so false positives of the bitmap cost rows and not results.
-2. The rarest half of each item's n-grams are its seeds. Rarity is a rank inside the item, so an item that has leaked
-   into many documents keeps seeds.
+2. An item's seeds are its n-grams that are rare on their own: an occurrence counts against an n-gram only if the
+   neighbouring n-grams of the text are no item's, so copies of an item, however many, don't make its n-grams common.
+   Rare is a count of at most 3 and 1/10,000 of the documents, or to be of the item's rarest half.
 3. A second scan cuts, around the seeds that it meets, passages of the items' length to either side, and only those
    passages are shuffled. Each (passage, item) that shares a seed is aligned at word level by Smith-Waterman with
    linear gaps; a pair is a leak if the best local score is at least a share of the score of a full copy.
@@ -28,8 +29,8 @@ from tessera.llm.shared import materialise, slices, table
 from tessera.llm.wordscan import U, ngrams, word_hashes
 
 SEED = 3
-#: Share of an item's n-grams, the rarest, that are its seeds.
-RARE = 0.5
+#: An n-gram is rare with so many lone occurrences, and so large a share of the documents; and so is an item's rarest half.
+LONE, LONE_SHARE, RARE = 3, 1e-4, 0.5
 #: Share of a full copy's score that makes a leak.
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -78,17 +79,23 @@ def item_words(items: DataFrame, size: int) -> DataFrame:
     return items.mapInArrow(run, schema)
 
 
-def count_grams(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """(gram, docs): in how many rows each n-gram that the bitmap lets through occurs."""
+def lone_counts(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
+    """(gram, docs): in how many rows each n-gram that the bitmap lets through stands without such neighbours.
+
+    A row with gram null has the number of all rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            for _, _, _, _, key, row, _ in scanned(batch.column(1), size):
-                hit = marked(shared.value, key)
-                pairs = np.unique(np.stack([key[hit], row[hit].astype(np.uint64)], 1), axis=0) if hit.any() else np.zeros((0, 2), np.uint64)
-                grams, n = np.unique(pairs[:, 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "docs"])
+            for _, n, _, _, key, row, first in scanned(batch.column(1), size):
+                hit = np.flatnonzero(marked(shared.value, key))
+                hit = hit[np.lexsort((first[hit], row[hit]))]
+                near = (row[hit][1:] == row[hit][:-1]) & (first[hit][1:] == first[hit][:-1] + 1)
+                lone = hit[~(np.append(near, False) | np.append(False, near))] if len(hit) else hit
+                pairs = np.unique(np.stack([key[lone], row[lone].astype(np.uint64)], 1), axis=0)
+                grams, count = np.unique(pairs[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([*grams.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(count, n))], ["gram", "docs"])
 
     return docs.mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
 
@@ -156,10 +163,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
     known = materialise(item_words(items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(item_text_col).alias("text")), size), "items").where("size(words) > 0")
     grams = known.select("item_id", F.explode("grams").alias("gram")).distinct()
-    counts = count_grams(rows, bitmap(grams, "gram"), size)
+    counts = materialise(lone_counts(rows, bitmap(grams, "gram"), size), "lone")
+    total = counts.where("gram IS NULL").agg(F.max("docs")).first()[0] or 0
     ranked = grams.join(counts, "gram", "left").select("item_id", "gram", F.coalesce("docs", F.lit(0)).alias("docs"))
     whole = W.partitionBy("item_id")
-    seeds = ranked.withColumns({"at": F.row_number().over(whole.orderBy("docs", "gram")), "of": F.count("*").over(whole)}).where(F.col("at") <= F.ceil(F.col("of") * rare)).select("item_id", "gram")
+    ranked = ranked.withColumns({"at": F.row_number().over(whole.orderBy("docs", "gram")), "of": F.count("*").over(whole)})
+    seeds = ranked.where((F.col("docs") <= LONE + LONE_SHARE * total) | (F.col("at") <= F.ceil(F.col("of") * rare))).select("item_id", "gram")
     seeds = materialise(seeds, "seeds")
     reach = known.agg(F.max(F.size("words"))).first()[0] or 1
     found = materialise(passages(rows, bitmap(seeds, "gram"), size, int(reach * 1.25) + size).withColumn("passage", F.monotonically_increasing_id()), "passages")
