@@ -20,12 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, status): `ok`, `empty`, `not_pdf` or `encrypted` for each file, by its bytes."""
+    """(path, length, status): `ok`, `not_pdf` or `encrypted` for each file, by its bytes; Spark's scan leaves empty files out."""
     files = spark.read.format("binaryFile").load(path)
     body = F.decode(F.col("content"), "ISO-8859-1")
     status = (
-        F.when(F.col("length") == 0, "empty")
-        .when(~F.substring(body, 1, 1024).contains("%PDF-"), "not_pdf")
+        F.when(~F.substring(body, 1, 1024).contains("%PDF-"), "not_pdf")
         .when(body.contains("/Encrypt") & (body.contains("/Standard") | body.contains("/V ") | body.contains("/CF")), "encrypted")
         .otherwise("ok")
     )
