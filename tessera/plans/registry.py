@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, search
+from tessera.plans import documents, pipeline, search
 
 
 def queries() -> dict:
-    return {**search.QUERIES, **documents.QUERIES}
+    return {**search.QUERIES, **documents.QUERIES, **pipeline.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**search.ORACLE, **documents.ORACLE}
+    return {**search.ORACLE, **documents.ORACLE, **pipeline.ORACLE}

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Intents of gold queries.
+INTENTS = ["single_fact", "concept", "procedural", "comparison", "entity", "abstention", "heading"]
+_CORPUS = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("corpus_fingerprint", T.StringType()), T.StructField("chunk_count", T.LongType())])
 GOLD_SET = T.StructType([
-    T.StructField("version", T.StringType()),
+    T.StructField("schema_version", T.StringType()), T.StructField("corpus", _CORPUS), T.StructField("documents", T.ArrayType(_CORPUS)),
     T.StructField("queries", T.ArrayType(T.StructType([
-        T.StructField("id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("intent", T.StringType()),
-        T.StructField("relevant_chunk_ids", T.ArrayType(T.StringType())), T.StructField("expect_no_evidence", T.BooleanType()),
+        T.StructField("id", T.StringType()), T.StructField("intent", T.StringType()), T.StructField("query", T.StringType()),
+        T.StructField("expected_chunk_ids", T.ArrayType(T.StringType())), T.StructField("expected_sections", T.ArrayType(T.StringType())),
+        T.StructField("expected_no_evidence", T.BooleanType()),
     ]))),
 ])
 
@@ -32,21 +36,23 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold_set(spark: SparkSession, path: str) -> DataFrame:
-    """(version, id, query, intent, relevant_chunk_ids, expect_no_evidence) of a JSON gold set."""
-    return spark.read.schema(GOLD_SET).json(path, multiLine=True).select("version", F.inline("queries"))
+    """(schema_version, id, intent, query, expected_chunk_ids, expected_sections, expected_no_evidence) of a JSON gold set."""
+    return spark.read.schema(GOLD_SET).json(path, multiLine=True).select("schema_version", F.inline("queries"))
 
 
 def gold_set_violations(gold: DataFrame) -> DataFrame:
-    """(id, problem): repeated or empty ids, empty queries, and queries that have or lack relevant chunks wrongly."""
+    """(id, problem): repeated or empty ids, unknown intents, empty queries, and expected chunks that are there or lacking
+    wrongly."""
     from pyspark.sql import Window as W
 
-    n = F.size(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")))
+    n = F.size(F.coalesce("expected_chunk_ids", F.array().cast("array<string>")))
+    none = F.coalesce("expected_no_evidence", F.lit(False))
     checked = gold.withColumn("_n", F.count("*").over(W.partitionBy("id")))
     problems = F.array_compact(F.array(
         F.when(F.coalesce("id", F.lit("")) == "", F.lit("empty id")), F.when(F.col("_n") > 1, F.lit("repeated id")),
+        F.when(~F.coalesce("intent", F.lit("")).isin(*INTENTS), F.lit("unknown intent")),
         F.when(F.trim(F.coalesce("query", F.lit(""))) == "", F.lit("empty query")),
-        F.when(F.coalesce("expect_no_evidence", F.lit(False)) & (n > 0), F.lit("relevant chunks of an abstention query")),
-        F.when(~F.coalesce("expect_no_evidence", F.lit(False)) & (n == 0), F.lit("no relevant chunks")),
+        F.when(none & (n > 0), F.lit("chunks expected of an abstention query")), F.when(~none & (n == 0), F.lit("no chunks expected")),
     ))
     return checked.select("id", F.explode(problems).alias("problem"))
 
@@ -59,8 +65,8 @@ def write_result(df: DataFrame, path: str) -> None:
 def pages_from_layout(raw: DataFrame) -> DataFrame:
     """(document_id, page_number, markdown) from a JSON layout: number falls back on place, markdown on text, and a
     document without pages is one page."""
-    page = "array<struct<number:int,markdown:string,text:string>>"
+    page = "array<struct<page_number:int,markdown:string,text:string>>"
     parsed = raw.withColumn("_pages", F.from_json(F.get_json_object("json_layout", "$.pages"), page))
-    parsed = parsed.withColumn("_pages", F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(F.array(F.struct(F.lit(1).alias("number"), F.col("markdown"), F.lit(None).cast("string").alias("text")))))
+    parsed = parsed.withColumn("_pages", F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(F.array(F.struct(F.lit(1).alias("page_number"), F.col("markdown"), F.lit(None).cast("string").alias("text")))))
     exploded = parsed.select("document_id", F.posexplode("_pages").alias("_at", "p"))
-    return exploded.select("document_id", F.coalesce("p.number", F.col("_at") + 1).alias("page_number"), F.coalesce("p.markdown", "p.text", F.lit("")).alias("markdown"))
+    return exploded.select("document_id", F.coalesce("p.page_number", F.col("_at") + 1).alias("page_number"), F.coalesce("p.markdown", "p.text", F.lit("")).alias("markdown"))

@@ -182,10 +182,10 @@ def test_sources(spark, tmp_path):
     for name, data in {"a": b"%PDF-1.7 x", "c": b"no", "d": b"%PDF-1.4 /Encrypt /Standard"}.items():
         (tmp_path / name).write_bytes(data)
     assert {r.path[-1]: r.status for r in T.pdf_files(spark, str(tmp_path)).collect()} == {"a": "ok", "c": "not_pdf", "d": "encrypted"}
-    raw = spark.createDataFrame([(1, '{"pages": [{"text": "t"}, {"number": 7, "markdown": "m"}]}', "all"), (2, "{}", "whole")], "document_id long, json_layout string, markdown string")
+    raw = spark.createDataFrame([(1, '{"pages": [{"text": "t"}, {"page_number": 7, "markdown": "m"}]}', "all"), (2, "{}", "whole")], "document_id long, json_layout string, markdown string")
     assert sorted(map(tuple, T.pages_from_layout(raw).collect())) == [(1, 1, "t"), (1, 7, "m"), (2, 1, "whole")]
     (tmp_path / "g").mkdir()
-    (tmp_path / "g" / "gold.json").write_text('{"version": "1", "queries": [{"id": "q", "query": "x", "relevant_chunk_ids": ["c"]}, {"id": "q", "query": " ", "expect_no_evidence": true}]}')
+    (tmp_path / "g" / "gold.json").write_text('{"schema_version": "1", "queries": [{"id": "q", "intent": "concept", "query": "x", "expected_chunk_ids": ["c"]}, {"id": "q", "intent": "abstention", "query": " ", "expected_no_evidence": true}]}')
     gold = T.gold_set(spark, str(tmp_path / "g"))
     assert sorted(r.problem for r in T.gold_set_violations(gold).collect()) == ["empty query", "repeated id", "repeated id"]
     T.write_result(gold, str(tmp_path / "out"))
