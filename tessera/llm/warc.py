@@ -99,12 +99,12 @@ def page_records(page_id, url, digest, keep_id, payload: bytes | None, segment_b
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write a record per page to path; of equal payloads of least_bytes or more the largest id is the response."""
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    page = page.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.octet_length("payload"), "own": F.sha2("payload", 256)})
-    group = ["digest", "own", "n"]
+    page = page.withColumns({"n": F.octet_length("payload"), "own": F.sha2("payload", 256)})
+    group = ["own", "n"]
     keep = page.groupBy(*group).agg(F.max("page_id").alias("keep_id"))
     joined = page.join(keep, group)
     first = F.col("page_id").eqNullSafe(F.col("keep_id")) | (F.col("n") < least_bytes)
-    rows = joined.select("page_id", "url", "digest", "keep_id", F.when(first, F.col("payload")).alias("payload"))
+    rows = joined.select("page_id", "url", base32_sha1(F.col("payload")).alias("digest"), "keep_id", F.when(first, F.col("payload")).alias("payload"))
 
     def records(batches):
         for batch in batches:
