@@ -9,11 +9,11 @@ bucket-specific hashes of the whole set, so short texts have full sketches, too.
 2. 42 bands of 6 registers give band keys. Every node of a bucket is paired with the bucket's first node only, so a
    bucket of n nodes gives n - 1 pairs. Pairs pass a bound on set sizes and the collision-corrected Jaccard estimate of
    their registers, and are then confirmed on the full sets, recomputed from the whole texts.
-3. Confirmed links are joined into components. Nodes that share a bucket share its first node, so the nodes of a
-   first node are a group that holds all their candidate pairs. A group with more than one component is cut into
-   blocks of at most about 256 nodes, and every two of its blocks are compared in a task of their own, which computes
-   the intersections of all full sets as products of 0/1 matrices and gives back only links between components. No
-   candidate that could join two components is left out, and no table of pairs is made.
+3. Confirmed links are joined into components. Nodes that share a bucket share its first node, so the nodes that meet
+   any first node of a component are a group that holds all candidate pairs of those buckets. The group's nodes
+   outside the component are then compared with those inside and with each other, in blocks of about 256 nodes: a task
+   computes the intersections of all full sets of two blocks as products of 0/1 matrices and gives back only links
+   between components. No candidate that could join two components is left out, and no table of pairs is made.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^6)^42 = 2e-9; at 0.8, 3e-6.
 
@@ -223,7 +223,7 @@ def compared(size: int, percent: int):
             shared += has @ has.T
         shared = shared.astype(np.int64)
         linked = (100 * shared >= percent * (n[:, None] + n[None] - shared)) & (label[:, None] != label[None]) & (node[:, None] < node[None])
-        if len(np.unique(part)) > 1:  # pairs inside a block are compared in that block's own group
+        if group.column("low")[0] != group.column("high")[0]:  # pairs inside a block are not this group's
             linked &= part[:, None] != part[None]
         a, b = np.nonzero(linked)
         return pa.table({"a": node[a], "b": node[b]})
@@ -260,14 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialise(stars, "near-stars")
     labels = connected_components(stars, "a", "b")
 
-    grouped = buckets.select("first", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = materialise(grouped, "near-groups")
-    mixed = grouped.groupBy("first").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
-    parts = F.ceil(F.col("_n") / BLOCK).cast("long")
-    blocks = grouped.join(mixed, "first").withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "_parts"))
-    blocks = blocks.join(texts, "node").select("first", "node", "label", "text", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("other"))
-    blocks = blocks.select("first", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label", "text")
-    across = blocks.groupBy("first", "low", "high").applyInArrow(compared(shingle, percent), "a long, b long").distinct()
+    own_label = labels.withColumnRenamed("label", "_own")
+    hub_label = labels.select(F.col("node").alias("first"), F.col("label").alias("_hub"))
+    grouped = buckets.select("first", "node").join(own_label, "node", "left").join(hub_label, "first", "left")
+    grouped = grouped.select(F.coalesce("_hub", "first").alias("hub"), "node", F.coalesce("_own", "node").alias("label")).distinct()
+    grouped = materialise(grouped.withColumn("inside", F.col("hub") == F.col("label")), "near-groups")
+    count = lambda inside: F.ceil(F.sum(F.when(F.col("inside") == inside, 1).otherwise(0)) / BLOCK).cast("long")
+    open_groups = grouped.groupBy("hub").agg(count(True).alias("_in"), count(False).alias("_out")).where("_out > 0")
+    rows_of = grouped.join(open_groups, "hub").withColumn("_slot", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("_in")).otherwise(F.col("_out"))))
+    meet = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+    # blocks inside the hub's component have numbers below 0 and are compared with blocks outside only
+    with_out = F.transform(upto("_out"), lambda k: F.when(F.col("inside"), meet(-1 - F.col("_slot"), k)).otherwise(meet(F.least("_slot", k), F.greatest("_slot", k))))
+    with_in = F.when(F.col("inside"), F.array().cast("array<struct<low:bigint,high:bigint>>")).otherwise(F.transform(upto("_in"), lambda k: meet(-1 - k, F.col("_slot"))))
+    blocks = rows_of.join(texts, "node").select("hub", "node", "label", "text", F.when(F.col("inside"), -1 - F.col("_slot")).otherwise(F.col("_slot")).alias("part"), F.inline(F.concat(with_out, with_in)))
+    across = blocks.groupBy("hub", "low", "high").applyInArrow(compared(shingle, percent), "a long, b long").distinct()
     links = stars.unionByName(materialise(across, "near-across"))
     labels = connected_components(links, "a", "b")
 
