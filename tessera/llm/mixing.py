@@ -34,6 +34,8 @@ MOST = 2
 BLOCK = 256
 #: A source has so many blocks at least, or one for each word.
 LEAST_BLOCKS = 64
+#: Neighbouring slots that are ranked together; what came before them is a sum.
+STRETCH = 4096
 #: The golden ratio's fraction, as a 32-bit step: frac(t * phi) is t * STEP modulo 2^32, over 2^32.
 STEP = 2654435769
 
@@ -79,7 +81,7 @@ def slots(plan: DataFrame, n_slots: int) -> DataFrame:
     spark = plan.sparkSession
     cells = plan.where("high > low").select("sid", "low", "high", F.explode(F.sequence(F.shiftright("low", 20), F.shiftright(F.col("high") - 1, 20))).alias("cell"))
     point = (F.col("id") % 2**31) * F.lit(STEP) % 2**32
-    line = spark.range(n_slots).select(F.col("id").alias("t"), point.alias("point"), F.shiftright(point, 20).alias("cell"), F.floor(F.col("id") / (1 << 16)).alias("stretch"))
+    line = spark.range(n_slots).select(F.col("id").alias("t"), point.alias("point"), F.shiftright(point, 20).alias("cell"), F.floor(F.col("id") / STRETCH).alias("stretch"))
     owned = line.join(cells, "cell").where("point >= low AND point < high")
     counts = owned.groupBy("sid", "stretch").agg(F.count("*").alias("n"))
     before = W.partitionBy("sid").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
