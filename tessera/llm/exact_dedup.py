@@ -101,7 +101,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = materialise(rows.select("doc_id", fingerprint("_text").alias("p")).select("doc_id", "p.*"), "exact-prints")
     groups = prints.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     labelled = prints.join(groups, key)
-    again = rows.join(prints.join(groups.where("group_size > 1"), key).select("doc_id", *key, "keep_id", "text_sha256"), "doc_id")
+    members = prints.join(groups.where("group_size > 1"), key).select("doc_id", *key, "keep_id", "text_sha256")
+    again = materialise(rows.join(members, "doc_id"), "exact-members")  # the texts of members only, used twice
     keepers = again.where(F.col("doc_id") == F.col("keep_id")).select(*key, F.col("text_sha256").alias("_keeper_sha"), F.col("_text").alias("_keeper")).dropDuplicates(key)
     clash = again.join(keepers, key).where(~same_text("_text", "_keeper") & (F.col("text_sha256") != F.col("_keeper_sha")))
     clash = materialise(clash.select(*key).distinct(), "exact-clashes")
