@@ -9,8 +9,9 @@ positions by the string that starts there and lengthens it, and a position whose
   positions, and those of one document only are dropped. Neighbouring positions with one anchor form a run.
 * The whole run. A run that a smaller document has, too, is decided at once (all of it goes), and so is one whose
   anchor no smaller document has (all of it stays).
-* 33 bytes, the anchor with 17 more to the left or to the right. A string of 50 bytes contains one of the two, so runs
-  that are unique in both are dropped.
+* 42 bytes. By how many of its bytes lie before the anchor, a string of 50 bytes is of one of four classes, and all
+  strings of a class contain the same stretch of 42 or 43 bytes around the anchor. Classes of a run whose stretch no
+  other document has are dropped.
 * 50 bytes. What is left is ranked position by position.
 
 Ranks are names: 64-bit hashes of the strings, always compared together with the anchor's, so 128 bits decide. Texts
@@ -129,13 +130,19 @@ def pair_key(name: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(name + row.astype(np.uint64) * STEP)
 
 
+def classes(least: int) -> list[tuple[int, int]]:
+    """Least and most bytes before the anchor of the four classes of strings."""
+    span = least - ANCHOR
+    edges = [-1, span // 4, span // 2, 3 * span // 4, span]
+    return [(a + 1, b) for a, b in zip(edges, edges[1:])]  # noqa: B905
+
+
 def run_rows(least: int):
     """(anchor, whole, sides, doc, place): the runs whose anchors are listed for their document.
 
-    sides holds 32 bits of the name to the left of the anchor and 32 of that to the right (they only prune); place is
-    the run's start times 4096, and the anchor's place in it times 64, and its size: both are below 64.
+    sides holds 16 bits of the name of each class's stretch (they only prune); place is the run's start times 4096, and
+    the anchor's place in it times 64, and its size: both are below 64.
     """
-    side = (least - ANCHOR) // 2
 
     def run(batches):
         for batch in batches:
@@ -150,19 +157,21 @@ def run_rows(least: int):
                 r.take(wanted[np.minimum(found, max(0, len(wanted) - 1))] == key if len(wanted) else np.zeros(len(key), bool))
                 if not len(r.row):
                     continue
-                # names of a run's bytes from running sums: sum(code * step^-position) scaled to the run's start
+                # names of any stretch from running sums: sum(code * step^-position), scaled to the stretch's start
                 inverse = pow(int(STEP), -1, 1 << 64)
                 total = np.concatenate([np.zeros(1, U), np.add.accumulate(BYTE_CODES[buf] * powers(len(buf) + 1, U(inverse))[: len(buf)])])
                 back = powers(len(buf) + 1)
-                end = r.start + r.size + least - 1
-                whole = mix((total[end] - total[r.start]) * back[r.start] + r.size.astype(np.uint64) + (r.place - r.start).astype(np.uint64) * U(1 << 32))
-                wide = names(buf, ANCHOR + side)
-                lonely = lambda k: mix(np.arange(len(r.row), dtype=np.uint64) + pair_key(r.name, r.start) + U(k))  # noqa: E731, B023
-                low = r.place - side
-                left = np.where(low >= off[r.row], wide[np.maximum(low, 0)], lonely(1))
-                right = np.where(r.place + ANCHOR + side <= off[r.row + 1], wide[r.place], lonely(2))
-                sides = (left >> U(32) << U(32)) | (right >> U(32))
-                place = (r.start - off[r.row]) * 4096 + (r.place - r.start) * 64 + r.size
+                stretch = lambda a, b: (total[b] - total[a]) * back[a]  # noqa: E731, B023
+                inner = r.place - r.start
+                whole = mix(stretch(r.start, r.start + r.size + least - 1) + r.size.astype(np.uint64) + inner.astype(np.uint64) * U(1 << 32))
+                sides = np.zeros(len(r.row), U)
+                for c, (low, high) in enumerate(classes(least)):
+                    a, b = r.place - low, r.place + least - high
+                    some = (a >= off[r.row]) & (b <= off[r.row + 1]) & (inner >= low) & (inner - r.size + 1 <= high)
+                    name = mix(stretch(np.where(some, a, 0), np.where(some, b, 0)) + U(c))
+                    lonely = mix(pair_key(r.name, r.start) + pair_key(r.place.astype(np.uint64), ids.take(pa.array(at + r.row)).to_numpy()) + U(c))
+                    sides |= (np.where(some, name, lonely) >> U(48)) << U(16 * c)
+                place = (r.start - off[r.row]) * 4096 + inner * 64 + r.size
                 yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (r.name, whole, sides)), ids.take(pa.array(at + r.row)), pa.array(place)], ["anchor", "whole", "sides", "doc", "place"])
 
     return run
@@ -182,9 +191,9 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def position_rows(least: int):
-    """(anchor, name, doc, start, size): a row for each position of the open runs that an extension allows; a row for each
-    interval that is already decided, with size > 0 and a name of its own."""
-    side = (least - ANCHOR) // 2
+    """(name, doc, place): a row for each position of the open runs whose class is shared, with its start and 32 bits of the
+    anchor's name in place; a row for each interval that is already decided, with a name of its own and its start and
+    size in a place below 0."""
 
     def run(batches):
         for batch in batches:
@@ -199,17 +208,19 @@ def position_rows(least: int):
                 fits = start + size + least - 1 <= np.diff(off)[row]
                 decided, is_open = state == 0, (state > 0) & fits
                 r, a, b = merged(row[decided], start[decided], (start + size + least - 1)[decided])
-                out = [(pair_key(a.astype(np.uint64), r).view(np.int64), np.zeros(len(r), np.int64), r, a, b - a)]
+                out = [(pair_key(a.astype(np.uint64), r).view(np.int64), r, -((a << 32) | (b - a)))]
                 if is_open.any():
                     r, a, s, h, m, c = (x[is_open] for x in (row, start, size, anchor, inner, state))
                     of = np.repeat(np.arange(len(r)), s)
                     step = np.arange(len(of)) - np.repeat(np.cumsum(s) - s, s)
                     before = m[of] - step  # bytes of the string that lie before the anchor
-                    some = ((before >= side) & (c[of] & 1 > 0)) | ((before <= least - ANCHOR - side) & (c[of] & 2 > 0))
+                    some = np.zeros(len(of), bool)
+                    for k, (low, high) in enumerate(classes(least)):
+                        some |= (before >= low) & (before <= high) & ((c[of] >> k) & 1 > 0)
                     of, where = of[some], (step + a[of])[some]
-                    out.append((h[of], names(buf, least)[off[r[of]] + where].view(np.int64), r[of], where, np.zeros(len(of), np.int64)))
-                anchor, name, r, a, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), ids.take(pa.array(at + r)), pa.array(a), pa.array(s)], ["anchor", "name", "doc", "start", "size"])
+                    out.append((names(buf, least)[off[r[of]] + where].view(np.int64), r[of], (where << 32) | (h[of].view(np.uint64) >> U(32)).astype(np.int64)))
+                name, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(name), ids.take(pa.array(at + r)), pa.array(p)], ["name", "doc", "place"])
 
     return run
 
@@ -255,20 +266,22 @@ def removed_intervals(known: DataFrame, least: int = LEAST) -> DataFrame:
     lists = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
     runs = known.join(lists, "doc").select("doc", "text", "anchors").mapInArrow(run_rows(least), "anchor long, whole long, sides long, doc long, place long")
     runs = runs.withColumns({"_whole": F.min("doc").over(W.partitionBy("anchor", "whole")), "_anchor": F.min("doc").over(of_anchor)})
-    first = F.col("doc") == F.col("_whole")
-    runs = runs.withColumn("_any", F.max(first & (F.col("doc") > F.col("_anchor"))).over(of_anchor)).where("doc > _whole OR _any")
-    runs = runs.withColumns({"left": F.shiftright("sides", 32), "right": F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))})
+    own = F.col("doc") == F.col("_whole")
+    runs = runs.withColumn("_any", F.max(own & (F.col("doc") > F.col("_anchor"))).over(of_anchor)).where("doc > _whole OR _any")
     state = F.lit(0)
-    for bit, side in ((1, "left"), (2, "right")):
-        same = W.partitionBy("anchor", side)
-        mine = F.when(first, F.col("doc"))
-        runs = runs.withColumn(f"_{side}", F.coalesce(F.min(mine).over(same) < F.max(mine).over(same), F.lit(False)).cast("int") * bit)
-        state = state + F.col(f"_{side}")
-    runs = runs.withColumn("state", F.when(first, state).otherwise(0)).where("doc > _whole OR state > 0")
+    mine = F.when(own, F.col("doc"))
+    for c in range(4):
+        bit = 1 << c
+        same = W.partitionBy("anchor", f"_key{bit}")
+        runs = runs.withColumn(f"_key{bit}", F.shiftrightunsigned("sides", 16 * c).bitwiseAND(F.lit(0xFFFF))).withColumn(f"_is{bit}", F.when(F.min(mine).over(same) < F.max(mine).over(same), bit).otherwise(0))
+        state = state + F.col(f"_is{bit}")
+    runs = runs.withColumn("state", F.when(own, state).otherwise(0)).where("doc > _whole OR state > 0")
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("place", "anchor", "state")).alias("runs"))
-    last = known.join(lists, "doc").select("doc", "text", "runs").mapInArrow(position_rows(least), "anchor long, name long, doc long, start long, size long")
-    last = last.withColumn("_low", F.min("doc").over(W.partitionBy("anchor", "name")))
-    cut = last.where("size > 0 OR doc > _low").select("doc", "start", F.when(F.col("size") > 0, F.col("size")).otherwise(least).alias("size"))
+    last = known.join(lists, "doc").select("doc", "text", "runs").mapInArrow(position_rows(least), "name long, doc long, place long")
+    mark = F.when(F.col("place") < 0, F.lit(-1)).otherwise(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
+    last = last.withColumn("_mark", mark).withColumn("_low", F.min("doc").over(W.partitionBy("name", "_mark"))).where("place < 0 OR doc > _low")
+    at = F.abs("place")
+    cut = last.select("doc", F.shiftright(at, 32).alias("start"), F.when(F.col("place") < 0, at.bitwiseAND(F.lit((1 << 32) - 1))).otherwise(least).alias("size"))
     return cut.unionByName(copies.select("doc", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("size")))
 
 
