@@ -215,8 +215,9 @@ def compared(size: int, percent: int):
         order = np.argsort(column, kind="stable")
         column, row = column[order], row[order]
         shared = np.zeros((len(node), len(node)), np.float32)
-        width = max(1, (1 << 23) // max(1, len(node)))
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        columns = int(column[-1]) + 1 if len(column) else 0
+        width = max(1, min(columns, (1 << 23) // max(1, len(node))))
+        for low in range(0, columns, width):
             a, b = np.searchsorted(column, [low, low + width])
             has = np.zeros((len(node), width), np.float32)
             has[row[a:b], column[a:b] - low] = 1
