@@ -9,12 +9,13 @@ positions by the string that starts there and lengthens it, and a position whose
   positions, and those of one document only are dropped. Neighbouring positions with one anchor form a run.
 * The whole run. A run that a smaller document has, too, is decided at once (all of it goes), and so is one whose
   anchor no smaller document has (all of it stays).
-* 42 bytes. By how many of its bytes lie before the anchor, a string of 50 bytes is of one of four classes, and all
-  strings of a class contain the same stretch of 42 or 43 bytes around the anchor. Classes of a run whose stretch no
+* 44 bytes. By how many of its bytes lie before the anchor, a string of 50 bytes is of one of five classes, and all
+  strings of a class contain the same stretch of 43 or 44 bytes around the anchor. Classes of a run whose stretch no
   other document has are dropped.
 * 50 bytes. What is left is ranked position by position.
 
-Ranks are names: 64-bit hashes of the strings, always compared together with the anchor's, so 128 bits decide. Texts
+Ranks are names: 64-bit hashes of the strings, always compared together with the anchor's 64 bits (runs) or 32 of them
+(positions). Texts
 are shuffled once, by id; the later joins with them have the same exchange.
 
 Defined cases: null text is empty; documents shorter than 50 bytes lose nothing; matches inside one document don't
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import slices, table
 from tessera.llm.wordscan import BYTE_CODES, STEP, U, mix, powers
 
-ANCHOR, LEAST = 16, 50
+ANCHOR, LEAST, CLASSES = 16, 50, 5
 #: Texts of more bytes than this are gone through in overlapping pieces; positions take 22 bits beside the hash.
 PIECE = 1 << 22
 
@@ -98,6 +99,19 @@ class Runs:
         self.size = np.diff(np.append(head, len(row)))
         self.place, self.name = place[self.start], h[self.start]
 
+    def stretch_names(self):
+        """A function from first and last positions to names of the stretches of bytes between, made of running sums: the
+        sum of code * step^-position, scaled to the stretch's start."""
+        inverse = pow(int(STEP), -1, 1 << 64)
+        total = np.concatenate([np.zeros(1, U), np.add.accumulate(BYTE_CODES[self.buf] * powers(len(self.buf) + 1, U(inverse))[: len(self.buf)])])
+        back = powers(len(self.buf) + 1)
+        return lambda a, b: (total[b] - total[a]) * back[a]
+
+    def wholes(self, stretch, least: int) -> np.ndarray:
+        """Names of the runs' bytes, with their sizes and the places of their anchors."""
+        inner = (self.place - self.start).astype(np.uint64)
+        return mix(stretch(self.start, self.start + self.size + least - 1) + self.size.astype(np.uint64) + inner * U(1 << 32))
+
     def take(self, keep: np.ndarray) -> Runs:
         for k in ("row", "start", "size", "place", "name"):
             setattr(self, k, getattr(self, k)[keep])
@@ -110,8 +124,9 @@ def anchors(least: int):
             ids = batch.column(0)
             for at, buf, off in slices(batch.column(1)):
                 r = Runs(buf, off, least)
-                order = np.lexsort((r.name, r.row))
-                name, row = r.name[order], r.row[order]
+                short = r.name >> U(16) << U(16)  # 48 bits find the anchors to look at; more decide
+                order = np.lexsort((short, r.row))
+                name, row = short[order], r.row[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), ids.take(pa.array(at + row[new]))], ["anchor", "doc"])
@@ -131,17 +146,17 @@ def pair_key(name: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def classes(least: int) -> list[tuple[int, int]]:
-    """Least and most bytes before the anchor of the four classes of strings."""
+    """Least and most bytes before the anchor of the five classes of strings."""
     span = least - ANCHOR
-    edges = [-1, span // 4, span // 2, 3 * span // 4, span]
+    edges = [-1, *(span * k // CLASSES for k in range(1, CLASSES + 1))]
     return [(a + 1, b) for a, b in zip(edges, edges[1:])]  # noqa: B905
 
 
 def run_rows(least: int):
-    """(anchor, whole, sides, doc, place): the runs whose anchors are listed for their document.
+    """(anchor, whole, sides, doc): the distinct runs of each document whose anchors are listed for it.
 
-    sides holds 16 bits of the name of each class's stretch (they only prune); place is the run's start times 4096, and
-    the anchor's place in it times 64, and its size: both are below 64.
+    sides holds 12 bits of the name of each class's stretch (they only prune). Lists hold 32 bits of the anchors' names,
+    which also lets a few runs through that need not be here.
     """
 
     def run(batches):
@@ -150,29 +165,27 @@ def run_rows(least: int):
             for at, buf, off in slices(texts):
                 n = len(off) - 1
                 value, row = flat(listed, at, n)
-                wanted = np.sort(pair_key(value.to_numpy(zero_copy_only=False).view(np.uint64), row))
+                wanted = np.sort(pair_key(value.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), row))
                 r = Runs(buf, off, least)
-                key = pair_key(r.name, r.row)
+                key = pair_key(r.name >> U(32), r.row)
                 found = np.searchsorted(wanted, key)
                 r.take(wanted[np.minimum(found, max(0, len(wanted) - 1))] == key if len(wanted) else np.zeros(len(key), bool))
                 if not len(r.row):
                     continue
-                # names of any stretch from running sums: sum(code * step^-position), scaled to the stretch's start
-                inverse = pow(int(STEP), -1, 1 << 64)
-                total = np.concatenate([np.zeros(1, U), np.add.accumulate(BYTE_CODES[buf] * powers(len(buf) + 1, U(inverse))[: len(buf)])])
-                back = powers(len(buf) + 1)
-                stretch = lambda a, b: (total[b] - total[a]) * back[a]  # noqa: E731, B023
+                stretch = r.stretch_names()
+                whole = r.wholes(stretch, least)
+                _, once = np.unique(pair_key(mix(r.name + whole * STEP), r.row), return_index=True)
+                whole = whole[once]
+                r.take(once)
                 inner = r.place - r.start
-                whole = mix(stretch(r.start, r.start + r.size + least - 1) + r.size.astype(np.uint64) + inner.astype(np.uint64) * U(1 << 32))
                 sides = np.zeros(len(r.row), U)
                 for c, (low, high) in enumerate(classes(least)):
                     a, b = r.place - low, r.place + least - high
                     some = (a >= off[r.row]) & (b <= off[r.row + 1]) & (inner >= low) & (inner - r.size + 1 <= high)
                     name = mix(stretch(np.where(some, a, 0), np.where(some, b, 0)) + U(c))
                     lonely = mix(pair_key(r.name, r.start) + pair_key(r.place.astype(np.uint64), ids.take(pa.array(at + r.row)).to_numpy()) + U(c))
-                    sides |= (np.where(some, name, lonely) >> U(48)) << U(16 * c)
-                place = (r.start - off[r.row]) * 4096 + inner * 64 + r.size
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (r.name, whole, sides)), ids.take(pa.array(at + r.row)), pa.array(place)], ["anchor", "whole", "sides", "doc", "place"])
+                    sides |= (np.where(some, name, lonely) >> U(52)) << U(12 * c)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (r.name, whole, sides)), ids.take(pa.array(at + r.row))], ["anchor", "whole", "sides", "doc"])
 
     return run
 
@@ -203,10 +216,17 @@ def position_rows(least: int):
                 value, row = flat(listed, at, n)
                 if not len(row):
                     continue
-                place, anchor, state = (value.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                start, inner, size = place >> 12, (place >> 6) & 63, place & 63
-                fits = start + size + least - 1 <= np.diff(off)[row]
-                decided, is_open = state == 0, (state > 0) & fits
+                value = value.to_numpy(zero_copy_only=False).view(np.uint64)
+                wanted = pair_key(value & ~U(31), row)
+                order = np.argsort(wanted)
+                wanted, states = wanted[order], (value & U(31)).astype(np.int64)[order]
+                runs = Runs(buf, off, least)
+                key = pair_key((runs.name ^ runs.wholes(runs.stretch_names(), least)) & ~U(31), runs.row)
+                found = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                keep = np.flatnonzero(wanted[found] == key)
+                runs.take(keep)
+                row, start, size, anchor, inner, state = runs.row, runs.start - off[runs.row], runs.size, runs.name, runs.place - runs.start, states[found[keep]]
+                decided, is_open = state == 0, state > 0
                 r, a, b = merged(row[decided], start[decided], (start + size + least - 1)[decided])
                 out = [(pair_key(a.astype(np.uint64), r).view(np.int64), r, -((a << 32) | (b - a)))]
                 if is_open.any():
@@ -218,7 +238,7 @@ def position_rows(least: int):
                     for k, (low, high) in enumerate(classes(least)):
                         some |= (before >= low) & (before <= high) & ((c[of] >> k) & 1 > 0)
                     of, where = of[some], (step + a[of])[some]
-                    out.append((names(buf, least)[off[r[of]] + where].view(np.int64), r[of], (where << 32) | (h[of].view(np.uint64) >> U(32)).astype(np.int64)))
+                    out.append((names(buf, least)[off[r[of]] + where].view(np.int64), r[of], (where << 32) | (h[of] >> U(32)).astype(np.int64)))
                 name, r, p = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(name), ids.take(pa.array(at + r)), pa.array(p)], ["name", "doc", "place"])
 
@@ -257,26 +277,26 @@ def removed_intervals(known: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc, start, size): intervals of bytes to remove, in no order and perhaps overlapping; known has doc and text."""
     if not ANCHOR < least < ANCHOR + 63:
         raise ValueError("places are packed for strings of 17 to 78 bytes")
-    digests = known.where(F.octet_length("text") >= least).select("doc", F.sha2("text", 256).alias("digest"))
+    digests = known.where(F.octet_length("text") >= least).select("doc", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high")
     copies = digests.join(firsts, "digest").where("doc > _low").select("doc").distinct()
     of_anchor = W.partitionBy("anchor")
     ranked = known.join(copies, "doc", "left_anti").mapInArrow(anchors(least), "anchor long, doc long")
     shared = ranked.withColumns({"_low": F.min("doc").over(of_anchor), "_high": F.max("doc").over(of_anchor)}).where("_low < _high")
-    lists = shared.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    runs = known.join(lists, "doc").select("doc", "text", "anchors").mapInArrow(run_rows(least), "anchor long, whole long, sides long, doc long, place long")
+    lists = shared.groupBy("doc").agg(F.collect_list(F.shiftright("anchor", 32).cast("int")).alias("anchors"))
+    runs = known.join(lists, "doc").select("doc", "text", "anchors").mapInArrow(run_rows(least), "anchor long, whole long, sides long, doc long")
     runs = runs.withColumns({"_whole": F.min("doc").over(W.partitionBy("anchor", "whole")), "_anchor": F.min("doc").over(of_anchor)})
     own = F.col("doc") == F.col("_whole")
     runs = runs.withColumn("_any", F.max(own & (F.col("doc") > F.col("_anchor"))).over(of_anchor)).where("doc > _whole OR _any")
     state = F.lit(0)
     mine = F.when(own, F.col("doc"))
-    for c in range(4):
+    for c in range(CLASSES):
         bit = 1 << c
         same = W.partitionBy("anchor", f"_key{bit}")
-        runs = runs.withColumn(f"_key{bit}", F.shiftrightunsigned("sides", 16 * c).bitwiseAND(F.lit(0xFFFF))).withColumn(f"_is{bit}", F.when(F.min(mine).over(same) < F.max(mine).over(same), bit).otherwise(0))
+        runs = runs.withColumn(f"_key{bit}", F.shiftrightunsigned("sides", 12 * c).bitwiseAND(F.lit(0xFFF))).withColumn(f"_is{bit}", F.when(F.min(mine).over(same) < F.max(mine).over(same), bit).otherwise(0))
         state = state + F.col(f"_is{bit}")
     runs = runs.withColumn("state", F.when(own, state).otherwise(0)).where("doc > _whole OR state > 0")
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("place", "anchor", "state")).alias("runs"))
+    lists = runs.groupBy("doc").agg(F.collect_list(F.col("anchor").bitwiseXOR(F.col("whole")).bitwiseAND(F.lit(-32)).bitwiseOR(F.col("state"))).alias("runs"))
     last = known.join(lists, "doc").select("doc", "text", "runs").mapInArrow(position_rows(least), "name long, doc long, place long")
     mark = F.when(F.col("place") < 0, F.lit(-1)).otherwise(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)))
     last = last.withColumn("_mark", mark).withColumn("_low", F.min("doc").over(W.partitionBy("name", "_mark"))).where("place < 0 OR doc > _low")
