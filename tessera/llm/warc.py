@@ -7,8 +7,9 @@ line feed, so the files hold WARC records and nothing else), which works on ever
 `read_archives` parses whole files, groups the segments by the identifier of the origin record, orders them by
 segment number, verifies numbers and total length, and decodes chunked transfer framing.
 
-Defined cases: null payload is empty; null page_id is written as `null` and read back as null; pages that repeat
-page_id and payload are one page; an empty table gives archives without records; a record whose segments are
+Defined cases: null payload is empty; null page_id is written as `null` and read back as null; every row has a record
+of its own, and of rows that repeat page_id and payload one has the plain identifier, the others one with a copy's
+number behind it; a null page_id with a payload that no other page has is a response; an empty table gives archives without records; a record whose segments are
 incomplete or whose length or digest disagrees is returned with ``verified`` false and what could be read.
 """
 
@@ -75,9 +76,9 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r"  # the sink adds the last line feed
 
 
-def page_records(page_id, url, digest, keep_id, payload: bytes | None, segment_bytes: int) -> list[bytes]:
+def page_records(page_id, url, digest, keep_id, payload: bytes | None, segment_bytes: int, copy: int | None = None) -> list[bytes]:
     """The records of one page, without their last byte."""
-    me = ID % ("null" if page_id is None else page_id, digest)
+    me = ID % ("null" if page_id is None else page_id, digest if copy is None else f"{digest}:copy-{copy}")
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     common = [("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if payload is None:
@@ -105,12 +106,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     joined = page.join(keep, group)
     first = F.col("page_id").eqNullSafe(F.col("keep_id")) | (F.col("n") < least_bytes)
     rows = joined.select("page_id", "url", base32_sha1(F.col("payload")).alias("digest"), "keep_id", F.when(first, F.col("payload")).alias("payload"))
+    repeated = materialise(page.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("_again")), "repeated")
+    if repeated.isEmpty():
+        rows = rows.withColumn("copy", F.lit(None).cast("long"))
+    else:
+        same = F.col("page_id").eqNullSafe(F.col("_again"))
+        again = materialise(rows.join(repeated, same, "left_semi").withColumn("copy", F.monotonically_increasing_id()), "copies")
+        plain = again.groupBy("page_id", "digest").agg(F.min("copy").alias("copy")).select("copy", F.lit(True).alias("_plain"))
+        again = again.join(plain, "copy", "left").withColumn("copy", F.when(F.col("_plain").isNull(), F.col("copy")))
+        rows = rows.join(repeated, same, "left_anti").withColumn("copy", F.lit(None).cast("long")).unionByName(again.drop("_plain"))
 
     def records(batches):
         for batch in batches:
-            for cols in zip(*(batch.column(k) for k in range(4)), batch.column(4), strict=True):
-                *plain, payload = (x.as_py() for x in cols)
-                found = page_records(*plain, payload, segment_bytes)
+            for cols in zip(*(batch.column(k) for k in range(6)), strict=True):
+                *plain, copy = (x.as_py() for x in cols)
+                found = page_records(*plain, segment_bytes, copy)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["value"])
 
     rows.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path, compression="gzip", lineSep="\n")
@@ -209,9 +219,8 @@ def page_of(record_id) -> F.Column:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    # repeated pages have one identifier, so one of each is left
     records = read_archives(spark, path).select("record_id", "record_type", "refers_to_id", "header_digest", "digest", F.octet_length("payload").cast("long").alias("bytes"))
-    records = materialise(records.dropDuplicates(["record_id"]), "records")
+    records = materialise(records, "records")
     sizes = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("bytes").alias("there"))
     revisit = F.col("record_type") == "revisit"
     return records.join(sizes, "refers_to_id", "left").select(

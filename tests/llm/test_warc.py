@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import warc as W
 from tessera.llm.shared import new_folder
@@ -72,3 +73,20 @@ def test_reading_foreign_archives_and_missing_segments(spark, tmp_path):
     got = {r.record_id: r for r in W.read_archives(spark, str(tmp_path)).collect()}
     assert bytes(got["<a>"].payload) == bytes(got["<b>"].payload) == b"hello" and got["<a>"].verified and got["<b>"].verified
     assert not got["<c>"].verified and got["<i>"].payload is None
+
+
+def test_repeated_rows_have_records_of_their_own(spark, tmp_path):
+    big, other = "big page " * 4_000, "another page " * 3_000
+    rows = [(1, "a", big), (1, "b", big), (1, "c", big), (2, "d", big), (3, "e", other), (3, "f", "small"), (None, "g", other * 2), (None, "h", other * 2), (None, "i", big), (None, "i", big)]
+    path = new_folder(spark, "t")
+    W.write_archives(pages(spark, rows), path)
+    got = W.read_archives(spark, path).collect()
+    assert all(r.verified for r in got) and len({r.record_id for r in got}) == len(rows)
+    assert sorted(r.target_uri for r in got) == sorted(u for _, u, _ in rows)
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(tuple(r) for r in W.op1_warc(spark, str(tmp_path)).select(F.coalesce("page_id", F.lit(-1)), "payload_bytes", "payload_digest", "record_type", F.coalesce("refers_to", F.lit(-1))).collect())
+    best = {}
+    for i, _, h in rows:
+        best[h] = max(best.get(h, -1), -1 if i is None else i)
+    want = [(-1 if i is None else i, len(h), W.digest_of(h.encode()), h) for i, _, h in rows]
+    assert found == sorted((i, n, d, "response" if i == best[h] else "revisit", -1 if i == best[h] else best[h]) for i, n, d, h in want)
