@@ -1,4 +1,4 @@
-"""Connected components by least labels and pointer jumping, all in joins and partial aggregates."""
+"""Connected components by hooking roots and pointer jumping, all in joins and partial aggregates."""
 
 from __future__ import annotations
 
@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import materialise
 
 
-def connected_components(edges: DataFrame, left: str, right: str, most_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, label) for every node with an edge; label is the least node of its component.
 
-    Each round takes the least label among neighbours (a map-side minimum) and then the label of that label, so the
-    rounds follow the logarithm of the diameter. Every round ends in a written table.
+    Each round hooks every root to its least smaller neighbour (a map-side minimum), lets pointers jump to the new
+    roots and draws the edges between those, without the edges inside a tree. A root that neither hooks nor is hooked
+    to has a smaller neighbour in the next round, so two rounds halve the roots of a component at least, whatever its
+    shape; the loop ends where no edge is left. Every round ends in written tables.
     """
-    both = edges.select(F.col(left).alias("node"), F.col(right).alias("other"))
-    both = materialise(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).where("node <> other").distinct(), "edges")
-    labels = materialise(both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
-    for _ in range(most_rounds):
-        least = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        step = labels.join(least, "node").select("node", "label", F.least("label", "near").alias("up"))
-        root = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        step = materialise(step.join(root, "up", "left").select("node", "label", F.least("up", "top").alias("new")), "labels")
-        labels = step.select("node", F.col("new").alias("label"))
-        if step.where("label <> new").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    pairs = edges.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).where("a < b").distinct()
+    pairs, labels = materialise(pairs, "edges"), None
+    while not pairs.isEmpty():
+        up = materialise(pairs.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label"), "hooks")
+        while True:
+            top = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            step = materialise(up.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")), "hooks")
+            up = step.select("node", "label")
+            if step.where("moved").isEmpty():
+                break
+        root = lambda s: up.select(F.col("node").alias(s), F.col("label").alias(f"r_{s}"))
+        pairs = pairs.join(root("b"), "b").join(root("a"), "a", "left").select(F.coalesce("r_a", "a").alias("x"), F.col("r_b").alias("y"))
+        pairs = materialise(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        if labels is not None:
+            top = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            up = materialise(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(up), "labels")
+        labels = up
+    if labels is None:
+        return pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels.unionByName(labels.select("label").distinct().select(F.col("label").alias("node"), "label"))

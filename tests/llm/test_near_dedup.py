@@ -84,3 +84,11 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert {r.node: r.label for r in got} == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_components_of_a_long_chain_of_shuffled_ids(spark):
+    ids = list(range(600))
+    random.Random(3).shuffle(ids)
+    edges = [(a, b) if k % 3 else (b, a) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False))] + [(1000, 1001), (1002, 1001), (1003, 1003)]
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert sorted((r.node, r.label) for r in got) == [(k, 0) for k in range(600)] + [(k, 1000) for k in (1000, 1001, 1002)]
