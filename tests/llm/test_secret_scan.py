@@ -63,3 +63,37 @@ def test_fixpoint_ends():
 
 def test_empty_table(make_docs):
     assert M.secret_scan(make_docs([])).collect() == []
+
+
+def spans_of(text):
+    return M.scan(text)[1]
+
+
+def test_streams_in_streams_and_members():
+    data = INNER.encode()
+    for packed in (gzip.compress(gzip.compress(data)), gzip.compress(zlib.compress(data)), zlib.compress(gzip.compress(data)), gzip.compress(b"first ") + gzip.compress(data), gzip.compress(b"first") + b" " + data, gzip.compress(b"\0" * (66 << 20) + data)):
+        run = base64.b64encode(packed).decode()
+        assert (4, 0, 4 + len(run)) in spans_of(f"see {run} end")
+
+
+def test_wrapped_base64():
+    filler = " ".join(hashlib.sha256(bytes([k])).hexdigest()[:9] for k in range(40))
+    for data in (f"{filler} {INNER} {filler}".encode(), gzip.compress(f"{filler} {INNER}".encode())):
+        for size in range(70, 80):
+            run = base64.b64encode(data).decode()
+            run = "\r\n".join(run[k : k + size] for k in range(0, len(run), size))
+            for text in (f"see\n{run}\nend of it", f"see: {run} end", f"a_long_name_of_a_file\n{run}\n"):
+                at = text.index(run)
+                assert any(kind == 0 and at <= a and b > a + size for a, kind, b in spans_of(text))
+
+
+def test_bad_bytes_hide_nothing():
+    for text in ("http://h/?q=%E9&z=%00&pass%77ord=hunter22", base64.b64encode(b"\xff\x00 password=hunter22 \xe9").decode()):
+        assert spans_of(text) == [(0, 0, len(text))]
+
+
+def test_escapes_in_place():
+    text = 'é {"password": "\\u0068\\u0075nter22", "x": 1}'
+    assert (text.index("password"), 0, text.index('", "x"')) in spans_of(text)
+    text = 'see pass%2577ord = hun%74er22 end'
+    assert (text.index("pass"), 0, text.index(" end")) in spans_of(text)
