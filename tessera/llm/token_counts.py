@@ -4,12 +4,13 @@ The tokenizer's pre-tokenizer cuts a text into pieces, and a special string in t
 a piece the encoding of a prefix ends with exactly one token that is compatible with the last token of the prefix
 before it (two tokens are compatible if their joined bytes encode to just these two), so
 ``count[i] = count[i - len(token)] + 1`` gives the exact count of every prefix of the piece in one pass. Pieces recur, so
-each worker keeps a bounded table of them. A document's answer is the sum over its pieces; `PrefixCounts` keeps the
-counts at piece ends and the table inside pieces, and so answers counts, budgets and truncation without encoding again.
+each worker keeps a bounded table of them with the counts of all their prefixes. A document's count is the sum over its
+pieces; `PrefixCounts` keeps the sums at piece ends and looks up the counts inside pieces, and so answers counts, budgets
+and truncation without encoding again.
 
 A count inside a piece is that of the prefix as a text of its own wherever the pre-tokenizer cuts that prefix like the
-whole text; the one exception, white space that stands before another word, is cut again for the few characters that it
-concerns.
+whole text. Where it does not (white space before another word, a contraction or a special string that is cut apart), the
+last piece or two are cut again, and the new pieces are looked up.
 
 Defined cases: null is empty and has 0 tokens; texts of any length are counted whole; rows that repeat are counted
 each; other columns are not read; an empty table gives no rows.
@@ -32,7 +33,9 @@ from tessera.llm.shared import table
 
 #: Pieces that a worker remembers before it starts anew.
 PIECES = 400_000
-COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+#: Bytes of a piece whose prefixes are remembered, too; those of a longer one are counted when they are asked for.
+INSIDE = 64
+COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("cut_chars", T.LongType())])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,10 +46,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Merges(dict):
-    """Piece to its prefix counts: a tuple with the token count of each prefix, by bytes from 0 on."""
+    """Piece to its number of tokens; inside has the count of each prefix of the piece, by bytes from 0 on."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.inside: dict[str, bytes | tuple[int, ...]] = {}
         spec = json.loads(open(path, encoding="utf-8").read())
         letters = byte_alphabet()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -58,7 +62,8 @@ class Merges(dict):
         self.longest = max(map(len, self.vocabulary))
         self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.pieces = self.pattern.findall
         self.compatible = lru_cache(1 << 18)(self._compatible)
         self.reachable = lru_cache(1 << 18)(self._reachable)
 
@@ -94,21 +99,29 @@ class Merges(dict):
         return tuple(count)
 
     def __missing__(self, piece: str) -> int:
-        """Tokens of a whole piece; the piece's prefixes stay in inside."""
+        """Tokens of a whole piece; the counts of its prefixes stay in inside."""
         if len(self) >= PIECES:
             self.clear()
-        found = self.prefix_counts(piece.encode())[-1]
-        self[piece] = found
-        return found
+            self.inside.clear()
+        found = self.prefix_counts(piece.encode())
+        self[piece] = found[-1]
+        if len(found) <= INSIDE:
+            self.inside[piece] = bytes(found)
+        return found[-1]
+
+    def prefixes(self, piece: str) -> bytes | tuple[int, ...]:
+        """The counts of the piece's prefixes, by bytes."""
+        self[piece]
+        return self.inside.get(piece) or self.prefix_counts(piece.encode())
 
     def segments(self, text: str):
-        """(piece or special string, whether it is special) in order."""
+        """(piece or special string, whether it is special) in order, one at a time."""
         at = 0
         for m in self.cut.finditer(text) if self.cut else ():
-            yield from ((p, False) for p in self.pieces(text[at : m.start()]))
+            yield from ((p[0], False) for p in self.pattern.finditer(text, at, m.start()))
             yield m[0], True
             at = m.end()
-        yield from ((p, False) for p in self.pieces(text[at:] if at else text))
+        yield from ((p[0], False) for p in self.pattern.finditer(text, at))
 
     def count(self, text: str) -> int:
         if self.special and any(s in text for s in self.special):
@@ -117,33 +130,42 @@ class Merges(dict):
 
 
 class PrefixCounts:
-    """Exact token counts of the prefixes of one text."""
+    """Exact token counts of the prefixes of one text, those of up to budget tokens if one is given."""
 
-    def __init__(self, merges: Merges, text: str):
+    def __init__(self, merges: Merges, text: str, budget: float = float("inf")):
         self.merges, self.text = merges, text
         self.cuts, self.marks, self.tokens, self.special = [], [0], [0], []
+        over = 0
         for piece, special in merges.segments(text):
             self.cuts.append(piece)
             self.special.append(special)
             self.marks.append(self.marks[-1] + len(piece))
             self.tokens.append(self.tokens[-1] + (1 if special else merges[piece]))
+            if (over := over + (self.tokens[-1] > budget)) == 3:  # a prefix beyond has more
+                break
 
     def at(self, chars: int) -> int:
         """Tokens of the first chars characters, as a text of their own."""
-        k = bisect_right(self.marks, chars) - 1
-        if k == len(self.cuts):
-            k -= 1
+        k = min(bisect_right(self.marks, chars), len(self.cuts)) - 1
+        if k < 0:
+            return 0
         # a piece that ends the prefix may be cut otherwise than before other text: at most it and the one before
-        first = max(0, k - 1)
-        if any(self.special[first : k + 1]):
-            return self.merges.count(self.text[:chars])
-        return self.tokens[first] + self.merges.count(self.text[self.marks[first] : chars]) if self.cuts else 0
+        first = k - 1 if k and not self.special[k - 1] else k
+        part = self.text[self.marks[k] : chars]
+        if self.special[k] and part == self.cuts[k]:
+            return self.tokens[k + 1]
+        as_before = [c for c in (*self.cuts[first:k], part) if c]
+        again = [p for p, _ in self.merges.segments(self.text[self.marks[first] : chars])]
+        if again != as_before or self.special[k]:
+            return self.tokens[first] + sum(self.merges[p] for p in again)
+        return self.tokens[k] + self.merges.prefixes(self.cuts[k])[len(part.encode())]
 
     def within(self, budget: int) -> int:
         """The most characters whose prefix takes no more than budget tokens, by piece ends and then inside a piece."""
         k = max(0, bisect_right(self.tokens, budget) - 1)
-        end = self.marks[min(k + 1, len(self.marks) - 1)]
-        return max((c for c in range(self.marks[max(0, k - 1)], end + 1) if self.at(c) <= budget), default=0)
+        # white space that joins the piece behind may still fit
+        end = min(self.marks[min(k + 1, len(self.marks) - 1)] + 1, self.marks[-1])
+        return next((c for c in range(end, self.marks[max(0, k - 1)] - 1, -1) if self.at(c) <= budget), 0)
 
 
 @lru_cache(4)
@@ -152,22 +174,24 @@ def _merges(path: str, pattern: str) -> Merges:
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; path is a byte-level BPE file of the tokenizers library.
+    """(doc_id, n_bytes, n_tokens, over_limit, cut_chars) of every row; path is a byte-level BPE file of the tokenizers library.
 
-    The file is read on the executors, where the tokenizers' files are installed beside Python.
+    cut_chars is the most characters whose prefix takes no more than limit tokens. The file is read on the executors,
+    where the tokenizers' files are installed beside Python.
     """
 
     @F.arrow_udf(COUNTS)
     def counted(text: pa.Array) -> pa.Array:
         merges = _merges(path, pattern)
-        sizes, tokens = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        sizes, tokens, cuts = (np.zeros(len(text), np.int64) for _ in range(3))
         for k, t in enumerate(text):
             t = t.as_py() or ""
             sizes[k], tokens[k] = len(t.encode()), merges.count(t)
-        return pa.StructArray.from_arrays([pa.array(sizes), pa.array(tokens)], ["n_bytes", "n_tokens"])
+            cuts[k] = len(t) if tokens[k] <= limit else PrefixCounts(merges, t, limit).within(limit)
+        return pa.StructArray.from_arrays([pa.array(sizes), pa.array(tokens), pa.array(cuts)], ["n_bytes", "n_tokens", "cut_chars"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), counted(F.col(text_col)).alias("c"))
-    return rows.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > limit).alias("over_limit"))
+    return rows.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > limit).alias("over_limit"), "c.cut_chars")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,21 +22,41 @@ def test_counts_equal_the_librarys(both):
     assert [merges.count(t) for t in TEXTS] == [library(tokenizer, t) for t in TEXTS]
 
 
-def test_every_prefix_and_budget(both):
+def longest(exact, budget):
+    return max(c for c, n in enumerate(exact) if n <= budget)
+
+
+def test_every_prefix_and_budget_without_encoding_again(both, monkeypatch):
     merges, tokenizer = both
-    for text in (TEXTS[2] + TEXTS[3] + TEXTS[5], TEXTS[4] * 2, "unbelievable straightforwardness  "):
+    texts = [TEXTS[2] + TEXTS[3] + TEXTS[5], TEXTS[4] * 2, "unbelievable straightforwardness  ", "a \n\t \n\t b  \r\n\r\n'll 'l we'll?!<|endoftext|>  x", TEXTS[7], "?!<|endoftext|", "  \t<|endoftext|>  y", ""]
+    calls = []
+    monkeypatch.setattr(M.Merges, "count", lambda self, text: calls.append(text))
+    for text in texts:
         prefix = M.PrefixCounts(merges, text)
         exact = [library(tokenizer, text[:k]) for k in range(len(text) + 1)]
         assert [prefix.at(k) for k in range(len(text) + 1)] == exact
-        for budget in (0, 1, 3, 7, 1000):
+        for budget in (0, 1, 2, 3, 4, 5, 7, 11, 1000):
             cut = prefix.within(budget)
-            assert exact[cut] <= budget and (cut == len(text) or budget < max(exact[cut + 1 : cut + 30]))
+            assert cut == longest(exact, budget)
+            assert M.PrefixCounts(merges, text, budget).within(budget) == cut
+    assert not calls
+
+
+def test_counts_inside_remembered_pieces_are_looked_up(both, monkeypatch):
+    merges, tokenizer = both
+    text = "unbelievable straightforwardness of internationalisation"
+    prefix = M.PrefixCounts(merges, text)
+    exact = [library(tokenizer, text[:k]) for k in range(len(text) + 1)]
+    monkeypatch.setattr(M.Merges, "prefix_counts", lambda self, data: pytest.fail("encoded again"))
+    assert [prefix.at(k) for k in range(len(text) + 1)] == exact
+    assert prefix.within(3) == longest(exact, 3)
 
 
 def test_table(spark, make_docs, both):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "id"), (99, None), (5, TEXTS[5])]
-    got = M.token_counts(make_docs(rows), P.path("byte_bpe_50k.json"), P.PATTERN, 1024).collect()
-    expected = [(i, len((t or "").encode()), library(both[1], t or ""), library(both[1], t or "") > 1024) for i, t in rows]
+    got = M.token_counts(make_docs(rows), P.path("byte_bpe_50k.json"), P.PATTERN, 30).collect()
+    cut = lambda t: longest([library(both[1], t[:k]) for k in range(min(len(t), 400) + 1)], 30)
+    expected = [(i, len((t or "").encode()), n := library(both[1], t or ""), n > 30, cut(t) if n > 30 else len(t or "")) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     assert M.token_counts(make_docs([]), P.path("byte_bpe_50k.json"), P.PATTERN, 1024).collect() == []
 
