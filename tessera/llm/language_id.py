@@ -19,6 +19,7 @@ language by code point; columns other than those named are not read; an empty ta
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ WIDTH = 1 << 16
 EPOCHS, CHAINS, RATE, SWITCH = 4, 128, 0.4, 0.35
 #: Words that a worker remembers before it starts anew, and bytes of text that are labelled together.
 REMEMBERED, TOGETHER = 400_000, 4 << 20
-TOKENS = re.compile(r"[^\W\d_]+|\n+")
 LETTER = r"\p{L}"
+#: Word characters that are neither letters nor decimal digits: fractions, superscripts, Roman and circled numerals.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+TOKENS = re.compile(rf"[^\W\d_{NUMERALS}]+|\n+")
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 

@@ -42,7 +42,7 @@ def docs_of(spark, rows):
 def test_held_out_accuracy_and_odd_rows(spark):
     rng = random.Random(1)
     rows = [(k, text_of(rng, lang), lang) for k in range(300) for lang in [("xx", "yy", "zz")[k % 3]]]
-    odd = [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 %%% ...", None), (None, text_of(rng, "yy"), "yy"), (1003, text_of(rng, "zz", 20_000), None), (0, rows[0][1], "xx")]
+    odd = [(1000, None, "xx"), (1001, "", "yy"), (1002, "123 %%% ...", None), (None, text_of(rng, "yy"), "yy"), (1003, text_of(rng, "zz", 20_000), None), (1004, "\u00bd \u00b2 \u2163 \u2460 \u0663 _", "xx"), (1005, "\u0301\u0327", "xx"), (0, rows[0][1], "xx")]
     got = M.identify(docs_of(spark, rows + odd)).collect()
     assert len(got) == len(rows) + len(odd)
     truth = dict((i, lang) for i, _, lang in rows)
@@ -50,7 +50,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert held and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
     by_id = {r.doc_id: r for r in got}
-    assert all((by_id[k].lang_pred, by_id[k].score) == ("und", 0.0) for k in (1000, 1001, 1002))
+    assert all((by_id[k].lang_pred, by_id[k].score) == ("und", 0.0) for k in (1000, 1001, 1002, 1004, 1005))
     assert by_id[1003].lang_pred == "zz" and by_id[None].lang_pred == "yy" and not by_id[None].held_out
     assert all(0 <= r.score <= 1 for r in got)
 
@@ -69,3 +69,12 @@ def test_labels_are_no_input_and_nothing_to_learn_from(spark):
     rows = [(k, "some words here", None) for k in range(5)]
     assert {(r.lang_pred, r.score) for r in M.identify(docs_of(spark, rows)).collect()} == {("und", 0.0)}
     assert M.identify(docs_of(spark, [])).collect() == []
+
+
+def test_tokens_are_runs_of_letters():
+    import regex
+
+    text = "".join(chr(c) for c in range(1, 0x3000) if c not in range(0xD800, 0xE000))
+    # characters that one Unicode version knows and another does not aside
+    ours, theirs = set("".join(M.TOKENS.findall(text))) - {"\n"}, set("".join(regex.findall(r"\p{L}", text)))
+    assert len(ours ^ theirs) < 20 and not ours & set("\u00bd\u00b2\u2163\u2460")
