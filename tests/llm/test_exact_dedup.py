@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from tessera.llm import exact_dedup as M
 
@@ -12,11 +13,13 @@ def brute(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault((t or "").translate(LOWER), []).append(i)
-    out = []
+    out, stays = [], set()
     for i, t in rows:
         n = (t or "").translate(LOWER)
         keep = max((x for x in groups[n] if x is not None), default=None)
-        out.append((i, keep, len(groups[n]), i == keep, hashlib.sha256(n.encode()).hexdigest()))
+        kept = i == keep and n not in stays  # of rows that tie, one
+        stays |= {n} if kept else set()
+        out.append((i, keep, len(groups[n]), kept, hashlib.sha256(n.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -29,9 +32,22 @@ def test_empty_table(make_docs):
     assert M.exact_dedup(make_docs([])).collect() == []
 
 
-def test_a_collision_of_fingerprints_is_split_by_text(make_docs, monkeypatch):
+@pytest.mark.parametrize("rows", [
+    [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "cc")],
+    [(None, "aa"), (None, "bb")],
+    [(None, "aa"), (1, "bb")],
+    [(None, "aa"), (None, "aa"), (3, "bb"), (3, "bb"), (3, "cc"), (None, "dd")],
+    [(k % 7, "abc"[k % 3] * 2) for k in range(400)],
+])
+def test_a_collision_of_fingerprints_is_split_by_the_comparison(make_docs, monkeypatch, rows):
     monkeypatch.setattr(M, "fingerprint", constant)
-    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "bb"), (5, "cc")]
+    monkeypatch.setattr(M, "SLOT", 8)
+    got = M.exact_dedup(make_docs(rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_repeated_and_null_ids(make_docs):
+    rows = [(5, "same"), (5, "same"), (5, "Other"), (7, "other"), (None, "SAME"), (None, "only"), (None, "only"), (None, None), (8, "")]
     got = M.exact_dedup(make_docs(rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
