@@ -13,7 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
-from tessera.llm.shared import new_folder, table
+from tessera.llm.shared import ascii_lower, new_folder, table
 
 #: A document whose languages are so evenly mixed that none has this share of its words is rejected.
 LEAST_SCORE = 0.3
@@ -28,9 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    dropped = exact_dedup(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the document with the largest doc_id stays; rows that repeat its id and text do, too."""
+    dropped = exact_dedup(docs).where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    text = F.xxhash64(F.coalesce(ascii_lower(F.col("text")), F.lit("")))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_th")), "left_anti").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
