@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise
+from tessera.llm.shared import materialise, spread_join
+
+
+def tops(rows: DataFrame, up: DataFrame) -> DataFrame:
+    """(label, top): the label that up gives to each label of rows, if any."""
+    return rows.select("label").distinct().join(up.select(F.col("node").alias("label"), F.col("label").alias("top")), "label")
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -21,8 +26,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while not pairs.isEmpty():
         up = materialise(pairs.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label"), "hooks")
         while True:
-            top = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
-            step = materialise(up.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")), "hooks")
+            step = materialise(spread_join(up, tops(up, up), "label", "node", how="left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")), "hooks")
             up = step.select("node", "label")
             if step.where("moved").isEmpty():
                 break
@@ -30,8 +34,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         pairs = pairs.join(root("b"), "b").join(root("a"), "a", "left").select(F.coalesce("r_a", "a").alias("x"), F.col("r_b").alias("y"))
         pairs = materialise(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
         if labels is not None:
-            top = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
-            up = materialise(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(up), "labels")
+            up = materialise(spread_join(labels, tops(labels, up), "label", "node", how="left").select("node", F.coalesce("top", "label").alias("label")).unionByName(up), "labels")
         labels = up
     if labels is None:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -11,9 +11,11 @@ bucket-specific hashes of the whole set, so short texts have full sketches, too.
    their registers, and are then confirmed on the full sets, recomputed from the whole texts.
 3. Confirmed links are joined into components. Nodes that share a bucket share its first node, so the nodes that meet
    any first node of a component are a group that holds all candidate pairs of those buckets. The group's nodes
-   outside the component are then compared with those inside and with each other, in blocks of about 256 nodes: a task
-   computes the intersections of all full sets of two blocks as products of 0/1 matrices and gives back only links
-   between components. No candidate that could join two components is left out, and no table of pairs is made.
+   outside the component are then compared with those inside and with each other, in blocks of about 1,024 nodes. The
+   registers of two blocks say by the corrected estimate which parts of them (of 128 nodes and 4 MB of text) hold pairs
+   that may be linked; only the texts of nodes in such pairs are sent, and a task computes the intersections of all
+   full sets of two parts as products of 0/1 matrices and gives back only links between components. No candidate that
+   could join two components is left out, and no table of pairs is made.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^6)^42 = 2e-9; at 0.8, 3e-6.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import connected_components
-from tessera.llm.shared import materialise, slices, table
+from tessera.llm.shared import materialise, slices, spread_join, table
 from tessera.llm.wordscan import STEP, U, mix, ngrams, word_hashes
 
 BUCKETS = 256
@@ -40,14 +42,16 @@ MANTISSA = 10
 BANDS, BAND_SIZE = 42, 6
 #: Standard errors of the estimate that a true pair may fall below the threshold.
 SLACK = 5.0
-#: Nodes of a group that are compared with as many others in one task.
-BLOCK = 256
+#: Nodes of a group whose registers are compared with those of as many others in one task.
+BLOCK = 1024
+#: Nodes and bytes of text whose full sets are compared with as many others in one task.
+PART, PART_BYTES = 128, 4 << 20
 
 _rng = np.random.default_rng(7)
 SEEDS = _rng.integers(1, 2**63, BUCKETS, dtype=np.uint64)
 BAND_SEEDS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 SKETCH = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("n_bytes", T.LongType()),
     T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("registers", T.BinaryType()),
 ])
 
@@ -117,7 +121,7 @@ def sketch_rows(size: int):
                     sums.append(mix(total + count.astype(np.uint64)).view(np.int64))
                 regs = sketches(key, row, n)
                 blobs = [r.tobytes() if c else None for r, c in zip(regs, count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count), pa.array(sums[0]), pa.array(sums[1]), pa.array(blobs, pa.binary())], SKETCH.fieldNames())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count), pa.array(np.diff(off)), pa.array(sums[0]), pa.array(sums[1]), pa.array(blobs, pa.binary())], SKETCH.fieldNames())
 
     return run
 
@@ -195,11 +199,58 @@ def confirmed(size: int, percent: int):
     return run
 
 
+def parts_of(n_bytes: np.ndarray) -> np.ndarray:
+    """The number of the part of each node: PART nodes and PART_BYTES bytes at most, or one longer text."""
+    part, nodes, held = np.zeros(len(n_bytes), np.int64), 0, 0
+    for k, n in enumerate(n_bytes.tolist()):
+        if k and (nodes == PART or held + n > PART_BYTES):
+            part[k:] += 1
+            nodes = held = 0
+        nodes, held = nodes + 1, held + n
+    return part
+
+
+def promising(threshold: float, percent: int):
+    """(task, node, label): the nodes of two blocks of a group that are in a pair of different labels whose estimate does
+    not rule the threshold out, by pairs of parts."""
+    least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / BUCKETS)
+
+    def run(group: pa.Table) -> pa.Table:
+        hub, low, high = (group.column(k)[0].as_py() for k in ("hub", "low", "high"))
+        node, label, block, n, size = (group.column(k).to_numpy() for k in ("node", "label", "part", "n", "n_bytes"))
+        regs = registers_of(group.column("registers"))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        other, mine, ids = regs[right], parts_of(size[left]), parts_of(size[right])
+        first = np.flatnonzero(np.diff(ids, prepend=-1)) if len(right) else np.zeros(0, np.int64)
+        out = []
+        for part in range(int(mine[-1]) + 1 if len(left) and len(right) else 0):
+            rows = left[mine == part]
+            near = np.zeros((len(rows), len(right)), bool)
+            for k, r in enumerate(rows):
+                share = (regs[r] == other).mean(1)
+                c = collision_rate(n[r], n[right])
+                near[k] = (share - c) / (1 - c) >= least
+            near &= (label[rows, None] != label[right]) & (100 * np.minimum(n[rows, None], n[right]) >= percent * np.maximum(n[rows, None], n[right]))
+            if low == high:
+                near &= node[rows, None] < node[right]
+            for k, at in enumerate(first):
+                cut = near[:, at : first[k + 1] if k + 1 < len(first) else len(right)]
+                a, b = rows[cut.any(1)], right[at : at + cut.shape[1]][cut.any(0)]
+                if len(a):
+                    both = np.unique(np.concatenate([a, b]))
+                    out.append((np.full(len(both), part * len(first) + k), node[both], label[both]))
+        part, node, label = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        same = lambda value, kind: pa.array(np.full(len(node), value), kind)
+        return pa.table({"hub": same(hub, pa.int64()), "low": same(low, pa.int64()), "high": same(high, pa.int64()), "part": part, "node": node, "label": label})
+
+    return run
+
+
 def compared(size: int, percent: int):
-    """The links between nodes of different labels in two blocks of a group, by their full sets."""
+    """The links between nodes of different labels, by their full sets."""
 
     def run(group: pa.Table) -> pa.Table:
-        node, label, part = (group.column(k).to_numpy() for k in ("node", "label", "part"))
+        node, label = (group.column(k).to_numpy() for k in ("node", "label"))
         keys, rows, at = [], [], 0
         for _, buf, off in slices(group.column("text")):
             key, row = shingle_sets(buf, off, size)
@@ -223,10 +274,7 @@ def compared(size: int, percent: int):
             has[row[a:b], column[a:b] - low] = 1
             shared += has @ has.T
         shared = shared.astype(np.int64)
-        linked = (100 * shared >= percent * (n[:, None] + n[None] - shared)) & (label[:, None] != label[None]) & (node[:, None] < node[None])
-        if group.column("low")[0] != group.column("high")[0]:  # pairs inside a block are not this group's
-            linked &= part[:, None] != part[None]
-        a, b = np.nonzero(linked)
+        a, b = np.nonzero((100 * shared >= percent * (n[:, None] + n[None] - shared)) & (label[:, None] != label[None]) & (node[:, None] < node[None]))
         return pa.table({"a": node[a], "b": node[b]})
 
     return run
@@ -243,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["set_a", "set_b"]
     nodes = all_rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
     nodes = materialise(nodes, "near-nodes")
-    own = all_rows.where("n_shingles > 0").join(nodes, key).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "registers").dropDuplicates(["node", "n", "registers"])
+    own = all_rows.where("n_shingles > 0").join(nodes, key).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "n_bytes", "registers").dropDuplicates(["node", "n", "registers"])
     own = materialise(own, "near-own")
     bands = own.select("node", "registers").mapInArrow(band_rows, "band long, node long")
     firsts = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first < _last").drop("_last")
@@ -268,14 +316,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = materialise(grouped.withColumn("inside", F.col("hub") == F.col("label")), "near-groups")
     count = lambda inside: F.ceil(F.sum(F.when(F.col("inside") == inside, 1).otherwise(0)) / BLOCK).cast("long")
     open_groups = grouped.groupBy("hub").agg(count(True).alias("_in"), count(False).alias("_out")).where("_out > 0")
-    rows_of = grouped.join(open_groups, "hub").withColumn("_slot", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("_in")).otherwise(F.col("_out"))))
+    rows_of = spread_join(grouped, open_groups, "hub", "node").withColumn("_slot", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("_in")).otherwise(F.col("_out"))))
     meet = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
     # blocks inside the hub's component have numbers below 0 and are compared with blocks outside only
     with_out = F.transform(upto("_out"), lambda k: F.when(F.col("inside"), meet(-1 - F.col("_slot"), k)).otherwise(meet(F.least("_slot", k), F.greatest("_slot", k))))
     with_in = F.when(F.col("inside"), F.array().cast("array<struct<low:bigint,high:bigint>>")).otherwise(F.transform(upto("_in"), lambda k: meet(-1 - k, F.col("_slot"))))
-    blocks = rows_of.join(texts, "node").select("hub", "node", "label", "text", F.when(F.col("inside"), -1 - F.col("_slot")).otherwise(F.col("_slot")).alias("part"), F.inline(F.concat(with_out, with_in)))
-    across = blocks.groupBy("hub", "low", "high").applyInArrow(compared(shingle, percent), "a long, b long").distinct()
+    blocks = rows_of.join(own, "node").select("hub", "node", "label", "n", "n_bytes", "registers", F.when(F.col("inside"), -1 - F.col("_slot")).otherwise(F.col("_slot")).alias("part"), F.inline(F.concat(with_out, with_in)))
+    tasks = blocks.groupBy("hub", "low", "high").applyInArrow(promising(percent / 100, percent), "hub long, low long, high long, part long, node long, label long")
+    tasks = materialise(tasks, "near-tasks")
+    across = tasks.join(texts, "node").groupBy("hub", "low", "high", "part").applyInArrow(compared(shingle, percent), "a long, b long").distinct()
     links = stars.unionByName(materialise(across, "near-across"))
     labels = connected_components(links, "a", "b")
 

@@ -75,6 +75,14 @@ def slices(column: pa.Array, max_bytes: int = 1 << 21):
         row = end
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: str, by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """rows joined with a side that has one row for each key at most; the rows of one key are spread over salts tasks by
+    the column by, and the side is sent to each of them."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    repeated = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(repeated, [on, "_salt"], how).drop("_salt")
+
+
 def running_total(df: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), part_rows: int = 1 << 16) -> DataFrame:
     """df with out: the sum of value over the rows of the same group that come before, by the unsigned order of the
     64-bit hash in column order and then of ties.

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import near_dedup as M
 from tessera.llm.components import connected_components
+from tessera.llm.shared import slices
 from tests.llm.conftest import words
 
 
@@ -57,6 +59,67 @@ def test_a_family_of_edits_keeps_every_link(make_docs):
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 85)
 
 
+def test_groups_of_many_blocks_and_parts_keep_every_link(make_docs, monkeypatch):
+    """Families whose copies lie about the threshold, compared in blocks and parts of a few nodes, some texts longer."""
+    monkeypatch.setattr(M, "BLOCK", 32)
+    monkeypatch.setattr(M, "PART", 7)
+    monkeypatch.setattr(M, "PART_BYTES", 6000)
+    rng = random.Random(11)
+    rows = []
+    for family in range(3):
+        base = words(rng, (60, 150, 400)[family]).split()
+        for k in range(140):
+            copy = list(base)
+            for _ in range(rng.randint(2, len(base) // 25 + 2)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 400)}"
+            rows.append((1000 * family + k * 3 % 141, " ".join(copy)))
+    got = M.near_duplicates(make_docs(rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 3, 85)
+
+
+def sketched(texts):
+    column = pa.array(texts)
+    (_, buf, off), = slices(column)
+    key, row = M.shingle_sets(buf, off, 3)
+    return M.sketches(key, row, len(texts)), np.bincount(row, minlength=len(texts)), np.diff(off)
+
+
+@pytest.mark.parametrize("same_block", [False, True])
+def test_parts_hold_every_pair_at_the_threshold(monkeypatch, same_block):
+    monkeypatch.setattr(M, "PART", 9)
+    monkeypatch.setattr(M, "PART_BYTES", 20_000)
+    rng = random.Random(12)
+    base, texts = words(rng, 200).split(), []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(3, 9)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 99)}"
+        texts.append(" ".join(copy))
+    regs, n, size = sketched(texts)
+    block = [0 if same_block else k % 2 for k in range(120)]
+    label = [k // 2 for k in range(120)]
+    group = pa.table({"hub": [5] * 120, "low": [0] * 120, "high": [0 if same_block else 1] * 120, "node": list(range(120)), "label": label, "part": block, "n": n, "n_bytes": size, "registers": [r.tobytes() for r in regs]})
+    got = M.promising(0.85, 85)(group)
+    tasks = {}
+    for part, node in zip(got.column("part").to_pylist(), got.column("node").to_pylist(), strict=True):
+        tasks.setdefault(part, set()).add(node)
+    assert all(len(t) <= 18 for t in tasks.values())
+    sets = [shingles(t, 3) for t in texts]
+    links = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b] and (same_block or block[a] != block[b])}
+    assert len(links) > 20 and all(any({a, b} <= t for t in tasks.values()) for a, b in links)
+    found = set()
+    for t in tasks.values():
+        t = sorted(t)
+        x = M.compared(3, 85)(pa.table({"node": t, "label": [label[k] for k in t], "text": [texts[k] for k in t]}))
+        found |= set(zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True))
+    assert links <= found
+
+
+def test_parts_are_bounded_by_nodes_and_bytes():
+    assert M.parts_of(np.array([1] * (M.PART + 1))).tolist() == [0] * M.PART + [1]
+    assert M.parts_of(np.array([M.PART_BYTES, 1, M.PART_BYTES * 3, 2, 2])).tolist() == [0, 1, 2, 3, 3]
+
+
 def test_empty_table(make_docs):
     assert M.near_duplicates(make_docs([])).collect() == []
 
