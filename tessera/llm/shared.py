@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001  a session without the setting
-        found = None
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where a session on one machine has
+    none. On a cluster there is no folder to guess, so its lack is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,7 +83,7 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, by: str, salts: int =
     return spread.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
-def running_total(df: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), part_rows: int = 1 << 16) -> DataFrame:
+def running_total(df: DataFrame, group: str, order: str, value: str, out: str, ties: tuple[str, ...] = (), part_rows: int = 1 << 12) -> DataFrame:
     """df with out: the sum of value over the rows of the same group that come before, by the unsigned order of the
     64-bit hash in column order and then of ties.
 

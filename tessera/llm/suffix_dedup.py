@@ -48,6 +48,8 @@ SMALL = np.uint32(0x9E3779B1)
 #: A run and its last string end so many bytes after its start at most.
 MARGIN = 256
 FORTH, BACK = powers(PIECE + MARGIN + 1), powers(PIECE + MARGIN + 1, U(pow(int(STEP), -1, 1 << 64)))
+#: Parts that the figures of equal texts are made of.
+SALTS = 64
 #: Columns that name a text; th only where ids repeat.
 KEY = ["doc", "th"]
 
@@ -345,8 +347,12 @@ def removed_intervals(known: DataFrame, least: int = LEAST) -> DataFrame:
     key = keys(known.columns)
     typed = "".join(f", {k} {t}" for k, t in known.select(*key).dtypes)
     digests = known.where(F.octet_length("text") >= least).select(*key, F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high")).where("_low < _high")
-    copies = digests.join(firsts, "digest").where("doc > _low").select(*key).distinct()
+    # a text may have any share of the rows: its figures are made of those of salted parts, and rows meet their part's
+    digests = digests.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    parts = digests.groupBy("digest", "_salt").agg(F.min("doc").alias("_low"), F.max("doc").alias("_high"))
+    firsts = parts.groupBy("digest").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high")).where("_low < _high")
+    firsts = parts.select("digest", "_salt").join(firsts, "digest")
+    copies = digests.join(firsts, ["digest", "_salt"]).where("doc > _low").select(*key).distinct()
     of_anchor = W.partitionBy("anchor")
     each = known  # of rows that repeat id and text one is ranked; the joins sort by the key in any case
     if len(key) > 1:
