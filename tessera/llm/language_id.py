@@ -39,6 +39,8 @@ LETTER = r"\p{L}"
 #: Word characters that are neither letters nor decimal digits: fractions, superscripts, Roman and circled numerals.
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 TOKENS = re.compile(rf"[^\W\d_{NUMERALS}]+|\n+")
+#: The same for texts without such numerals, twice as fast; a token of it that is not all letters says that a text has some.
+QUICK = re.compile(r"[^\W\d_]+|\n+")
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -158,28 +160,42 @@ class Remembered(dict):
         super().__init__()
         self.weights, self.scores = weights, np.zeros((1, weights.shape[1]), np.float32)
 
-    def learn(self, tokens: list[str]) -> None:
-        """Scores for those tokens that are new, all at once; starts anew where the table has grown too long."""
+    def unknown(self, tokens: list[str]) -> set[str]:
+        """The words among tokens that have no scores yet; starts anew where the table has grown too long."""
         if len(self) > REMEMBERED:
             self.clear()
             self.scores = self.scores[:1]
-        new = [t for t in set(tokens).difference(self) if t[0] != "\n" or self.setdefault(t, 0)]
-        if not new:
+        return {t for t in set(tokens).difference(self) if t[0] != "\n" or self.setdefault(t, 0)}
+
+    def learn(self, words: set[str]) -> None:
+        """Scores for new words, all at once."""
+        if not words:
             return
+        new = list(words)
         columns, owners = features(new)
         scores = np.stack([np.bincount(owners, self.weights[columns, x], len(new)) for x in range(self.weights.shape[1])], 1)
         self.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
 
 
-def label_words(texts: list[str], known: Remembered, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each word, its distribution over languages) for all words of the texts, in order."""
+def tokenised(texts: list[str], pattern: re.Pattern) -> tuple[list[str], list[int]]:
+    """The tokens of all texts, and how many each has."""
     tokens, sizes = [], []
     for t in texts:
-        found = TOKENS.findall(t.lower())
+        found = pattern.findall(t.lower())
         sizes.append(len(found))
         tokens += found
-    known.learn(tokens)
+    return tokens, sizes
+
+
+def label_words(texts: list[str], known: Remembered, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each word, its distribution over languages) for all words of the texts, in order."""
+    tokens, sizes = tokenised(texts, QUICK)
+    new = known.unknown(tokens)
+    if not all(map(str.isalpha, new)):
+        tokens, sizes = tokenised(texts, TOKENS)
+        new = known.unknown(tokens)
+    known.learn(new)
     rows = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
     text = np.repeat(np.arange(len(texts)), sizes)
     word = rows > 0
