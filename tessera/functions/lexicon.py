@@ -67,3 +67,27 @@ ENTITY_QUESTION = r"(?i)^what does the (?:book|it) say about .+\??$"
 INLINE_CITATION = r"\[(\d+|[A-Za-z]+\s+et\s+al\.,?\s*\d{4})\]"
 CATALOG = r"(?i)(ISBN(?:-13|-10)?:\s*[\d\-X]+|LCCN\s*[\d]+|Copyright\s*©\s*[\d]{4}[^\n]*)"
 ATTRIBUTION = r"(?i)(Excerpt\s+from\s+[^\n]+|As\s+told\s+to\s+[^\n]+)"
+
+# Patterns of assets.
+HTML_TABLE = r"(?is)<table>.*?</table>"
+MARKDOWN_IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+HTML_IMAGE = r"""(?i)<img\s+[^>]*src=["']([^"']+)["'][^>]*>"""
+ALT_TEXT = r"""(?i)alt=["']([^"']+)["']"""
+DISPLAY_MATH = r"(?s)\$\$(.*?)\$\$|\\\[(.*?)\\\]"
+BIBLIOGRAPHY_HEADING = r"(?i)^#{1,6}\s+(references|bibliography)"
+BIBLIOGRAPHY_ITEM = r"^(?:\d+\.|\*|\[\d+\]|\[[^\]]+\])\s+.+"
+FOOTNOTE_TEXT = r"\[\^([^\]]+)\]:\s*(.+)"
+FOOTNOTE_MARK = r"\[\^([^\]]+)\]"
+
+# Prefixes of asset ids.
+ASSET_PREFIX = {"table": "tbl", "figure": "fig", "code": "code", "equation": "eq", "citation": "cit"}
+
+# Legal moves of a question's job.
+QUESTION_MOVES = [
+    ("pending", "planning"), ("pending", "cancelled"), ("planning", "retrieving"), ("planning", "failed"), ("planning", "cancelled"),
+    ("retrieving", "generating"), ("retrieving", "failed"), ("retrieving", "cancelled"), ("generating", "verifying"),
+    ("generating", "failed"), ("generating", "cancelled"), ("verifying", "completed"), ("verifying", "failed"), ("verifying", "cancelled"),
+]
+
+# Kinds of content that a filter may name.
+CONTENT_TYPES = ["paragraph", "table", "code", "list", "equation", "figure"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -63,12 +64,15 @@ def point_id(document: Column, path: Column, order: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿşğ", "aaaaaaceeeeiiiinooooouuuuyysg"
+#: Lower-case Latin letters with marks and the letters that they stand on, by canonical decomposition.
+_BASES = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (d := unicodedata.normalize("NFD", c)) != c and "a" <= d[0] <= "z"}
+ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
 
 
 def slug(text: Column) -> Column:
     """Letters without marks, digits, and hyphens for all else; `section` where nothing is left."""
-    s = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[^a-z0-9]+", "-")
+    letters = F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", "")
+    s = F.regexp_replace(letters, "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
     return F.when(s == "", F.lit("section")).otherwise(s)
 

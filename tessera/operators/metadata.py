@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,32 @@ def author(metadata: Column, early_text: Column) -> Column:
     return F.when((F.coalesce(metadata, F.lit("")) != "") & ~is_generic(metadata), metadata).when(F.size(lines) > 0, title_case(name(F.get(lines, F.lit(0))))).otherwise("Unknown Author")
 
 
+def from_map(raw: DataFrame, first_heading: Column, pages: Column, last_chunk_page: Column) -> DataFrame:
+    """Document metadata from a JSON map (document_id, metadata): title falls back on the first root heading, the number of
+    pages on that of the page map or the last page of a chunk, 1 at least; texts are searchable unless the map says no."""
+    text = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("metadata", f"$.{n}"), F.lit("")) for n in names])
+    flag = lambda name, default: F.coalesce(F.get_json_object("metadata", f"$.{name}").try_cast("boolean"), F.lit(default))
+    given = F.get_json_object("metadata", "$.page_count").try_cast("int")
+    fonts = F.from_json(F.coalesce(F.get_json_object("metadata", "$.fonts"), F.lit("[]")), "array<string>")
+    return raw.select(
+        "document_id", F.coalesce(text("title"), F.nullif(first_heading, F.lit("")), F.lit("Untitled Document")).alias("title"), text("author").alias("author"), text("creator").alias("creator"),
+        text("producer").alias("producer"), text("pageDimensions", "page_dimensions").alias("page_dimensions"), text("pdfType", "pdf_type").alias("pdf_type"),
+        F.when(given > 0, given).otherwise(F.greatest(pages, F.coalesce(last_chunk_page, F.lit(0)), F.lit(1))).alias("page_count"),
+        F.filter(F.coalesce(fonts, F.array().cast("array<string>")), lambda f: f != "").alias("fonts"), flag("encrypted", False).alias("encrypted"), flag("searchable", True).alias("searchable"),
+    )
+
+
+def consistent(metadata: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Metadata whose page_count of 0 is the number of pages or the last page of a chunk, and which is searchable where any
+    page has text. pages: document_id, page_number, markdown; chunks: document_id, pages."""
+    p = pages.groupBy("document_id").agg(F.count("*").cast("int").alias("_n"), F.max(F.coalesce("markdown", F.lit("")) != "").alias("_text"))
+    c = chunks.groupBy("document_id").agg(F.max(F.array_max("pages")).alias("_last"))
+    both = metadata.join(p, "document_id", "left").join(c, "document_id", "left")
+    most = F.greatest(F.coalesce("_n", F.lit(0)), F.coalesce("_last", F.lit(0)))
+    count = F.when(F.col("page_count") == 0, most).otherwise(F.col("page_count"))
+    return both.withColumns({"page_count": count, "searchable": F.col("searchable") | F.coalesce("_text", F.lit(False))}).drop("_n", "_text", "_last")
+
+
 def filled_statistics(chunks: DataFrame, text_col: str) -> DataFrame:
     """Chunks whose zero counts are filled: bytes of the text, and a quarter of that, 1 at least; others stay."""
     some = F.coalesce(text_col, F.lit("")) != ""
@@ -49,21 +76,25 @@ def block_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     flat = lambda c: X.bare(F.regexp_replace(c, r"\s+", " "))
     p = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", flat(F.col("markdown")).alias("text")))).alias("pages"))
     b = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", flat(F.col("content")).alias("text")))).alias("blocks"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<block_ord:int,page:int>>").alias("out"))
-
-    def find(at, text):
-        n = F.length(text)
-        step = F.greatest(F.lit(1), F.floor(n / 4).cast("int"))
-        parts = [text, *[F.substring(text, F.lit(1), n - k * step) for k in (1, 2, 3)]]
-        hits = [F.filter("pages", lambda q, part=part: (q["page_number"] >= at) & (F.length(part) > 0) & q["text"].contains(part)) for part in parts]
-        return F.coalesce(*[F.get(h, F.lit(0))["page_number"] for h in hits])
-
-    def step(acc, block):
-        page = find(acc["at"], block["text"]).cast("int")
-        return F.struct(F.coalesce(page, acc["at"]).alias("at"), F.array_append(acc["out"], F.struct(block["block_ord"].cast("int").alias("block_ord"), page.alias("page"))).alias("out"))
-
-    joined = b.join(p, "document_id")
-    return joined.select("document_id", F.inline(F.aggregate("blocks", zero, step, lambda a: a["out"])))
+    return b.join(p, "document_id").select("document_id", F.inline(_found_pages("blocks", "pages")))
+
+
+@F.arrow_udf("array<struct<block_ord:int,page:int>>")
+def _found_pages(blocks: pa.Array, pages: pa.Array) -> pa.Array:
+    """The page of each block of each document, in one pass with a cursor."""
+    out = []
+    for mine, there in zip(blocks.to_pylist(), pages.to_pylist(), strict=True):
+        at, found = 0, []
+        for block in mine:
+            text, n = block["text"], len(block["text"])
+            step = max(1, n // 4)
+            ahead = [p for p in there if p["page_number"] >= at]
+            parts = [x for x in (text, *(text[: n - k * step] for k in (1, 2, 3))) if x]
+            page = next((p["page_number"] for part in parts for p in ahead if part in p["text"]), None)
+            at = at if page is None else page
+            found.append({"block_ord": block["block_ord"], "page": page})
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("block_ord", pa.int32()), ("page", pa.int32())])))
 
 
 def attach(chunks: DataFrame, names: list[str], text: Column, most: int = 2000) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions import lexicon as L
+from tessera.functions import text as X
 from tessera.operators.enrichment import ORGANISATION
 from tessera.plans.search import _BM25, _DENSE
 
@@ -62,7 +63,7 @@ w2 AS (SELECT *, CAST(sum(block_tokens) OVER (PARTITION BY query_id ORDER BY ref
 w3 AS (SELECT * FROM w2 WHERE ref = 1 OR total_tokens <= 4000)"""
 _SPAN = lambda size: f"(SELECT document_id, s AS r_start, least(s + {size} - 1, n - 1) AS r_end FROM (SELECT document_id, n, unnest(range(0, n, {size})) AS s FROM (SELECT doc_id AS document_id, strlen(text) AS n FROM documents WHERE strlen(text) > 0)))"
 _LSPAN = "ls AS (SELECT document_id, ord, start AS l_start, start + strlen(line) - 1 AS l_end FROM ln WHERE line <> '')"
-_ACC = "translate(lower(text), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿşğ', 'aaaaaaceeeeiiiinooooouuuuyysg')"
+_ACC = f"regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '\\p{{Mn}}', '', 'g')"
 _FIRST = "list_filter(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda s: " + _trim("s") + "), lambda s: s <> '')[1]"
 _FS = f"CASE WHEN ends_with({_FIRST}, '.') THEN {_FIRST} ELSE {_FIRST} || '.' END"
 _RICH = """rich AS (SELECT doc_id AS document_id, coalesce(text, '') || chr(10) || '![figure ' || doc_id || '](img/' || doc_id || '.png)' || chr(10) || 'as in [' || doc_id || '] and [Smith et al., 2020] $$x = ' || doc_id || '$$' || chr(10)

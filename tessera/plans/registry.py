@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, pipeline, search
+from tessera.plans import documents, pipeline, records, search
+
+MODULES = (search, documents, pipeline, records)
 
 
 def queries() -> dict:
-    return {**search.QUERIES, **documents.QUERIES, **pipeline.QUERIES}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {**search.ORACLE, **documents.ORACLE, **pipeline.ORACLE}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
