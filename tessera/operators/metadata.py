@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as X
@@ -79,7 +80,7 @@ def block_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return b.join(p, "document_id").select("document_id", F.inline(_found_pages("blocks", "pages")))
 
 
-@F.arrow_udf("array<struct<block_ord:int,page:int>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("block_ord", T.IntegerType()), T.StructField("page", T.IntegerType())])))
 def _found_pages(blocks: pa.Array, pages: pa.Array) -> pa.Array:
     """The page of each block of each document, in one pass with a cursor."""
     out = []
