@@ -72,3 +72,69 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def content_put(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(chunk_id, content) with the incoming rows in place of those of the same id."""
+    return upsert(stored, incoming, "chunk_id")
+
+
+def content_get(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, content) of the wanted ids; content is null where there is none."""
+    return wanted.select("chunk_id").distinct().join(stored, "chunk_id", "left")
+
+
+def content_delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    return stored.join(gone.select("chunk_id"), "chunk_id", "left_anti")
+
+
+POINTS = "document_id bigint, chunk_id string, point_id string, signature string, content string"
+VECTORS = "document_id bigint, point_id string, vector array<float>"
+POSTINGS = "document_id bigint, point_id string, term string, weight float, stats_version string"
+EVIDENCE = "document_id bigint, node_id string, chunk_id string, score double"
+
+
+class Index:
+    """The tables of an index, by document: points with content, vectors, postings and entity evidence."""
+
+    def __init__(self, spark, path: str, parts: int = 64):
+        from tessera.sources.storage import Table
+
+        self.points, self.vectors, self.postings, self.evidence = (Table(spark, f"{path}/{n}", s, parts) for n, s in (("points", POINTS), ("vectors", VECTORS), ("postings", POSTINGS), ("evidence", EVIDENCE)))
+
+
+def index_documents(index: Index, incoming: DataFrame, dims: int = 32) -> DataFrame:
+    """Bring the index to the state of incoming (document_id, chunk_id, content) and return the diff plan.
+
+    The plan is a full outer join by signature; what is deleted or changed goes, what is new or changed is embedded, gets
+    postings by the statistics of all texts that are kept, and gives its entities to the graph; unchanged points keep
+    their vectors. Every table is written once, as a new version.
+    """
+    from tessera.functions import text as X
+    from tessera.operators import enrichment as N
+    from tessera.operators import models as O
+    from tessera.operators import retrieval as R
+
+    point = X.point_id(F.col("document_id").cast("string"), F.col("chunk_id"), F.lit(0))
+    new = incoming.withColumns({"point_id": point, "signature": X.index_signature(X.content_hash(F.col("content")), "mock", "mock-embed", "1", "1.0.0")})
+    old = index.points.read()
+    plan = diff_plan(old, new)
+    work = plan.where("action IN ('new', 'modified')").select("point_id")
+    keep = plan.where("action = 'unchanged'").select("point_id")
+    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    fresh = new.join(work, "point_id", "left_semi").select(*columns(POINTS))
+    index.points.put(old.join(keep, "point_id", "left_semi").select(*columns(POINTS)).unionByName(fresh))
+    vectors = index.vectors.read().join(keep, "point_id", "left_semi").select(*columns(VECTORS))
+    index.vectors.put(vectors.unionByName(fresh.select("document_id", "point_id", O.mock_embedding(F.col("content"), dims).alias("vector"))))
+    now = index.points.read()
+    terms = R.term_counts(now, "point_id", F.col("content"))
+    stats = R.corpus_stats(now, F.col("content"))
+    made = R.postings(terms, R.document_frequencies(terms), stats).withColumnRenamed("id", "point_id")
+    made = made.crossJoin(F.broadcast(stats.select(R.stats_version().alias("stats_version"))))  # one row
+    index.postings.put(now.select("document_id", "point_id").join(made, "point_id").select(*columns(POSTINGS)))
+    found = N.mentions(fresh, "chunk_id", "content").select("chunk_id", F.lower("text").alias("node_id"), F.col("confidence").alias("score"))
+    evidence = found.join(fresh.select("document_id", "chunk_id"), "chunk_id").groupBy("document_id", "node_id", "chunk_id").agg(F.max("score").alias("score"))
+    kept = old.join(keep, "point_id", "left_semi").select("document_id", "chunk_id")
+    there = index.evidence.read().join(kept, ["document_id", "chunk_id"], "left_semi")
+    index.evidence.put(there.select(*columns(EVIDENCE)).unionByName(evidence.select(*columns(EVIDENCE))))
+    return plan

@@ -48,6 +48,27 @@ def top(scored: DataFrame, k: int, by: str = "query_id", item: str = "id", score
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def stats_version() -> Column:
+    """A version of corpus statistics: postings made with other ones have another."""
+    return F.substring(F.sha2(F.concat_ws(":", F.col("total_docs").cast("string"), F.format_string("%.6f", "avg_length")), 256), 1, 16)
+
+
+def bound_postings(persisted: DataFrame, incoming: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(postings of incoming texts, postings of queries): texts on their way in are weighed by the statistics of the
+    persisted and the incoming corpus, of which the incoming text of an id counts; queries by those of the persisted one."""
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    old, new, asked = (df.select(*columns) for df in (persisted, incoming, queries))
+    both = old.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+    def by(corpus: DataFrame, texts: DataFrame) -> DataFrame:
+        frequencies = document_frequencies(term_counts(corpus, "id", F.col("text")))
+        stats = corpus_stats(corpus, F.col("text"))
+        made = postings(term_counts(texts, "id", F.col("text")), frequencies, stats)
+        return made.crossJoin(F.broadcast(stats.select(stats_version().alias("stats_version"))))  # one row
+
+    return by(both, new), by(old, asked)
+
+
 def sparse_search(queries: DataFrame, index: DataFrame, k: int, places: int = 6) -> DataFrame:
     """(query_id, id, score, rank): dot products of query and document postings; only overlapping documents score."""
     q = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("query_weight"))

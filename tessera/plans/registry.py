@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, pipeline, records, search
+from tessera.plans import documents, pages, pipeline, records, search
 
-MODULES = (search, documents, pipeline, records)
+MODULES = (search, documents, pipeline, records, pages)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, status): `ok`, `not_pdf` or `encrypted` for each file, by its bytes; Spark's scan leaves empty files out."""
-    files = spark.read.format("binaryFile").load(path)
-    body = F.decode(F.col("content"), "ISO-8859-1")
-    status = (
-        F.when(~F.substring(body, 1, 1024).contains("%PDF-"), "not_pdf")
+def pdf_status(content: Column) -> Column:
+    """`ok`, `empty`, `not_pdf` or `encrypted`, by the bytes of a file."""
+    body = F.decode(content, "ISO-8859-1")
+    return (
+        F.when(F.octet_length(content) == 0, "empty")
+        .when(~F.substring(body, 1, 1024).contains("%PDF-"), "not_pdf")
         .when(body.contains("/Encrypt") & (body.contains("/Standard") | body.contains("/V ") | body.contains("/CF")), "encrypted")
         .otherwise("ok")
     )
+
+
+def pdf_files(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """(path, length, status) of each file under path, `too_large` beyond most_bytes; Spark's scan leaves empty files out."""
+    files = spark.read.format("binaryFile").load(path)
+    status = pdf_status(F.col("content"))
+    if most_bytes is not None:
+        status = F.when(F.col("length") > most_bytes, "too_large").otherwise(status)
     return files.select("path", "length", status.alias("status"))
 
 
@@ -57,9 +65,30 @@ def gold_set_violations(gold: DataFrame) -> DataFrame:
     return checked.select("id", F.explode(problems).alias("problem"))
 
 
+RESULT_VERSION = "1.0.0"
+
+
+def to_result(df: DataFrame) -> DataFrame:
+    """(result): each row as a JSON object with its schema version, nulls kept."""
+    rows = df.withColumn("schema_version", F.lit(RESULT_VERSION))
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("result"))
+
+
+def from_result(results: DataFrame, schema: str) -> DataFrame:
+    """Rows of JSON results; one of another schema version, or that is no JSON object, is an error when it is met."""
+    parsed = results.select(F.from_json("result", f"{schema}, schema_version string", {"mode": "PERMISSIVE"}).alias("r"))
+    version = F.col("r.schema_version")
+    checked = F.when(version.isNull() | (version != RESULT_VERSION), F.raise_error(F.concat(F.lit("results of schema version "), F.coalesce(version, F.lit("unknown"))))).otherwise(F.col("r"))
+    return parsed.select(checked.alias("r")).select("r.*").drop("schema_version")
+
+
 def write_result(df: DataFrame, path: str) -> None:
     """One JSON object a row, nulls kept, as the schema-versioned result sink."""
-    df.withColumn("schema_version", F.lit("1.0.0")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    to_result(df).write.mode("overwrite").text(path)
+
+
+def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return from_result(spark.read.text(path).withColumnRenamed("value", "result"), schema)
 
 
 def pages_from_layout(raw: DataFrame) -> DataFrame:
