@@ -36,11 +36,30 @@ def run_passes(passes: list[Pass], state: dict) -> tuple[dict, list[str]]:
     return state, skipped
 
 
-def keyword_counts(docs: DataFrame, by: list[str], text_col: str) -> DataFrame:
-    """(by, value, frequency): tokens over two bytes that are no digits and no stopwords."""
+def entity_fragments(names: DataFrame, by: list[str]) -> DataFrame:
+    """(by, value): the words of three bytes or more of entity names (by, name), in lower case."""
+    return names.select(*by, F.explode(X.words(F.lower("name"))).alias("value")).where(F.octet_length("value") >= 3).distinct()
+
+
+def keyword_counts(docs: DataFrame, by: list[str], text_col: str, id_col: str | None = None, fragments: DataFrame | None = None) -> DataFrame:
+    """(by, value, frequency): tokens over two bytes that are no digits, no stopwords and no fragments (by, value) of
+    entities; with id_col also chunks, the number of texts that hold the value."""
     stop = [*L.ENGLISH_STOPWORDS, *L.TURKISH_STOPWORDS]  # a fixed list
-    rows = docs.select(*by, F.explode(X.keyword_tokens(F.col(text_col))).alias("value"))
-    return rows.where((F.octet_length("value") > 2) & ~F.col("value").rlike("^[0-9]+$") & ~F.col("value").isin(*stop)).groupBy(*by, "value").agg(F.count("*").alias("frequency"))
+    ids = [F.col(id_col).alias("_id")] if id_col else []
+    rows = docs.select(*by, *ids, F.explode(X.keyword_tokens(F.col(text_col))).alias("value"))
+    rows = rows.where((F.octet_length("value") > 2) & ~F.col("value").rlike("^[0-9]+$") & ~F.col("value").isin(*stop))
+    if fragments is not None:
+        rows = rows.join(fragments, [*by, "value"], "left_anti")
+    if not id_col:
+        return rows.groupBy(*by, "value").agg(F.count("*").alias("frequency"))
+    each = rows.groupBy(*by, "value", "_id").agg(F.count("*").alias("_n"))
+    return each.groupBy(*by, "value").agg(F.sum("_n").alias("frequency"), F.count("*").alias("chunks"))
+
+
+def keyword_chunks(chosen: DataFrame, docs: DataFrame, by: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(by, value, chunk_id, uses): the texts of each chosen keyword, as rows, so that a common one makes no long array."""
+    rows = docs.select(*by, F.col(id_col).alias("chunk_id"), F.explode(X.keyword_tokens(F.col(text_col))).alias("value"))
+    return rows.join(chosen.select(*by, "value"), [*by, "value"]).groupBy(*by, "value", "chunk_id").agg(F.count("*").alias("uses"))
 
 
 def keywords(counts: DataFrame, by: list[str], k: int = 15) -> DataFrame:
@@ -76,11 +95,14 @@ def entities(found: DataFrame) -> DataFrame:
     return grouped.withColumn("score", F.round(F.least(F.lit(1.0), 0.8 + 0.1 * (F.col("mentions") - 1)), 6))
 
 
-def concepts(headings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(concept_id, name, score): headings of levels 1 to 3, and phrases of several words with a score of 0.75 or more."""
+def concepts(headings: DataFrame, phrases: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """(concept_id, name, score): headings of levels 1 to 3, and phrases of several words with a score of 0.75 or more that
+    are no fragment (value) of an entity's name."""
     level = F.when(F.col("level") == 1, 0.98).when(F.col("level") == 2, 0.94).otherwise(0.90)
     a = headings.where((F.col("level") <= 3) & (X.bare(F.col("heading")) != "")).select(X.bare(F.col("heading")).alias("name"), level.alias("score"), F.lit(0).alias("_p"))
     b = phrases.where((F.col("score") >= 0.75) & (F.length("value") > 3) & F.col("value").contains(" ")).select(F.col("value").alias("name"), "score", F.lit(1).alias("_p"))
+    if fragments is not None:
+        b = b.join(fragments.select(F.col("value").alias("_f")), F.lower(F.trim("name")) == F.col("_f"), "left_anti")
     best = F.min_by(F.struct("name", "score"), F.struct("_p", -F.col("score"), F.col("name"))).alias("c")
     return a.unionByName(b).groupBy(F.lower("name").alias("key")).agg(best).select(F.concat(F.lit("concept:"), X.concept_slug(F.col("c.name"))).alias("concept_id"), "c.name", "c.score")
 
@@ -100,6 +122,63 @@ def relations(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return rows.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.min("chunk_id").alias("chunk_id"))
 
 
+def named_in(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk_id, name): the names (name) that a lower-cased text holds anywhere.
+
+    A name meets the texts that hold its rarest piece of four characters (or the whole name, if it is shorter), an
+    equi-join on pieces that names have; what meets is then looked for in the text. Neither side is broadcast.
+    """
+    low = F.lower("name")
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, F.lit(n))))
+    own = names.where(F.length("name") > 0).select("name", low.alias("_low")).distinct()
+    texts = docs.select(F.col(id_col).alias("chunk_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("_text"))
+    found = []
+    for size in (1, 2, 3, 4):
+        mine = own.where(F.length("_low") == size if size < 4 else F.length("_low") >= 4)
+        if size < 4:
+            there = texts.select("chunk_id", F.explode(pieces(F.col("_text"), size)).alias("_piece"))
+            found.append(mine.select("name", F.col("_low").alias("_piece")).join(there, "_piece").select("chunk_id", "name"))
+            continue
+        cut = mine.select("name", "_low", F.explode(pieces(F.col("_low"), size)).alias("_piece"))
+        there = texts.select("chunk_id", F.explode(pieces(F.col("_text"), size)).alias("_piece")).join(cut.select("_piece").distinct(), "_piece", "left_semi")
+        common = there.groupBy("_piece").agg(F.count("*").alias("_n"))
+        rarest = cut.join(common, "_piece").groupBy("name", "_low").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"), F.first(F.size(pieces(F.col("_low"), size))).alias("_all"))
+        rarest = rarest.where("_have = _all").drop("_have", "_all")  # a name with a piece that no text has is in none
+        met = there.join(rarest, "_piece").select("chunk_id", "name", "_low").join(texts, "chunk_id")
+        found.append(met.where(F.col("_text").contains(F.col("_low"))).select("chunk_id", "name"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def related_concepts(found: DataFrame, attached: DataFrame) -> DataFrame:
+    """(subject, predicate, object, confidence, chunk_id): each entity named in a text `relates_to` the concepts (chunk_id,
+    concept_id) that the text holds; the first text of a relation counts."""
+    ids = found.select("chunk_id", F.concat_ws(":", "type", F.lower("text")).alias("subject")).distinct()
+    rows = ids.join(attached.select("chunk_id", F.col("concept_id").alias("object")).distinct(), "chunk_id")
+    return rows.groupBy("subject", F.lit("relates_to").alias("predicate"), "object").agg(F.lit(0.80).alias("confidence"), F.min("chunk_id").alias("chunk_id"))
+
+
+def summary_with_topics(summaries: DataFrame, topics: DataFrame, by: str, k: int = 3) -> DataFrame:
+    """summaries (by, summary) with the names of the k best concepts (by, name, score) of each group."""
+    ranked = topics.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(F.col("score").desc(), "name"))).where(F.col("_n") <= k)
+    names = ranked.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]), ", ").alias("_names"))
+    text = F.concat_ws(" ", F.nullif(F.col("summary"), F.lit("")), F.when(F.col("_names").isNotNull(), F.concat(F.lit("Key Topics: "), F.col("_names"), F.lit("."))))
+    return summaries.join(names, by, "full").select(by, text.alias("summary")).where("summary <> ''")
+
+
+def recognised(docs: DataFrame, id_col: str, text_col: str, recogniser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Mentions by a recogniser (chunk_id, text) -> (chunk_id, text, type, confidence); a text for which it gives nothing, or
+    a null text (an error), falls back on the rules. Without a recogniser all do."""
+    if recogniser is None:
+        return mentions(docs, id_col, text_col)
+    own = docs.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    given = recogniser(own).where("text IS NOT NULL").select("chunk_id", "text", "type", "confidence")
+    rest = own.join(given.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return given.unionByName(mentions(rest, "chunk_id", "text"))
+
+
 def document_summary(docs: DataFrame, by: str, id_col: str, text_col: str, sentences: int = 3) -> DataFrame:
     """(by, summary): the first sentences of the first texts of each group, by a bounded partial aggregate of ranks."""
     first = docs.select(F.col(by), F.col(id_col).alias("_id"), X.first_sentence(F.col(text_col)).alias("s")).where("s IS NOT NULL")

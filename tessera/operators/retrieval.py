@@ -142,6 +142,45 @@ def fuse(streams: list[tuple[DataFrame, float]], k: int, constant: int = 60, pla
     return top(union.groupBy("query_id", "id").agg(F.round(F.sum("part"), places).alias("score")), k)
 
 
+def with_content(hits: DataFrame, *stores: DataFrame, payload: str | None = None) -> DataFrame:
+    """Hits with content: that of the hit's own payload column if it is not empty, else that of the first store
+    (id, content) that has some; null where none does. Ranks stay as they are."""
+    some = lambda c: F.when(c != "", c)
+    found = [some(F.col(payload))] if payload else []
+    out = hits
+    for k, store in enumerate(stores):
+        out = out.join(store.select("id", F.col("content").alias(f"_c{k}")), "id", "left")
+        found.append(some(F.col(f"_c{k}")))
+    return out.withColumn("content", F.coalesce(*found)).drop(*[f"_c{k}" for k in range(len(stores))])
+
+
+def graph_fuse(dense: DataFrame, graph: DataFrame | None, k: int, graph_weight: float = 1.0, dense_weight: float = 1.0) -> DataFrame:
+    """(query_id, id, score, rank): dense and graph hits fused by reciprocal ranks; without a graph, with a weight of 0 or
+    less, or for a query without graph hits, the dense hits stay as they are."""
+    plain = dense.where(F.col("rank") <= (k if k > 0 else 10)).select("query_id", "id", "score", "rank")
+    if graph is None or graph_weight <= 0:
+        return plain
+    asked = graph.select("query_id").distinct()
+    fused = fuse([(dense.join(asked, "query_id", "left_semi"), dense_weight), (graph, graph_weight)], k if k > 0 else 10)
+    return plain.join(asked, "query_id", "left_anti").unionByName(fused.select("query_id", "id", "score", "rank"))
+
+
+def query_problems(queries: DataFrame) -> DataFrame:
+    """(query_id, problem) of queries (query_id, query, page_numbers, content_types): empty texts, pages below 1 and
+    unknown kinds of content."""
+    from tessera.functions.lexicon import CONTENT_TYPES
+
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    pages = F.transform(F.filter(F.coalesce("page_numbers", F.array().cast("array<int>")), lambda p: p < 1), lambda p: F.concat(F.lit("invalid page number "), p.cast("string")))
+    kinds = F.transform(F.filter(texts(F.col("content_types")), lambda c: ~c.isin(*CONTENT_TYPES)), lambda c: F.concat(F.lit("unsupported content type "), c))
+    empty = F.when(F.coalesce("query", F.lit("")) == "", F.array(F.lit("empty query"))).otherwise(F.array().cast("array<string>"))
+    return queries.select("query_id", F.explode(F.concat(empty, pages, kinds)).alias("problem"))
+
+
+def normalised_top_k(top_k: Column, default: int = 10) -> Column:
+    return F.when(F.coalesce(top_k, F.lit(0)) <= 0, default).otherwise(top_k)
+
+
 def merge_ranked(lists: DataFrame, k: int) -> DataFrame:
     """Round robin by rank over lists (query_id, list_no, rank, id): the first place of an id counts."""
     first = lists.groupBy("query_id", "id").agg(F.min(F.struct("rank", "list_no")).alias("at"))

@@ -124,9 +124,13 @@ def graph_retrieve(spark, sf_dir):
 
     A token meets the names that share its first two letters in a row (an equi-join), then the names that contain it.
     """
+    return _graph_hits(*_graph_sides(spark, sf_dir))
+
+
+def _graph_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     nodes = I.entity_nodes(N.mentions(_named(spark, sf_dir), "chunk_id", "text"))
     queries = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("What does the book say about anton"), F.col("c_custkey").cast("string"), F.lit(" and rubin?")).alias("q"))
-    return _graph_hits(queries, nodes)
+    return queries, nodes
 
 
 def _graph_hits(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, pages, pipeline, records, search
+from tessera.plans import documents, pages, pipeline, quality, records, search
 
-MODULES = (search, documents, pipeline, records, pages)
+MODULES = (search, documents, pipeline, records, pages, quality)
 
 
 def queries() -> dict:

@@ -144,7 +144,7 @@ def kill_gate(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     hits, totals = _judged(spark, sf_dir)
     m = E.ranked_metrics(hits, totals.select("query_id", "n"), 5)
-    return E.bootstrap_interval(m.select("query_id", (F.col("ndcg") - F.col("recall")).alias("delta")), 1000)
+    return E.bootstrap_interval(m.select("query_id", (F.col("ndcg") - F.col("recall")).alias("delta")))
 
 
 QUERIES = {f.__name__: f for f in (corpus_stats, term_df_topk, posting_weights, bm25_topk, dense_topk_cosine, dense_min_score, rrf_hybrid, rrf_dense_biased, rrf_sparse_cap, merge_ranked_lists, metadata_filter, rerank_structure, ir_metrics, ir_metrics_rollup, no_evidence, abstention_signals, percentile_ceil, lower_median, kill_gate, bootstrap_ci)}

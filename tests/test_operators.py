@@ -99,7 +99,11 @@ def test_citations(spark):
     sources = spark.createDataFrame([(i, r) for i in (1, 2, 3) for r in (1, 2)], "answer_id long, ref int")
     got = {r.answer_id: tuple(r)[1:] for r in A.verify_citations(answers, sources).collect()}
     assert got == {1: (5, 2, 1, "unverified"), 2: (0, 0, 0, "unverified"), 3: (1, 1, 0, "verified")}
-    assert one(spark, A.gate_decision(F.col("t")), t='{"decision": "supported"}') == "supported" and one(spark, A.gate_decision(F.col("t")), t="yes") == "unsupported"
+    assert one(spark, A.gate_decision(F.col("t")), t='{"decision": "supported"}') == "supported" and one(spark, A.gate_decision(F.col("t")), t="yes") == "gate_error"
+    odd = {' {"decision": " Unsupported "} ': "unsupported", '{"decision": "supported", "why": 1}': "supported", '{"decision": "supported"} and more': "gate_error", '{"decision": "supported"} {}': "gate_error", '{"decision": "maybe"}': "gate_error", '["supported"]': "gate_error", "{}": "gate_error", "": "gate_error"}
+    assert {t: one(spark, A.gate_decision(F.col("t")), t=t) for t in odd} == odd
+    assert one(spark, A.attempted_decision(F.lit("?"), F.col("t")), t='{"decision": "supported"}') == "supported" and one(spark, A.attempted_decision(F.col("t"), F.lit("!")), t="?") == "gate_error"
+    assert [one(spark, A.lower_median_decision(F.split(F.col("t"), " ")), t=t) for t in ("supported", "gate_error supported", "unsupported gate_error gate_error", "gate_error unsupported supported")] == ["supported", "supported", "gate_error", "unsupported"]
 
 
 def test_diff_is_idempotent_and_upsert(spark):
