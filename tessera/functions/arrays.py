@@ -43,3 +43,59 @@ def greedy_groups(budget: int):
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(groups))
 
     return run
+
+
+def grams(text: str | None, sizes: tuple[int, ...]) -> np.ndarray:
+    """The distinct byte n-grams of a text, n of 4 at most, as numbers that also tell n."""
+    data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.int64)
+    out = [np.zeros(0, np.int64)]
+    for n in sizes:
+        m = len(data) - n + 1
+        if m > 0:
+            value = np.full(m, n, np.int64)
+            for k in range(n):
+                value = (value << 8) | data[k : k + m]
+            out.append(np.unique(value))
+    return np.concatenate(out)
+
+
+def byte_grams(sizes: tuple[int, ...], bits: np.ndarray | None = None):
+    """A function from texts to their distinct n-grams, of which a bitmap of fixed size lets those through that it has."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(text: pa.Array) -> pa.Array:
+        found = []
+        for t in text:
+            g = grams(t.as_py(), sizes)
+            found.append(g if bits is None else g[has(bits, g)])
+        offsets = np.append(0, np.cumsum([len(g) for g in found])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+    return run
+
+
+#: Bits of a bitmap, as a power of two: 2 MB however many values it stands for.
+BITMAP = 24
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)
+
+
+def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _places(values).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def bitmap(values, column: str) -> np.ndarray:
+    """One bit for each value of a column of numbers, at its hash; made of partial sums, at most 2^18 numbers come back."""
+
+    def words(batches):
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
+
+    got = values.select(column).mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out

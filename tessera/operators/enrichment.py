@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions import lexicon as L
 from tessera.functions import text as X
 
@@ -125,31 +127,23 @@ def relations(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 def named_in(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(chunk_id, name): the names (name) that a lower-cased text holds anywhere.
 
-    A name meets the texts that hold its rarest piece of four characters (or the whole name, if it is shorter), an
-    equi-join on pieces that names have; what meets is then looked for in the text. Neither side is broadcast.
+    A name meets the texts that hold its rarest piece of four bytes (the whole name, if it is shorter) by an equi-join; what
+    meets is then looked for in the text. A bitmap of fixed size keeps pieces that no name has out of the join, so neither
+    names nor texts are broadcast.
     """
-    low = F.lower("name")
-    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, F.lit(n))))
-    own = names.where(F.length("name") > 0).select("name", low.alias("_low")).distinct()
+    own = names.where(F.length("name") > 0).select("name", F.lower("name").alias("_low")).distinct()
+    size = F.least(F.octet_length("_low"), F.lit(4))
+    sizes = tuple(sorted(r[0] for r in own.select(size.alias("n")).distinct().collect()))  # four numbers at most
     texts = docs.select(F.col(id_col).alias("chunk_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("_text"))
-    found = []
-    for size in (1, 2, 3, 4):
-        mine = own.where(F.length("_low") == size if size < 4 else F.length("_low") >= 4)
-        if size < 4:
-            there = texts.select("chunk_id", F.explode(pieces(F.col("_text"), size)).alias("_piece"))
-            found.append(mine.select("name", F.col("_low").alias("_piece")).join(there, "_piece").select("chunk_id", "name"))
-            continue
-        cut = mine.select("name", "_low", F.explode(pieces(F.col("_low"), size)).alias("_piece"))
-        there = texts.select("chunk_id", F.explode(pieces(F.col("_text"), size)).alias("_piece")).join(cut.select("_piece").distinct(), "_piece", "left_semi")
-        common = there.groupBy("_piece").agg(F.count("*").alias("_n"))
-        rarest = cut.join(common, "_piece").groupBy("name", "_low").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"), F.first(F.size(pieces(F.col("_low"), size))).alias("_all"))
-        rarest = rarest.where("_have = _all").drop("_have", "_all")  # a name with a piece that no text has is in none
-        met = there.join(rarest, "_piece").select("chunk_id", "name", "_low").join(texts, "chunk_id")
-        found.append(met.where(F.col("_text").contains(F.col("_low"))).select("chunk_id", "name"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    parts = [own.where(size == n).select("name", "_low", A.byte_grams((n,))(F.col("_low")).alias("_g")) for n in sizes]
+    cut = reduce(DataFrame.unionByName, parts, own.where("false").select("name", "_low", F.array().cast("array<bigint>").alias("_g")))
+    pieces = cut.select("name", "_low", F.size("_g").alias("_all"), F.explode("_g").alias("_piece"))
+    there = texts.select("chunk_id", F.explode(A.byte_grams(sizes, A.bitmap(pieces, "_piece"))(F.col("_text"))).alias("_piece"))
+    common = there.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = pieces.join(common, "_piece").groupBy("name", "_low", "_all").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"))
+    rarest = rarest.where("_have = _all").select("name", "_low", "_piece")  # a name with a piece that no text has is in none
+    met = there.join(rarest, "_piece").select("chunk_id", "name", "_low").join(texts, "chunk_id")
+    return met.where(F.col("_text").contains(F.col("_low"))).select("chunk_id", "name").distinct()
 
 
 def related_concepts(found: DataFrame, attached: DataFrame) -> DataFrame:

@@ -76,6 +76,73 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int, places: int = 6)
     return top(scores, k)
 
 
+def sparse_self_search(index: DataFrame, is_query: Column, k: int, places: int = 6, query_rows: int = 1024, block_rows: int = 8192) -> DataFrame:
+    """sparse_search of the index's own texts that meet is_query (a condition on id), in blocks.
+
+    A common term would pair its share of the queries with its share of the corpus in one key. Here blocks of query texts
+    meet blocks of texts once each, a task makes the products of its two blocks as matrices over their common terms and
+    keeps the k best of each query, and one window ranks what the blocks give.
+    """
+    ids = index.select("id").distinct().agg(F.count("*").alias("n"), F.sum(F.when(is_query, 1).otherwise(0)).alias("q")).first()
+    parts, query_parts = max(1, -(-ids.n // block_rows)), max(1, -(-(ids.q or 0) // query_rows))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    meet = lambda asks, query_block, block: F.struct(F.lit(asks).alias("asks"), query_block.alias("query_block"), block.alias("block"))
+    as_query = F.when(is_query, F.transform(every(parts), lambda b: meet(True, own(query_parts), b))).otherwise(F.array().cast("array<struct<asks:boolean,query_block:bigint,block:bigint>>"))
+    as_text = F.transform(every(query_parts), lambda b: meet(False, b, own(parts)))
+    rows = index.groupBy("id").agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list("weight").alias("weights"))
+    both = rows.select("id", "terms", "weights", F.inline(F.concat(as_query, as_text)))
+    return top(both.groupBy("query_block", "block").applyInArrow(_block_products(k, places), "query_id bigint, id bigint, score double"), k)
+
+
+def _block_products(k: int, places: int):
+    """The k best texts of each query of a block of queries among a block of texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    def side(group: pa.Table, asks: bool):
+        part = group.filter(pa.array(group.column("asks").to_numpy() == asks)).combine_chunks()
+        lists = part.column("terms").combine_chunks() if part.num_rows else None
+        if lists is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        size = np.diff(lists.offsets.to_numpy())
+        values = part.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return part.column("id").to_numpy(), np.repeat(np.arange(part.num_rows), size), lists.flatten().to_numpy(zero_copy_only=False), values
+
+    def run(group: pa.Table) -> pa.Table:
+        q_id, q_row, q_term, q_weight = side(group, True)
+        d_id, d_row, d_term, d_weight = side(group, False)
+        out = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if len(q_id) and len(d_id):
+            terms = np.intersect1d(q_term, d_term)
+            at = lambda t: np.searchsorted(terms, t) if len(terms) else np.zeros(len(t), np.int64)
+            known = lambda t: (terms[np.minimum(at(t), len(terms) - 1)] == t) if len(terms) else np.zeros(len(t), bool)
+            qk, dk = known(q_term), known(d_term)
+            q_row, q_col, q_weight = q_row[qk], at(q_term[qk]), q_weight[qk]
+            d_row, d_col, d_weight = d_row[dk], at(d_term[dk]), d_weight[dk]
+            total = np.zeros((len(q_id), len(d_id)))
+            order_q, order_d = np.argsort(q_col, kind="stable"), np.argsort(d_col, kind="stable")
+            q_row, q_col, q_weight, d_row, d_col, d_weight = (x[o] for o, xs in ((order_q, (q_row, q_col, q_weight)), (order_d, (d_row, d_col, d_weight))) for x in xs)
+            width = max(1, (1 << 22) // (len(q_id) + len(d_id)))  # columns of the two matrices at a time, 32 MB together
+            for low in range(0, len(terms), width):
+                a, b = np.searchsorted(q_col, (low, low + width)), np.searchsorted(d_col, (low, low + width))
+                x, y = np.zeros((len(q_id), min(width, len(terms) - low))), np.zeros((len(d_id), min(width, len(terms) - low)))
+                x[q_row[a[0] : a[1]], q_col[a[0] : a[1]] - low] = q_weight[a[0] : a[1]]
+                y[d_row[b[0] : b[1]], d_col[b[0] : b[1]] - low] = d_weight[b[0] : b[1]]
+                total += x @ y.T
+            order = np.argsort(d_id)
+            d_id, total = d_id[order], np.round(total[:, order], places)
+            for i, row in enumerate(total):
+                # weights are above 0, so a text without a common term has 0; ties go to the lesser id
+                least = np.partition(row, -k)[-k] if len(row) > k else 0.0
+                some = np.flatnonzero((row >= least) & (row > 0))
+                best = some[np.argsort(-row[some], kind="stable")][:k]
+                out.append(pa.table({"query_id": np.full(len(best), q_id[i]), "id": d_id[best], "score": row[best]}))
+        return pa.concat_tables(out)
+
+    return run
+
+
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -86,7 +153,7 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm).otherwise(0.0)
 
 
-def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float = 0.0, places: int = 6, block_rows: int = 16384) -> DataFrame:
+def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float = 0.0, places: int = 6, query_rows: int = 4096, block_rows: int = 8192, tile: int = 256) -> DataFrame:
     """(query_id, id, score, rank): exact nearest neighbours by cosine.
 
     queries (query_id, query_vector) and points (id, vector) are cut into blocks of bounded size that meet once each, so
@@ -99,7 +166,7 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float
     dims = "query_id bigint, id bigint, score double"
     q = queries.select(F.lit(True).alias("is_query"), F.col("query_id").alias("key"), F.col("query_vector").alias("v"))
     p = points.select(F.lit(False).alias("is_query"), F.col("id").alias("key"), F.col("vector").alias("v"))
-    parts = {c: max(1, -(-df.count() // block_rows)) for c, df in (("query_block", queries), ("block", points))}
+    parts = {c: max(1, -(-df.count() // n)) for c, df, n in (("query_block", queries, query_rows), ("block", points, block_rows))}
     own = lambda c: F.pmod(F.xxhash64("key"), F.lit(parts[c]))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts[c] - 1).cast("bigint")))
     q = q.withColumn("query_block", own("query_block")).withColumn("block", every("block"))
@@ -116,14 +183,17 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float
             qs, ps = np.flatnonzero(side & (size == n)), np.flatnonzero(~side & (size == n))
             if not n or not len(ps):
                 continue
-            rows = lambda at: np.asarray(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)  # noqa: E731, B023
-            a, b = rows(qs), rows(ps)
-            norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]
-            sims = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), places)
-            keep = min(k, len(ps))
-            for i, row in zip(qs, sims, strict=True):
-                best = np.lexsort((key[ps], -row))[:keep]
-                out.append(pa.table({"query_id": np.full(keep, key[i]), "id": key[ps[best]], "score": row[best]}))
+            unit = lambda at: np.asarray(lists.take(pa.array(at)).flatten(), np.float64).reshape(len(at), n)  # noqa: E731, B023
+            a, b = unit(qs), unit(ps[np.argsort(key[ps])])
+            norm_a, norm_b, near = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)), np.sort(key[ps])
+            for low in range(0, len(qs), tile):  # tile queries with all points of the block at a time
+                norms = norm_a[low : low + tile, None] * norm_b[None]
+                sims = np.divide(a[low : low + tile] @ b.T, norms, out=np.zeros_like(norms), where=norms > 0).round(places)
+                for i, row in zip(qs[low : low + tile], sims, strict=True):
+                    least = np.partition(row, -k)[-k] if len(row) > k else -2.0
+                    some = np.flatnonzero(row >= least)
+                    best = some[np.argsort(-row[some], kind="stable")][:k]
+                    out.append(pa.table({"query_id": np.full(len(best), key[i]), "id": near[best], "score": row[best]}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     scores = both.groupBy("query_block", "block").applyInArrow(compare, dims)
