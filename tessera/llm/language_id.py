@@ -34,7 +34,9 @@ ROWS, RUNS, WORDS = 300, 6, 24
 WIDTH = 1 << 16
 EPOCHS, CHAINS, RATE, SWITCH = 4, 128, 0.4, 0.35
 #: Words that a worker remembers before it starts anew, and bytes of text that are labelled together.
-REMEMBERED, TOGETHER = 400_000, 4 << 20
+REMEMBERED, TOGETHER = 400_000, 2 << 20
+#: New words whose features are listed together.
+LEARNED = 1 << 14
 LETTER = r"\p{L}"
 #: Word characters that are neither letters nor decimal digits: fractions, superscripts, Roman and circled numerals.
 NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
@@ -168,14 +170,15 @@ class Remembered(dict):
         return {t for t in set(tokens).difference(self) if t[0] != "\n" or self.setdefault(t, 0)}
 
     def learn(self, words: set[str]) -> None:
-        """Scores for new words, all at once."""
-        if not words:
-            return
+        """Scores for new words, so many at once that the lists of their features stay small."""
         new = list(words)
-        columns, owners = features(new)
-        scores = np.stack([np.bincount(owners, self.weights[columns, x], len(new)) for x in range(self.weights.shape[1])], 1)
         self.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-        self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
+        scores = [self.scores]
+        for k in range(0, len(new), LEARNED):
+            some = new[k : k + LEARNED]
+            columns, owners = features(some)
+            scores.append(np.stack([np.bincount(owners, self.weights[columns, x], len(some)) for x in range(self.weights.shape[1])], 1).astype(np.float32))
+        self.scores = np.concatenate(scores)
 
 
 def tokenised(texts: list[str], pattern: re.Pattern) -> tuple[list[str], list[int]]:

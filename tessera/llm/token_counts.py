@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -129,20 +131,34 @@ class Merges(dict):
         return sum(map(self.__getitem__, self.pieces(text)))
 
 
+    def truncated(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and the most characters whose prefix takes no more than budget tokens."""
+        if self.special and any(s in text for s in self.special):
+            prefix = PrefixCounts(self, text)
+            return prefix.tokens[-1], prefix.within(budget)
+        pieces = self.pieces(text)
+        ends = list(accumulate(map(self.__getitem__, pieces)))
+        if not ends or ends[-1] <= budget:
+            return ends[-1] if ends else 0, len(text)
+        # sums at piece ends say where the budget is used up; a prefix count looks at the piece before its last at most
+        first = max(0, bisect_right(ends, budget) - 3)
+        before, start = ends[first - 1] if first else 0, sum(map(len, pieces[:first]))
+        near = pieces[first : first + 8]
+        here = PrefixCounts(self, text[start : start + sum(map(len, near))], [(p, False) for p in near])
+        return ends[-1], start + here.within(budget - before)
+
+
 class PrefixCounts:
-    """Exact token counts of the prefixes of one text, those of up to budget tokens if one is given."""
+    """Exact token counts of the prefixes of one text, whose pieces may be given."""
 
-    def __init__(self, merges: Merges, text: str, budget: float = float("inf")):
+    def __init__(self, merges: Merges, text: str, segments: Iterable[tuple[str, bool]] | None = None):
         self.merges, self.text = merges, text
         self.cuts, self.marks, self.tokens, self.special = [], [0], [0], []
-        over = 0
-        for piece, special in merges.segments(text):
+        for piece, special in merges.segments(text) if segments is None else segments:
             self.cuts.append(piece)
             self.special.append(special)
             self.marks.append(self.marks[-1] + len(piece))
             self.tokens.append(self.tokens[-1] + (1 if special else merges[piece]))
-            if (over := over + (self.tokens[-1] > budget)) == 3:  # a prefix beyond has more
-                break
 
     def at(self, chars: int) -> int:
         """Tokens of the first chars characters, as a text of their own."""
@@ -186,8 +202,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int, id_col: s
         sizes, tokens, cuts = (np.zeros(len(text), np.int64) for _ in range(3))
         for k, t in enumerate(text):
             t = t.as_py() or ""
-            sizes[k], tokens[k] = len(t.encode()), merges.count(t)
-            cuts[k] = len(t) if tokens[k] <= limit else PrefixCounts(merges, t, limit).within(limit)
+            sizes[k] = len(t.encode())
+            tokens[k], cuts[k] = merges.truncated(t, limit)
         return pa.StructArray.from_arrays([pa.array(sizes), pa.array(tokens), pa.array(cuts)], ["n_bytes", "n_tokens", "cut_chars"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), counted(F.col(text_col)).alias("c"))
