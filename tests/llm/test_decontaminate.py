@@ -62,3 +62,33 @@ def test_empty_tables(spark, make_docs):
     one = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
     assert M.contamination(make_docs([]), one).collect() == []
     assert M.contamination(make_docs([(1, "some words of an item")]), none).collect() == []
+
+
+def test_leaks_equal_those_of_the_full_comparison(spark, make_docs):
+    """Every document and item aligned word by word: what is found is a leak there, and hardly any leak is missed."""
+    rng = random.Random(21)
+    lexicon = [words(rng, 1) for _ in range(400)]
+    text = lambda n: [rng.choice(lexicon) for _ in range(n)]
+    items = [(k, text(rng.randint(15, 40))) for k in range(14)] + [(20, text(2)), (21, ["alone"]), (22, [])]
+    rows = []
+    for d in range(70):
+        body = text(rng.randint(20, 90))
+        if d % 2:
+            copy, rate = list(items[d % 14][1]), rng.choice((0, 0.05, 0.1, 0.2, 0.3))
+            copy = [rng.choice(lexicon) if rng.random() < rate else w for w in copy if rng.random() > rate / 3]
+            at = rng.randint(0, len(body))
+            body = body[:at] + copy + body[at:]
+        rows.append((d, body))
+    rows += [(100, items[14][1]), (101, ["alone"]), (102, ["alone", "alone"]), (103, []), (104, items[0][1]), (104, items[0][1])]
+    table = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in M.contamination(make_docs([(d, " ".join(w)) for d, w in rows]), table).collect()}
+    truth = {}
+    for d, body in rows:
+        for k, item in items:
+            if item and (len(item) >= M.SEED or body == item):
+                score = plain_alignment(item, body)[0] / (M.MATCH * len(item))
+                if score >= M.LEAST:
+                    truth[d, k] = max(score, truth.get((d, k), 0))
+    assert len(truth) > 30 and set(got) <= set(truth)
+    assert len(got) >= 0.97 * len(truth) and all(abs(got[x] - truth[x]) < 1e-9 for x in got)
+    assert {(100, 20), (101, 21), (104, 0)} <= set(got)

@@ -32,3 +32,24 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids_in_every_stage(spark, tmp_path):
+    rng = random.Random(6)
+    x, y, z, item = (words(rng, 80) for _ in range(4))
+    near = " ".join(["changed", *x.split()[1:]])
+    full = lambda rows: spark.createDataFrame([(i, t, "xx", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, full(rows), str(tmp_path)).collect()), key=str)
+    rows = [(1, x), (5, x), (5, y), (5, y), (7, z), (None, z), (None, "only one"), (None, "only one"), (None, None), (8, "")]
+    assert got(P.exact_stage, rows) == sorted([(5, x), (5, y), (7, z), (None, "only one"), (8, "")], key=str)
+    rows = [(1, x), (5, near), (5, y), (None, z), (None, z + " more"), (9, None), (None, None), (7, y + " and")]
+    kept = got(P.near_stage, rows)
+    assert len(kept) == 5 and (9, None) in kept and (None, None) in kept
+    assert sum(t in (x, near) for _, t in kept) == sum(t in (y, y + " and") for _, t in kept) == sum(t in (z, z + " more") for _, t in kept) == 1
+    rows = [(1, x + " " + item), (5, item), (5, y), (None, z + " " + item), (None, z), (6, None)]
+    assert got(P.decontamination_stage, rows) == sorted([(5, y), (None, z), (6, None)], key=str)
+    rows = [(1, x), (1, x), (None, y), (2, None), (None, None)]
+    mixed = P.mixing_stage(spark, full(rows), str(tmp_path)).collect()
+    assert all(0 < r.taken <= 160 for r in mixed) and {r.doc_id for r in mixed} <= {1, None}
+    assert len(got(P.language_stage, [(1, x), (1, x), (None, y), (2, "123"), (None, None), (3, z)])) == 4
