@@ -13,7 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.language_id import identify
 from tessera.llm.mixing import mix_sources
 from tessera.llm.near_dedup import near_duplicates
-from tessera.llm.shared import ascii_lower, new_folder, table
+from tessera.llm.shared import ascii_lower, materialise, new_folder, table
 
 #: A document whose languages are so evenly mixed that none has this share of its words is rejected.
 LEAST_SCORE = 0.3
@@ -28,22 +28,41 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays; rows that repeat its id and text do, too."""
-    dropped = exact_dedup(docs).where("NOT kept AND NOT doc_id <=> keep_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    text = F.xxhash64(F.coalesce(ascii_lower(F.col("text")), F.lit("")))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_th")), "left_anti").select(*docs.columns)
+    """Of equal texts the document with the largest doc_id stays, and of rows that repeat its id and text one."""
+    told = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twin"))
+    told = materialise(told.distinct(), "exact-dropped")
+    mine = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(ascii_lower(F.col("text")), F.lit(""))))
+    same = mine["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th"))
+    out = mine.join(told.where("NOT _twin"), same, "left_anti")
+    twins = told.where("_twin")
+    if not twins.isEmpty():  # some of these rows stay: one for each id and text
+        once = out.join(twins, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+        out = out.join(twins, same, "left_anti").unionByName(once)
+    return out.select(*docs.columns)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: the doc_id where it names one row alone, else a number made of the row's id and text."""
+    again = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_again"), F.lit(True).alias("_odd"))
+    again = materialise(again, "odd-ids")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    odd = docs.join(again, docs["doc_id"].eqNullSafe(F.col("_again")), "left")
+    return odd.withColumn("_key", F.when(F.col("_odd"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).drop("_again", "_odd")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    dropped = near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest doc_id stays (where ids are null or repeat, any one)."""
+    mine = keyed(docs)
+    dropped = near_duplicates(mine, id_col="_key", shingle=SHINGLE, percent=PERCENT).where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return mine.join(dropped, "_key", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or edited, go."""
-    leaks = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    mine = keyed(docs)
+    leaks = contamination(mine, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return mine.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
