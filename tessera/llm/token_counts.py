@@ -22,8 +22,9 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -52,7 +53,7 @@ class Merges(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        self.inside: dict[str, bytes | tuple[int, ...]] = {}
+        self.inside: dict[str, bytes] = {}
         spec = json.loads(open(path, encoding="utf-8").read())
         letters = byte_alphabet()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -60,14 +61,20 @@ class Merges(dict):
         for k, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[raw(left), raw(right)] = k
-        self.vocabulary = {raw(t) for t in spec["model"]["vocab"] if all(c in letters for c in t)}
-        self.longest = max(map(len, self.vocabulary))
+        # numbers in the order of merging: the 256 bytes, then what each merge makes
+        self.number = {bytes([b]): b for b in range(256)}
+        self.halves, self.made = [(b, b) for b in range(256)], {}
+        for left, right in self.rank:
+            new = self.number.setdefault(left + right, len(self.halves))
+            if new == len(self.halves):
+                self.halves.append((self.number[left], self.number[right]))
+            self.made[self.number[left], self.number[right]] = new
         self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pattern = regex.compile(pattern)
         self.pieces = self.pattern.findall
         self.compatible = lru_cache(1 << 18)(self._compatible)
-        self.reachable = lru_cache(1 << 18)(self._reachable)
+        self.found = self.automaton().iter
 
     def merge(self, data: bytes) -> list[bytes]:
         """The encoding of a piece, by the lowest-ranked merge first."""
@@ -80,38 +87,67 @@ class Merges(dict):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _compatible(self, left: bytes, right: bytes) -> bool:
-        return self.merge(left + right) == [left, right]
-
-    def _reachable(self, token: bytes) -> bool:
-        """Whether the merges make this token of its own bytes."""
-        return self.merge(token) == [token]
-
-    def prefix_counts(self, data: bytes) -> tuple[int, ...]:
-        count, last = [0], [b""]
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in self.vocabulary and self.reachable(token) and (start == 0 or self.compatible(last[start], token)):
-                    count.append(count[start] + 1)
-                    last.append(token)
+    def _compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens that stand side by side stay as they are when their joined bytes are encoded.
+
+        The merges that made both are undone, the latest first. Where the parts that meet at the seam could merge before
+        the one that is undone there was made, the encoding would have joined them; bytes on both sides end it.
+        """
+        before = len(self.halves)  # number of the merge that the next one at the seam would have to precede
+        while True:
+            if self.made.get((left, right), before) < before:
+                return False
+            undo_left = left > right
+            for _ in range(2):
+                if undo_left and left > 255:
+                    before, left = left, self.halves[left][1]
                     break
+                if not undo_left and right > 255:
+                    before, right = right + 1, self.halves[right][0]
+                    break
+                undo_left = not undo_left
             else:
-                raise ValueError("the vocabulary lacks a byte")
-        return tuple(count)
+                return True
+
+    def token(self, data: bytes) -> int:
+        """The number of a token that the merges make of these bytes, or -1."""
+        return self.number[data] if data in self.number and self.merge(data) == [data] else -1
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """All tokens that the merges make, to be found at every place of a piece in one pass; bytes stand as letters."""
+        out = ahocorasick.Automaton()
+        for t in self.number:
+            if (token := self.token(t)) >= 0:
+                out.add_word(t.decode("latin-1"), (len(t), token))
+        out.make_automaton()
+        return out
+
+    def prefix_counts(self, data: bytes) -> list[int]:
+        count, last, done = [0] * (len(data) + 1), [-1] * (len(data) + 1), 0
+        for at, (size, token) in self.found(data.decode("latin-1")):
+            # tokens that end here; exactly one goes with the last token of the prefix before it
+            if at == done:
+                start = at + 1 - size
+                if start == 0 or self.compatible(last[start], token):
+                    done = at + 1
+                    count[done], last[done] = count[start] + 1, token
+        if done < len(data):
+            raise ValueError("the vocabulary lacks a byte")
+        return count
 
     def __missing__(self, piece: str) -> int:
         """Tokens of a whole piece; the counts of its prefixes stay in inside."""
-        if len(self) >= PIECES:
-            self.clear()
-            self.inside.clear()
+        if len(self) >= PIECES:  # the older half goes, which has the rare pieces of the past and what comes again soon
+            for old in list(islice(self, PIECES // 2)):
+                del self[old]
+                self.inside.pop(old, None)
         found = self.prefix_counts(piece.encode())
         self[piece] = found[-1]
         if len(found) <= INSIDE:
             self.inside[piece] = bytes(found)
         return found[-1]
 
-    def prefixes(self, piece: str) -> bytes | tuple[int, ...]:
+    def prefixes(self, piece: str) -> bytes | list[int]:
         """The counts of the piece's prefixes, by bytes."""
         self[piece]
         return self.inside.get(piece) or self.prefix_counts(piece.encode())

@@ -65,3 +65,19 @@ def test_the_table_of_pieces_is_bounded(both, monkeypatch):
     monkeypatch.setattr(M, "PIECES", 3)
     merges = M.Merges(P.path("byte_bpe_50k.json"), P.PATTERN)
     assert merges.count("a b c d e f g a b") == library(both[1], "a b c d e f g a b") and len(merges) <= 3
+
+
+def test_seams_of_tokens_equal_the_merges_of_their_bytes(both):
+    import random
+
+    merges, rng = both[0], random.Random(4)
+    usable = [t for t in merges.number if merges.token(t) >= 0]
+    assert len(usable) > 40_000
+    short = [t for t in usable if len(t) < 4]
+    seen = set()
+    for k in range(6000):
+        left, right = rng.choice(usable if k % 2 else short), rng.choice(short)
+        want = merges.merge(left + right) == [left, right]
+        seen.add(want)
+        assert merges.compatible(merges.token(left), merges.token(right)) == want
+    assert seen == {True, False}
