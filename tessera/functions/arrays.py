@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +48,26 @@ def greedy_groups(budget: int):
     return run
 
 
+_TERM = re.compile("[a-z0-9]+")
+_TERMS = T.StructType([T.StructField("length", T.LongType()), T.StructField("terms", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
+
+
+@F.arrow_udf(_TERMS)
+def term_frequencies(text: pa.Array) -> pa.Array:
+    """The number of a text's tokens (as `text.tokens` cuts them) and how often each distinct one stands in it: counted
+    where the row lies, so tokens are not shuffled to be counted."""
+    terms, counts, offsets, lengths = [], [], [0], []
+    for t in text:
+        found = _TERM.findall((t.as_py() or "").lower())
+        once = Counter(found)
+        terms.extend(once)
+        counts.extend(once.values())
+        offsets.append(len(terms))
+        lengths.append(len(found))
+    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], ["length", "terms"])
+
+
 def grams(text: str | None, sizes: tuple[int, ...]) -> np.ndarray:
     """The distinct byte n-grams of a text, n of 4 at most, as numbers that also tell n."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.int64)

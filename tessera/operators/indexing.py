@@ -31,13 +31,20 @@ def latest(rows: DataFrame, key: str, *order) -> DataFrame:
 
 
 def entity_nodes(mentions: DataFrame, floor: float = 0.9) -> DataFrame:
-    """(name, canonical_name, entity_type, score, chunks) of mentions (chunk_id, text, type): 0.8 and 0.1 for each
-    further mention, 1 at most; below floor a node is left out. The first mention gives name and type."""
+    """(name, canonical_name, entity_type, score, evidence) of mentions (chunk_id, text, type): 0.8 and 0.1 for each
+    further mention, 1 at most; below floor a node is left out. The first mention gives name and type, evidence is the
+    number of chunks, which stay rows (`node_evidence`) however many there are."""
     name = F.lower(F.trim("text"))
     first = F.min_by(F.struct("text", "type"), F.struct("chunk_id", "text", "type"))
-    nodes = mentions.where(name != "").groupBy(name.alias("name")).agg(first.alias("f"), F.count("*").alias("n"), F.array_sort(F.collect_set("chunk_id")).alias("chunks"))
+    per_chunk = mentions.where(name != "").groupBy(name.alias("name"), "chunk_id").agg(first.alias("f"), F.count("*").alias("n"))
+    nodes = per_chunk.groupBy("name").agg(F.min_by("f", "chunk_id").alias("f"), F.sum("n").alias("n"), F.count("*").alias("evidence"))
     score = F.round(F.least(F.lit(1.0), 0.8 + 0.1 * (F.col("n") - 1)), 6)
-    return nodes.select("name", F.col("f.text").alias("canonical_name"), F.col("f.type").alias("entity_type"), score.alias("score"), "chunks").where(F.col("score") >= floor)
+    return nodes.select("name", F.col("f.text").alias("canonical_name"), F.col("f.type").alias("entity_type"), score.alias("score"), "evidence").where(F.col("score") >= floor)
+
+
+def node_evidence(mentions: DataFrame) -> DataFrame:
+    """(name, chunk_id): the chunks of each node, once each."""
+    return mentions.select(F.lower(F.trim("text")).alias("name"), "chunk_id").where("name <> ''").distinct()
 
 
 def merge_evidence(stored: DataFrame, incoming: DataFrame) -> DataFrame:

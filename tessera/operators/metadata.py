@@ -98,14 +98,6 @@ def _found_pages(blocks: pa.Array, pages: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("block_ord", pa.int32()), ("page", pa.int32())])))
 
 
-def attach(chunks: DataFrame, names: list[str], text: Column, most: int = 2000) -> DataFrame:
-    """Chunks with those of a bounded list of names that their lower-cased text holds."""
-    if len(names) > most:
-        raise ValueError(f"a list of at most {most} names is matched inside expressions; join larger ones by tokens")
-    low = F.lower(text)
-    return chunks.withColumn("concepts", F.filter(F.array(*map(F.lit, names)), lambda n: low.contains(F.lower(n))))
-
-
 def error_kind(message: Column) -> Column:
     low = F.lower(message)
     any_of = lambda *xs: low.rlike("|".join(xs))

@@ -9,20 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions import text as X
 
 K1, B = 1.5, 0.75
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf, length): a row for each distinct term of each text."""
-    exploded = docs.select(F.col(id_col).alias("id"), X.tokens(text).alias("t")).select("id", F.size("t").cast("bigint").alias("length"), F.explode("t").alias("term"))
-    return exploded.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, length): a row for each distinct term of each text, of which one row has each id."""
+    counted = docs.select(F.col(id_col).alias("id"), A.term_frequencies(text.cast("string")).alias("c"))
+    return counted.select("id", F.col("c.length").alias("length"), F.inline("c.terms"))
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
     """One row: texts with tokens, and their mean number of tokens."""
-    return docs.select(F.size(X.tokens(text)).alias("n")).where("n > 0").agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_length"))
+    return docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n")).where("n > 0").agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_length"))
 
 
 def document_frequencies(terms: DataFrame) -> DataFrame:
@@ -76,15 +77,15 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int, places: int = 6)
     return top(scores, k)
 
 
-def sparse_self_search(index: DataFrame, is_query: Column, k: int, places: int = 6, query_rows: int = 1024, block_rows: int = 8192) -> DataFrame:
-    """sparse_search of the index's own texts that meet is_query (a condition on id), in blocks.
+def sparse_self_search(index: DataFrame, is_query: Column, k: int, n_texts: int, n_queries: int, places: int = 6, query_rows: int = 1024, block_rows: int = 8192) -> DataFrame:
+    """sparse_search of the index's own texts that meet is_query (a condition on id), in blocks; how many texts and queries
+    there are, at most, says how many blocks.
 
     A common term would pair its share of the queries with its share of the corpus in one key. Here blocks of query texts
     meet blocks of texts once each, a task makes the products of its two blocks as matrices over their common terms and
     keeps the k best of each query, and one window ranks what the blocks give.
     """
-    ids = index.select("id").distinct().agg(F.count("*").alias("n"), F.sum(F.when(is_query, 1).otherwise(0)).alias("q")).first()
-    parts, query_parts = max(1, -(-ids.n // block_rows)), max(1, -(-(ids.q or 0) // query_rows))
+    parts, query_parts = max(1, -(-n_texts // block_rows)), max(1, -(-n_queries // query_rows))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     meet = lambda asks, query_block, block: F.struct(F.lit(asks).alias("asks"), query_block.alias("query_block"), block.alias("block"))
@@ -235,6 +236,32 @@ def graph_fuse(dense: DataFrame, graph: DataFrame | None, k: int, graph_weight:
     return plain.join(asked, "query_id", "left_anti").unionByName(fused.select("query_id", "id", "score", "rank"))
 
 
+def graph_search(queries: DataFrame, nodes: DataFrame, evidence: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): chunks by the nodes whose names hold tokens of the question (query_id, q): a node's score
+    by the share of its words that are met, summed over a chunk's nodes.
+
+    A question's largest node may have a share of all chunks. Of those that are in none of its other nodes only the first k
+    by id can be among its k best, so they and the chunks of the other nodes are all that is expanded.
+    """
+    from tessera.operators.enrichment import named_in
+
+    tokens = queries.select("query_id", F.explode(F.array_distinct(X.question_tokens(F.col("q")))).alias("token"))
+    inside = named_in(nodes, tokens.select(F.col("token").alias("name")).distinct(), "name", "name").select(F.col("name").alias("token"), F.col("chunk_id").alias("node"))
+    found = tokens.join(inside, "token").groupBy("query_id", F.col("node").alias("name")).agg(F.count("*").alias("matched"))
+    parts = F.size(X.words(F.col("name")))
+    scored = found.join(nodes.select("name", "score", "evidence"), "name").select("query_id", "name", "evidence", (F.col("score") * F.least("matched", parts) / parts).alias("part"))
+    order = W.partitionBy("query_id").orderBy(F.col("evidence").desc(), "name")
+    scored = scored.withColumn("_n", F.row_number().over(order))
+    rest = scored.where("_n > 1").join(evidence, "name").select("query_id", F.col("chunk_id").alias("id"), "part")
+    largest = scored.where("_n = 1").select("query_id", "name", "part")
+    first = evidence.join(largest.select("name").distinct(), "name", "left_semi").withColumn("_k", F.row_number().over(W.partitionBy("name").orderBy("chunk_id"))).where(F.col("_k") <= k)
+    heads = largest.join(first.select("name", F.col("chunk_id").alias("id")), "name")
+    both = rest.select("query_id", "id").distinct().join(largest, "query_id").join(evidence.withColumnRenamed("chunk_id", "id"), ["name", "id"])
+    columns = ["query_id", "id", "part"]
+    hub = heads.select(*columns).unionByName(both.select(*columns)).distinct()
+    return top(rest.unionByName(hub).groupBy("query_id", "id").agg(F.round(F.sum("part"), places).alias("score")), k)
+
+
 def query_problems(queries: DataFrame) -> DataFrame:
     """(query_id, problem) of queries (query_id, query, page_numbers, content_types): empty texts, pages below 1 and
     unknown kinds of content."""

@@ -13,6 +13,7 @@ from tessera.operators import indexing as I
 from tessera.operators import retrieval as R
 from tessera.operators import structure as S
 from tessera.plans import search
+from tessera.sources.storage import stored
 from tessera.sources.tables import table
 
 
@@ -116,32 +117,19 @@ def concept_rank(spark, sf_dir):
 
 def graph_nodes(spark, sf_dir):
     nodes = I.entity_nodes(N.mentions(_named(spark, sf_dir), "chunk_id", "text"))
-    return nodes.select("name", "canonical_name", "entity_type", "score", F.size("chunks").cast("bigint").alias("evidence"))
+    return nodes.select("name", "canonical_name", "entity_type", "score", "evidence")
 
 
 def graph_retrieve(spark, sf_dir):
-    """Questions about firms: nodes whose names contain a token, their evidence scored by share of tokens matched.
+    """Questions about firms: nodes whose names contain a token, their evidence scored by share of tokens matched."""
+    return R.graph_search(*_graph_sides(spark, sf_dir), 10).select("query_id", "id", "score", "rank")
 
-    A token meets the names that share its first two letters in a row (an equi-join), then the names that contain it.
-    """
-    return _graph_hits(*_graph_sides(spark, sf_dir))
 
-
-def _graph_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    nodes = I.entity_nodes(N.mentions(_named(spark, sf_dir), "chunk_id", "text"))
+def _graph_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, nodes and their evidence."""
+    found = stored(N.mentions(_named(spark, sf_dir), "chunk_id", "text"), "mentions")  # the graph's tables are read many times
     queries = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("What does the book say about anton"), F.col("c_custkey").cast("string"), F.lit(" and rubin?")).alias("q"))
-    return queries, nodes
-
-
-def _graph_hits(queries: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    tokens = queries.select("query_id", F.explode(F.array_distinct(X.question_tokens(F.col("q")))).alias("token")).withColumn("pair", F.substring("token", 1, 2))
-    names = nodes.select("name", F.explode(pairs(F.col("name"))).alias("pair"))
-    found = tokens.join(names, "pair").where(F.col("name").contains(F.col("token"))).groupBy("query_id", "name").agg(F.count("*").alias("matched"))
-    scored = found.join(nodes, "name").withColumn("parts", F.size(X.words(F.col("name"))))
-    scored = scored.withColumn("part", F.col("score") * F.least("matched", "parts") / F.col("parts"))
-    hits = scored.select("query_id", F.explode("chunks").alias("id"), "part").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return R.top(hits, k).select("query_id", "id", "score", "rank")
+    return queries, stored(I.entity_nodes(found), "nodes"), stored(I.node_evidence(found), "evidence")
 
 
 def graph_fusion(spark, sf_dir):

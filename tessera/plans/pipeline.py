@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -11,7 +12,7 @@ from tessera.operators import models as O
 from tessera.operators import structure as S
 from tessera.plans import documents as D
 from tessera.plans import search
-from tessera.plans.documents_sql import _KW, _LINES, _WINDOW, _trim, _words
+from tessera.plans.documents_sql import _KW, _LINES, _MD, _WINDOW, _trim, _words
 from tessera.plans.search import _BM25
 from tessera.sources.tables import table
 
@@ -45,10 +46,12 @@ def chunk_statistics(spark, sf_dir):
 
 
 def concept_attach(spark, sf_dir):
-    """Texts with the nations that they name: the list of nations is as long as that table, which is fixed."""
-    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    """Texts with the nations that they name."""
+    nation = table(spark, sf_dir, "nation")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("dealt with nation_"), (F.col("c_custkey") % 31).cast("string"), F.lit(" and NATION_"), F.col("c_nationkey").cast("string")).alias("t"))
-    return M.attach(c, names, F.col("t")).select("c_custkey", F.array_join("concepts", ",").alias("concepts"))
+    named = N.named_in(c, nation.select(F.col("n_name").alias("name")), "c_custkey", "t").join(nation.select(F.col("n_name").alias("name"), "n_nationkey"), "name")
+    names = named.groupBy(F.col("chunk_id").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "name"))), lambda x: x["name"]), ",").alias("concepts"))
+    return c.select("c_custkey").join(names, "c_custkey", "left").select("c_custkey", F.coalesce("concepts", F.lit("")).alias("concepts"))
 
 
 def keyword_attach(spark, sf_dir):
@@ -66,11 +69,11 @@ def bibliography_items(spark, sf_dir):
 
 
 def block_pages(spark, sf_dir):
-    """Lines of each conversation turn found again on its pages; a turn is a page, a conversation a document."""
+    """Every line of each conversation turn found again on its pages; a turn is a page, a conversation a document."""
     turns = D._turns(spark, sf_dir)
     pages = turns.select(F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.col("text").alias("markdown"))
-    blocks = turns.select(F.col("conv_id").alias("document_id"), "turn", F.explode(F.split("text", "\n")).alias("content")).where("trim(content) <> ''")
-    blocks = blocks.groupBy("document_id", "turn").agg(F.max("content").alias("content")).select("document_id", F.col("turn").cast("int").alias("block_ord"), "content")
+    blocks = turns.select(F.col("conv_id").alias("document_id"), "turn", F.posexplode(F.split("text", r"\n|\. ")).alias("at", "content")).where("trim(content) <> ''")
+    blocks = blocks.select("document_id", F.row_number().over(W.partitionBy("document_id").orderBy("turn", "at")).alias("block_ord"), "content")
     return M.block_pages(blocks, pages)
 
 
@@ -157,7 +160,8 @@ SELECT document_id, 'partial' AS status, warnings, skipped_pages FROM w FULL JOI
     "error_kinds": "SELECT CASE event_id % 5 WHEN 0 THEN 'encrypted_document' WHEN 1 THEN 'encrypted_document' WHEN 2 THEN 'invalid_document' WHEN 3 THEN 'invalid_document' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1",
     "rerank_budget": f"""WITH {_BM25}, b AS (SELECT query_id, id, CASE WHEN query_id % 100 <> 0 THEN (id % 7)::DOUBLE ELSE score END AS score, CASE WHEN query_id % 100 <> 0 THEN (id % 7)::DOUBLE ELSE -rank END AS k FROM bm WHERE rank <= 6)
 SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k DESC, id) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC, id) <= 4""",
-    "answer_engine": f"WITH {_ANSWERS} SELECT query_id, CASE WHEN answer IS NULL THEN 'no_evidence' ELSE 'verified' END AS status, answer, CASE WHEN answer IS NOT NULL THEN 1 END AS total, CASE WHEN answer IS NOT NULL THEN 1 END AS verified, CASE WHEN answer IS NOT NULL THEN 0 END AS invalid FROM an",
+    "answer_engine": f"""WITH {_ANSWERS} SELECT query_id, CASE WHEN answer IS NULL THEN 'no_evidence' WHEN total = good AND good > 0 THEN 'verified' ELSE 'unverified' END AS status, answer, total, verified, total - good AS invalid FROM (SELECT query_id, answer, CAST(len(r) AS BIGINT) AS total,
+ CAST(len(list_filter(r, lambda v: v <= n)) AS BIGINT) AS good, CAST(len(list_distinct(list_filter(r, lambda v: v <= n))) AS BIGINT) AS verified FROM (SELECT query_id, answer, coalesce(n, 0) AS n, list_transform(regexp_extract_all(answer, '\\[Ref (\\d+)\\]', 1), lambda v: CAST(v AS BIGINT)) AS r FROM an LEFT JOIN (SELECT query_id, count(*) AS n FROM w3 GROUP BY 1) USING (query_id)))""",
     "answer_stream": f"""WITH {_ANSWERS}, t AS (SELECT query_id, list_concat(list_transform({_words("coalesce(answer, '')")}, lambda w: {{'type': 'token', 'content': w}}), [{{'type': 'verification', 'content': CASE WHEN answer IS NULL THEN 'no_evidence' ELSE 'verified' END}}, {{'type': 'done', 'content': ''}}]) AS e FROM an)
 SELECT query_id, seq, x.type AS type, x.content AS content FROM (SELECT query_id, CAST(unnest(range(len(e))) AS INTEGER) AS seq, unnest(e) AS x FROM t)""",
     "abstention_metrics": f"""WITH {_ANSWERS}, r AS (SELECT query_id, answer IS NULL AS a, query_id % 150 = 0 AS e FROM an)
@@ -168,5 +172,6 @@ SELECT doc_id, count(DISTINCT value) AS keywords, count(*) AS uses FROM kw JOIN
     "probe_sweep": f"""WITH {_BM25.replace(f"<= {search.K}", "<= 20")}
 SELECT candidates, count(*) AS hits, round(avg(CASE WHEN a.lang = b.lang THEN 1.0::DOUBLE ELSE 0 END), 6) AS same_language FROM bm JOIN (SELECT unnest([5, 10, 20]) AS candidates) ON rank <= candidates
 JOIN documents a ON a.doc_id = bm.id JOIN documents b ON b.doc_id = bm.query_id GROUP BY 1""",
-    "fingerprint_check": "SELECT conv_id FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1",
+    "fingerprint_check": f"""WITH h AS (SELECT conv_id, sha256({_MD('text')}) AS a, sha256({_MD("CASE WHEN conv_id % 3 = 0 THEN text || '!' ELSE text END")}) AS b FROM conversations)
+SELECT conv_id FROM (SELECT conv_id, sha256(string_agg(a, chr(10) ORDER BY a)) AS now, sha256(string_agg(b, chr(10) ORDER BY b)) AS expected FROM h GROUP BY 1) WHERE now <> expected""",
 }

@@ -194,7 +194,7 @@ def representation_gate(spark, sf_dir):
 
 def candidate_artifact(spark, sf_dir):
     """The first 100 fused candidates of every query with content digests, as the artifact keeps them."""
-    fused = R.graph_fuse(search._dense(spark, sf_dir, 100), D._graph_hits(*D._graph_sides(spark, sf_dir), 100), 100)
+    fused = R.graph_fuse(search._dense(spark, sf_dir, 100), R.graph_search(*D._graph_sides(spark, sf_dir), 100), 100)
     docs = D._docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return R.with_content(fused, docs).select("query_id", "id", "rank", F.sha2("content", 256).alias("content_sha256"))
 

@@ -37,7 +37,8 @@ def posting_weights(spark, sf_dir):
 
 def _bm25(spark, sf_dir, k=K):
     *_, index = _sparse(spark, sf_dir)
-    return R.sparse_self_search(index, F.col("id") % 50 == 0, k)
+    docs = table(spark, sf_dir, "documents")
+    return R.sparse_self_search(index, F.col("id") % 50 == 0, k, docs.count(), docs.where("doc_id % 50 = 0").count())
 
 
 def bm25_topk(spark, sf_dir):

@@ -21,6 +21,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for what several parts of a plan read."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Table:
     """Rows by document, partitioned into a fixed number of parts by it, so that a document's rows are found in one.
 

@@ -147,7 +147,7 @@ def test_blocks_of_sparse_products_equal_the_join(spark):
     rows = [(int(i), f"t{t}", float(np.float32(rng.random() + 0.1))) for i in range(120) for t in rng.choice(40, rng.integers(0, 9), replace=False)]
     index = spark.createDataFrame(rows, "id long, term string, weight float")
     want = R.sparse_search(index.where("id % 3 = 0"), index, 7)
-    got = R.sparse_self_search(index, F.col("id") % 3 == 0, 7, query_rows=9, block_rows=25)
+    got = R.sparse_self_search(index, F.col("id") % 3 == 0, 7, 120, 40, query_rows=9, block_rows=25)
     key = ["query_id", "id", "score", "rank"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
 
