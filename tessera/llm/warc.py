@@ -36,7 +36,7 @@ RECORD = T.StructType([
     T.StructField("target_uri", T.StringType()), T.StructField("refers_to_id", T.StringType()),
     T.StructField("header_digest", T.StringType()), T.StructField("origin_id", T.StringType()),
     T.StructField("segment", T.IntegerType()), T.StructField("total_length", T.LongType()),
-    T.StructField("block", T.BinaryType()),
+    T.StructField("block", T.BinaryType()), T.StructField("cut", T.BooleanType()),
 ])
 PAYLOAD = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("digest", T.StringType())])
 
@@ -127,31 +127,39 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def parse_archive(data: bytes):
-    """The records of one archive, compressed in any number of gzip members or not at all."""
+    """The records of one archive, compressed in any number of gzip members or not at all. A record that the archive's end
+    cuts off, in its header or in its block, is marked as cut."""
     if data[:2] == b"\x1f\x8b":
         out = []
         while data[:2] == b"\x1f\x8b":
             member = zlib.decompressobj(31)
-            out.append(member.decompress(data))
+            try:
+                out.append(member.decompress(data))
+            except zlib.error:  # what came before the damage counts
+                break
             data = member.unused_data
         data = b"".join(out)
     view, at = memoryview(data), 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end, cut = data.find(b"\r\n\r\n", at), False
+        if end < 0:
+            end, cut = len(data), True
         fields = {}
         for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        size = int(fields.get("content-length", 0))
+        number = lambda k: int(fields[k]) if fields.get(k, "").isdecimal() else None
+        size = number("content-length")
+        cut |= size is None or end + 4 + size > len(data)
+        size = size or 0
         block = bytes(view[end + 4 : end + 4 + size])
         at = end + 4 + size
-        segment = fields.get("warc-segment-number")
-        number = lambda k: int(fields[k]) if k in fields else None
+        segment = number("warc-segment-number")
         yield (
             fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-refers-to"),
             (fields.get("warc-payload-digest") or "").rpartition(":")[2] or None,
             fields.get("warc-segment-origin-id", fields.get("warc-record-id")) if segment else None,
-            int(segment) if segment else None, number("warc-segment-total-length"), block,
+            segment, number("warc-segment-total-length"), block, cut,
         )
 
 
@@ -160,13 +168,13 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches):
         names = RECORD.fieldNames()
-        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
                 for record in parse_archive(data.as_py()):
                     rows.append(record)
-                    held += len(record[-1]) + 500
+                    held += len(record[-2]) + 500
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, held = [], 0
@@ -194,15 +202,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per logical record: record_id, record_type, target_uri, refers_to_id, header_digest, digest, payload, verified."""
     records = archive_records(spark, path)
     keep = ["record_id", "record_type", "target_uri", "refers_to_id", "header_digest"]
-    whole = records.where("origin_id IS NULL").select(*keep, "block", F.lit(True).alias("complete"))
+    whole = records.where("origin_id IS NULL").select(*keep, "block", (~F.col("cut")).alias("complete"))
     parts = records.where("origin_id IS NOT NULL").groupBy("origin_id").agg(
         *[F.min_by(c, "segment").alias(c) for c in keep[1:]],
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        F.max("total_length").alias("total"),
+        F.max("total_length").alias("total"), F.max("cut").alias("cut"),
     )
     block = F.reduce("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
     numbered = F.col("parts.segment") == F.sequence(F.lit(1), F.size("parts"))
-    parts = parts.withColumn("block", block).select(F.col("origin_id").alias("record_id"), *keep[1:], "block", F.coalesce(numbered & (F.octet_length("block") == F.col("total")), F.lit(False)).alias("complete"))
+    parts = parts.withColumn("block", block).select(F.col("origin_id").alias("record_id"), *keep[1:], "block", F.coalesce(numbered & (F.octet_length("block") == F.col("total")) & ~F.col("cut"), F.lit(False)).alias("complete"))
     out = whole.unionByName(parts).withColumn("d", decode("block"))
     response = F.col("record_type") == "response"
     return out.select(
@@ -219,8 +227,10 @@ def page_of(record_id) -> F.Column:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    records = read_archives(spark, path).select("record_id", "record_type", "refers_to_id", "header_digest", "digest", F.octet_length("payload").cast("long").alias("bytes"))
-    records = materialise(records, "records")
+    records = read_archives(spark, path).select("record_id", "record_type", "refers_to_id", "header_digest", "digest", F.octet_length("payload").cast("long").alias("bytes"), "verified")
+    # these archives were written here: a record that fails its checks is an error, not a row
+    checked = F.when(F.col("verified"), F.col("record_id")).otherwise(F.raise_error(F.concat(F.lit("not verified: "), F.coalesce("record_id", F.lit("a record without id")))))
+    records = materialise(records.withColumn("record_id", checked).drop("verified"), "records")
     sizes = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("bytes").alias("there"))
     revisit = F.col("record_type") == "revisit"
     return records.join(sizes, "refers_to_id", "left").select(

@@ -90,3 +90,22 @@ def test_repeated_rows_have_records_of_their_own(spark, tmp_path):
         best[h] = max(best.get(h, -1), -1 if i is None else i)
     want = [(-1 if i is None else i, len(h), W.digest_of(h.encode()), h) for i, _, h in rows]
     assert found == sorted((i, n, d, "response" if i == best[h] else "revisit", -1 if i == best[h] else best[h]) for i, n, d, h in want)
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_that_are_cut_anywhere_are_read_and_not_verified(spark, tmp_path, packed):
+
+    records = [r + b"\n" for k in range(3) for r in W.page_records(k, "u", W.digest_of(b"p" * 50), k, b"p" * 50, 1 << 20)] + [r + b"\n" for r in W.page_records(9, "u", "D" * 32, 1, None, 1 << 20)]
+    whole = b"".join(records)
+    for n, size in enumerate((len(whole), len(whole) - 30, len(whole) - len(records[3]) + 40, len(records[0]) - 20, 12, 0)):
+        folder = tmp_path / f"{packed}-{n}"
+        folder.mkdir()
+        data = gzip.compress(whole)[: size * len(gzip.compress(whole)) // len(whole)] if packed and n else gzip.compress(whole) if packed else whole[:size]
+        (folder / "a.warc").write_bytes(data)
+        got = W.read_archives(spark, str(folder)).collect()
+        good = [r for r in got if r.verified]
+        assert all(r.payload == b"p" * 50 for r in good if r.record_type == "response")
+        if not packed:
+            assert len(good) == {0: 4, 1: 3, 2: 3, 3: 0, 4: 0, 5: 0}[n] and len(got) == {0: 4, 1: 4, 2: 4, 3: 1, 4: 1, 5: 0}[n]
+        elif n == 0:
+            assert len(good) == len(got) == 4
