@@ -18,6 +18,16 @@ def diff_plan(existing: DataFrame, incoming: DataFrame, key: str = "point_id", s
     return old.join(new, key, "full").select(key, action.alias("action"))
 
 
+def progress(plan: DataFrame, done: DataFrame, key: str = "point_id") -> DataFrame:
+    """One row of a job's state from its plan and the keys that are done: indexed, skipped and deleted points, and the
+    percentage of the incoming ones that are indexed or skipped, 100 where none come in."""
+    joined = plan.join(done.select(key, F.lit(True).alias("_done")), key, "left")
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    work, same = F.col("action").isin("new", "modified"), F.col("action") == "unchanged"
+    counts = joined.agg(n(work & F.col("_done")).alias("indexed"), n(same).alias("skipped"), n(F.col("action") == "deleted").alias("deleted"), n(work | same).alias("total"))
+    return counts.withColumn("percent", F.when(F.col("total") == 0, 100.0).otherwise(F.round(100 * (F.col("indexed") + F.col("skipped")) / F.col("total"), 3)))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Stored rows whose keys don't arrive, and all that arrive."""
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming.select(*stored.columns))

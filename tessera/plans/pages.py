@@ -114,6 +114,11 @@ def result_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", F.array_join("tags", ",", "-").alias("tags"))
 
 
+def index_progress(spark, sf_dir):
+    """How far a job is that has indexed the points divisible by 4 of its diff plan."""
+    return I.progress(D.diff_plan(spark, sf_dir), D._docs(spark, sf_dir).where("doc_id % 4 = 0").select(F.col("doc_id").alias("point_id")))
+
+
 def upsert_points(spark, sf_dir):
     docs = D._docs(spark, sf_dir).select(F.col("doc_id").alias("point_id"), F.coalesce("text", F.lit("")).alias("text"))
     old = docs.where("point_id % 3 <> 0").withColumn("text", F.concat(F.lit("old "), "text"))
@@ -152,7 +157,7 @@ def bound_encoder(spark, sf_dir):
     return both.groupBy("side", "id").agg(F.count("*").alias("terms"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("total_weight"), F.count_distinct("stats_version").alias("versions"))
 
 
-QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, upsert_points, content_store, index_documents, bound_encoder)}
+QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, index_progress, upsert_points, content_store, index_documents, bound_encoder)}
 
 _PAGED = _MDL + f""", pp AS (SELECT document_id, ord, line, CASE WHEN ord % 10 = 9 THEN ord END AS mark, sum(CASE WHEN ord % 10 <> 9 AND ord % 4 = 3 THEN 1 ELSE 0 END) OVER o AS brk FROM md WINDOW o AS (PARTITION BY document_id ORDER BY ord)),
 pb AS (SELECT *, last_value(mark IGNORE NULLS) OVER o AS m, last_value(CASE WHEN mark IS NOT NULL THEN brk END IGNORE NULLS) OVER o AS k FROM pp WINDOW o AS (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -203,6 +208,9 @@ SELECT conv_id AS document_id, CAST(CASE WHEN conv_id % 2 = 0 THEN greatest(CASE
     "gold_violations": f"""WITH {_GOLD}, p AS (SELECT id, unnest(list_filter([CASE WHEN id = '' THEN 'empty id' END, CASE WHEN c > 1 THEN 'repeated id' END, CASE WHEN n % 7 = 0 THEN 'unknown intent' END, CASE WHEN n % 5 = 0 OR trim(text) = '' THEN 'empty query' END,
  CASE WHEN n % 3 = 0 AND n % 4 > 0 THEN 'chunks expected of an abstention query' END, CASE WHEN n % 3 <> 0 AND n % 4 = 0 THEN 'no chunks expected' END], lambda v: v IS NOT NULL)) AS problem FROM gc) SELECT id, problem, count(*) AS n FROM p GROUP BY 1, 2""",
     "result_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, coalesce(source, '-') || ',' || coalesce(lang, '-') AS tags FROM documents",
+    "index_progress": """WITH d AS (SELECT doc_id, doc_id % 7 <> 0 AS was, doc_id % 11 <> 0 AS is_, doc_id % 5 = 0 AS stale FROM documents), c AS (SELECT CAST(sum(CASE WHEN is_ AND (NOT was OR stale) AND doc_id % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS indexed,
+ CAST(sum(CASE WHEN is_ AND was AND NOT stale THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(sum(CASE WHEN was AND NOT is_ THEN 1 ELSE 0 END) AS BIGINT) AS deleted, CAST(sum(CASE WHEN is_ THEN 1 ELSE 0 END) AS BIGINT) AS total FROM d)
+SELECT *, round(100.0::DOUBLE * (indexed + skipped) / total, 3) AS percent FROM c""",
     "upsert_points": "SELECT doc_id AS point_id, sha256(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE 'old ' || coalesce(text, '') END) AS sha256 FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0",
     "content_store": "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN sha256('new ' || coalesce(text, '')) WHEN doc_id % 2 = 0 THEN sha256(coalesce(text, '')) END AS sha256 FROM documents",
     "index_documents": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 3 <> 0 AS was, doc_id % 7 <> 0 AS is_ FROM documents)

@@ -87,6 +87,32 @@ def chunk_oversize(spark, sf_dir):
     return warnings
 
 
+def _lettered(spark, sf_dir) -> DataFrame:
+    """The lines of documents with letters and digits only, so that what is put before and behind them alone makes blocks."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9\\n]+", " ")
+    return D._docs(spark, sf_dir).select("doc_id", F.transform(F.split(plain, "\n"), lambda x: F.concat(F.lit("x"), x)).alias("l"))
+
+
+def block_kinds(spark, sf_dir):
+    """Blocks of texts whose lines are headings, paragraphs, lists, tables, equations, figures and code in turn."""
+    docs = _lettered(spark, sf_dir)
+    lit = F.lit
+    mark = lambda x, k: (
+        F.when(k % 7 == 0, F.concat(lit("## "), x)).when(k % 7 == 2, F.concat(lit("- "), x)).when(k % 7 == 3, F.concat(lit("| "), x, lit(" |"))).when(k % 7 == 4, F.concat(lit("$$"), x, lit("$$")))
+        .when(k % 7 == 5, F.concat(lit("!["), x, lit("](u)"))).when(k % 7 == 6, F.concat(lit("```\n"), x, lit("\n```"))).otherwise(x)
+    )
+    b = S.blocks(docs.select("doc_id", F.array_join(F.transform("l", mark), "\n\n").alias("text")), "doc_id", "text")
+    return b.select("document_id", "block_ord", "kind", "category", "heading_level", "section_path", "start_offset", "end_offset", "tokens", F.sha2("content", 256).alias("content_sha256"))
+
+
+def chunk_sections(spark, sf_dir):
+    """Chunks of texts whose lines are paragraphs, each fifth a heading: packed, with parents, ids, links and flags."""
+    docs = _lettered(spark, sf_dir)
+    text = F.array_join(F.transform("l", lambda x, k: F.when(k % 5 == 0, F.concat(F.lit("# "), F.substring(x, 1, 3))).otherwise(F.repeat(F.concat(x, F.lit(" ")), 4))), "\n\n")
+    chunks, _ = S.chunk_documents(docs.select("doc_id", text.alias("text")), "doc_id", "text")
+    return chunks.select("document_id", "chunk_id", "chunk_order", "section_path", "is_parent", "parent_id", F.size("child_ids").alias("children"), "tokens", "is_oversized", "start_offset", "end_offset", F.sha2("content", 256).alias("content_sha256"), "previous_id", "next_id")
+
+
 _R = """rich AS (SELECT doc_id AS document_id, coalesce(text, '') || chr(10) || '--- page 2 ---' || chr(10) || '## Part ' || doc_id || chr(10) || 'Table 1: sizes' || chr(10) || '| a | b' || doc_id || ' |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10)
  || '<table><tr>' || doc_id || '</tr></table>' || chr(10) || '![figure ' || doc_id || '](img/' || doc_id || '.png "t")' || chr(10) || '<img class="x" src=''b.png'' alt=''alt ' || doc_id || '''>' || chr(10) || '<img src=broken' || chr(10)
  || '```sql' || chr(10) || 'select ' || doc_id || chr(10) || chr(10) || '```' || chr(10) || '$$' || chr(10) || 'x = ' || doc_id || chr(10) || '$$' || chr(10) || '\\[ y \\]' || chr(10) || 'as in [' || doc_id || '] and [Smith et al., 2020], [^n' || doc_id || '] ISBN: 978-' || doc_id || chr(10)
@@ -154,4 +180,27 @@ SELECT document_id, block_ord, {_CATEGORY} AS category, array_to_string(list_fil
 x AS (SELECT document_id, list_extract(['- ', '12. ', '* ', '1.x ', '+ ', '123456. ', ''], CAST(ord % 7 + 1 AS BIGINT)) || line AS line FROM un)
 SELECT document_id, CAST(sum(CAST(starts_with(line, '- ') OR starts_with(line, '* ') OR starts_with(line, '+ ') OR (regexp_matches(line, '^[0-9]') AND length(line) > 2 AND strpos(line, '. ') BETWEEN 2 AND 5) AS INTEGER)) AS BIGINT) AS items, count(*) AS lines FROM x GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (asset_records, asset_stats, asset_places, asset_numbers, paragraph_blocks, list_items, chunk_records, chunk_oversize)}
+_LETTERED = """lt AS (SELECT doc_id AS document_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: 'x' || x) AS l FROM documents),
+lx AS (SELECT document_id, CAST(unnest(range(len(l))) AS INTEGER) AS k, unnest(l) AS x FROM lt)"""
+_SEC = "last_value(CASE WHEN head THEN {x} END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ORACLE |= {
+    "block_kinds": f"""WITH {_LETTERED}, md AS (SELECT document_id, k, x, k % 7 = 0 AS head, CASE k % 7 WHEN 0 THEN '## ' || x WHEN 2 THEN '- ' || x WHEN 3 THEN '| ' || x || ' |' WHEN 4 THEN '$$' || x || '$$' WHEN 5 THEN '![' || x || '](u)' WHEN 6 THEN '```' || chr(10) || x || chr(10) || '```' ELSE x END AS content FROM lx),
+ps AS (SELECT *, CAST(coalesce(sum(strlen(content) + 2) OVER (PARTITION BY document_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset, sum(strlen(content) + 2) OVER (PARTITION BY document_id) - 2 AS size, {_SEC.format(x=_trim('x'))} AS section_path, lower({_trim('x')}) AS l FROM md)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS INTEGER) AS block_ord, CASE k % 7 WHEN 1 THEN 'paragraph' WHEN 2 THEN 'list' WHEN 3 THEN 'table' WHEN 4 THEN 'equation' WHEN 5 THEN 'figure' ELSE 'code' END AS kind,
+ CASE k % 7 WHEN 1 THEN {_CATEGORY} WHEN 2 THEN 'procedure' WHEN 3 THEN 'table' WHEN 4 THEN 'equation' WHEN 5 THEN 'figure' ELSE 'code' END AS category, 2 AS heading_level, section_path, start_offset,
+ CAST(least(start_offset + strlen(content) + CASE WHEN k % 7 IN (2, 3) THEN 2 ELSE 1 END, size) AS BIGINT) AS end_offset, {_EST('content')} AS tokens, sha256(content) AS content_sha256 FROM ps WHERE NOT head""",
+    "chunk_sections": f"""WITH RECURSIVE {_LETTERED}, md AS (SELECT document_id, k, k % 5 = 0 AS head, CASE WHEN k % 5 = 0 THEN '# ' || left(x, 3) ELSE repeat(x || ' ', 4) END AS content FROM lx),
+ps AS (SELECT *, CAST(coalesce(sum(strlen(content) + 2) OVER (PARTITION BY document_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, sum(strlen(content) + 2) OVER (PARTITION BY document_id) - 2 AS size, {_SEC.format(x=_trim('substr(content, 3)'))} AS path FROM md),
+bl AS (SELECT document_id, path, content, start, least(start + strlen(content) + 1, size) AS fin, {_EST('content')} AS n, CAST(row_number() OVER (PARTITION BY document_id ORDER BY k) AS INTEGER) AS b FROM ps WHERE NOT head),
+gr(document_id, b, path, total, grp, alone) AS (SELECT document_id, b, path, n, 1, n > 1200 FROM bl WHERE b = 1 UNION ALL
+ SELECT bl.document_id, bl.b, bl.path, CASE WHEN NOT alone AND n <= 1200 AND bl.path = gr.path AND total + n <= 700 THEN total + n ELSE n END, CASE WHEN NOT alone AND n <= 1200 AND bl.path = gr.path AND total + n <= 700 THEN grp ELSE grp + 1 END, n > 1200 FROM gr JOIN bl ON bl.document_id = gr.document_id AND bl.b = gr.b + 1),
+ch AS (SELECT bl.document_id, bl.path, grp, min(bl.b) AS fb, CAST(sum(n) AS BIGINT) AS tokens, max(n) > 1200 AS big, min(start) AS a, max(fin) AS z, string_agg(content, chr(10) || chr(10) ORDER BY bl.b) AS content FROM bl JOIN gr ON gr.document_id = bl.document_id AND gr.b = bl.b GROUP BY 1, 2, 3),
+pa AS (SELECT document_id, path, min(fb) AS fb, min(a) AS a, max(z) AS z, string_agg(content, chr(10) || chr(10) ORDER BY fb) AS content, count(*) AS c FROM ch GROUP BY 1, 2 HAVING count(*) > 1),
+al AS (SELECT document_id, path, fb, false AS is_parent, tokens, big, a, z, content, 0 AS c FROM ch UNION ALL SELECT document_id, path, fb, true, {_EST('content')}, {_EST('content')} > 1200, a, z, content, c FROM pa),
+od AS (SELECT *, min(fb) OVER (PARTITION BY document_id, path) AS first, regexp_replace(regexp_replace(lower(path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM al),
+nu AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first, is_parent DESC, fb) AS INTEGER) AS chunk_order FROM od),
+id AS (SELECT *, document_id || '/' || slug || '/' || lpad(CAST(row_number() OVER (PARTITION BY document_id, slug ORDER BY chunk_order) AS VARCHAR), 3, '0') AS chunk_id FROM nu)
+SELECT document_id, chunk_id, chunk_order, path AS section_path, is_parent, CASE WHEN NOT is_parent THEN max(CASE WHEN is_parent THEN chunk_id END) OVER (PARTITION BY document_id, path) END AS parent_id, CAST(c AS INTEGER) AS children, tokens, big AS is_oversized, a AS start_offset, CAST(z AS BIGINT) AS end_offset, sha256(content) AS content_sha256,
+ lag(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_order) AS previous_id, lead(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_order) AS next_id FROM id""",
+}
+QUERIES = {f.__name__: f for f in (block_kinds, chunk_sections, asset_records, asset_stats, asset_places, asset_numbers, paragraph_blocks, list_items, chunk_records, chunk_oversize)}

@@ -67,13 +67,14 @@ def job_states(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else "pending"
-        rows = []
-        for _, r in pd.concat(list(parts)).sort_values("seq").iterrows():
-            ok = r.state == now or (now, r.state) in legal
-            rows.append((key[0], r.seq, now, r.state, ok))
-            now = r.state if ok else now
+        events = sorted((seq, new) for part in parts for seq, new in zip(part["seq"].tolist(), part["state"].tolist(), strict=True))
+        moves = []
+        for seq, new in events:
+            ok = new == now or (now, new) in legal
+            moves.append((key[0], seq, now, new, ok))
+            now = new if ok else now
         state.update((now,))
-        yield pd.DataFrame(rows, columns=["job_id", "seq", "from_state", "to_state", "legal"])
+        yield pd.DataFrame(moves, columns=["job_id", "seq", "from_state", "to_state", "legal"])
 
     return events.groupBy("job_id").applyInPandasWithState(step, MOVES, "state string", "append", GroupStateTimeout.NoTimeout)
 
