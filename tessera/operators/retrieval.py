@@ -26,6 +26,11 @@ def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
     return docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n")).where("n > 0").agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_length"))
 
 
+def stats_of_terms(terms: DataFrame) -> DataFrame:
+    """corpus_stats from term counts, in which every text with tokens has rows."""
+    return terms.groupBy("id").agg(F.first("length").alias("n")).agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_length"))
+
+
 def document_frequencies(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -77,13 +82,12 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int, places: int = 6)
     return top(scores, k)
 
 
-def sparse_self_search(index: DataFrame, is_query: Column, k: int, n_texts: int, n_queries: int, places: int = 6, query_rows: int = 1024, block_rows: int = 8192) -> DataFrame:
+def sparse_self_search(index: DataFrame, is_query: Column, k: int, n_texts: int, n_queries: int, places: int = 6, query_rows: int = 1024, block_rows: int = 2048) -> DataFrame:
     """sparse_search of the index's own texts that meet is_query (a condition on id), in blocks; how many texts and queries
     there are, at most, says how many blocks.
 
     A common term would pair its share of the queries with its share of the corpus in one key. Here blocks of query texts
-    meet blocks of texts once each, a task makes the products of its two blocks as matrices over their common terms and
-    keeps the k best of each query, and one window ranks what the blocks give.
+    meet blocks of texts once each, a task multiplies each text's weights with the matrix of the queries' terms and keeps the k best of each query, and one window ranks what the blocks give.
     """
     parts, query_parts = max(1, -(-n_texts // block_rows)), max(1, -(-n_queries // query_rows))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
@@ -96,6 +100,10 @@ def sparse_self_search(index: DataFrame, is_query: Column, k: int, n_texts: int,
     return top(both.groupBy("query_block", "block").applyInArrow(_block_products(k, places), "query_id bigint, id bigint, score double"), k)
 
 
+#: Queries of a block whose terms make one matrix.
+SLICE = 128
+
+
 def _block_products(k: int, places: int):
     """The k best texts of each query of a block of queries among a block of texts."""
     import numpy as np
@@ -115,30 +123,28 @@ def _block_products(k: int, places: int):
         d_id, d_row, d_term, d_weight = side(group, False)
         out = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
         if len(q_id) and len(d_id):
-            terms = np.intersect1d(q_term, d_term)
-            at = lambda t: np.searchsorted(terms, t) if len(terms) else np.zeros(len(t), np.int64)
-            known = lambda t: (terms[np.minimum(at(t), len(terms) - 1)] == t) if len(terms) else np.zeros(len(t), bool)
-            qk, dk = known(q_term), known(d_term)
-            q_row, q_col, q_weight = q_row[qk], at(q_term[qk]), q_weight[qk]
-            d_row, d_col, d_weight = d_row[dk], at(d_term[dk]), d_weight[dk]
-            total = np.zeros((len(q_id), len(d_id)))
-            order_q, order_d = np.argsort(q_col, kind="stable"), np.argsort(d_col, kind="stable")
-            q_row, q_col, q_weight, d_row, d_col, d_weight = (x[o] for o, xs in ((order_q, (q_row, q_col, q_weight)), (order_d, (d_row, d_col, d_weight))) for x in xs)
-            width = max(1, (1 << 22) // (len(q_id) + len(d_id)))  # columns of the two matrices at a time, 32 MB together
-            for low in range(0, len(terms), width):
-                a, b = np.searchsorted(q_col, (low, low + width)), np.searchsorted(d_col, (low, low + width))
-                x, y = np.zeros((len(q_id), min(width, len(terms) - low))), np.zeros((len(d_id), min(width, len(terms) - low)))
-                x[q_row[a[0] : a[1]], q_col[a[0] : a[1]] - low] = q_weight[a[0] : a[1]]
-                y[d_row[b[0] : b[1]], d_col[b[0] : b[1]] - low] = d_weight[b[0] : b[1]]
-                total += x @ y.T
             order = np.argsort(d_id)
-            d_id, total = d_id[order], np.round(total[:, order], places)
-            for i, row in enumerate(total):
-                # weights are above 0, so a text without a common term has 0; ties go to the lesser id
-                least = np.partition(row, -k)[-k] if len(row) > k else 0.0
-                some = np.flatnonzero((row >= least) & (row > 0))
-                best = some[np.argsort(-row[some], kind="stable")][:k]
-                out.append(pa.table({"query_id": np.full(len(best), q_id[i]), "id": d_id[best], "score": row[best]}))
+            for low in range(0, len(q_id), SLICE):
+                a, b = np.searchsorted(q_row, (low, low + SLICE))
+                terms = np.unique(q_term[a:b])
+                if not len(terms):
+                    continue
+                asked = np.zeros((len(terms), min(SLICE, len(q_id) - low)))  # a row for each term of these queries
+                asked[np.searchsorted(terms, q_term[a:b]), q_row[a:b] - low] = q_weight[a:b]
+                at = np.minimum(np.searchsorted(terms, d_term), len(terms) - 1)
+                known = terms[at] == d_term
+                row, column, weight = d_row[known], at[known], d_weight[known]
+                cut = np.searchsorted(row, np.arange(len(d_id) + 1))
+                total = np.zeros((len(d_id), asked.shape[1]))
+                for j in np.flatnonzero(cut[1:] > cut[:-1]):
+                    total[j] = weight[cut[j] : cut[j + 1]] @ asked[column[cut[j] : cut[j + 1]]]
+                near = d_id[order]
+                for i, scores in enumerate(np.round(total[order].T, places), low):
+                    # weights are above 0, so a text without a common term has 0; ties go to the lesser id
+                    least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+                    some = np.flatnonzero((scores >= least) & (scores > 0))
+                    best = some[np.argsort(-scores[some], kind="stable")][:k]
+                    out.append(pa.table({"query_id": np.full(len(best), q_id[i]), "id": near[best], "score": scores[best]}))
         return pa.concat_tables(out)
 
     return run

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
+from tessera.sources.storage import stored
 from tessera.sources.tables import table
 
 K = 10
@@ -14,9 +15,9 @@ K = 10
 
 def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    terms = R.term_counts(docs, "doc_id", F.col("text"))
+    terms = stored(R.term_counts(docs, "doc_id", F.col("text")), "terms")  # texts are cut into tokens once
     df = R.document_frequencies(terms)
-    stats = R.corpus_stats(docs, F.col("text"))
+    stats = R.stats_of_terms(terms)
     return terms, df, stats, R.postings(terms, df, stats)
 
 
