@@ -261,14 +261,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seq = best.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "sid", "parts"))).alias("s"), F.min("at").alias("first_fragment"))
     gap = lambda x, i: (i > 0) & (F.get("s", i - 1)["at"] + F.get("s", i - 1)["parts"] != x["at"])
     marks = F.array_join(F.transform("s", lambda x, i: F.concat(F.when(gap(x, i), F.lit("|")).otherwise(F.lit("")), F.lit("<"), x["sid"].cast("string"), F.lit(">"))), "")
-    seq = seq.select("doc_id", "first_fragment", marks.alias("left_0"))
-    for k, (_, names) in enumerate(rules):
-        pattern = "".join(f"<{number[n]}>" for n in names)
-        left = F.replace(F.col(f"left_{k}"), F.lit(pattern), F.lit("|"))
-        seq = seq.select("doc_id", "first_fragment", *[f"n_{j}" for j in range(k)], F.floor((F.length(f"left_{k}") - F.length(left)) / (len(pattern) - 1)).cast("long").alias(f"n_{k}"), left.alias(f"left_{k + 1}"))
+    patterns = ["".join(f"<{number[n]}>" for n in names) for _, names in rules]
+    steps = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(len(p) - 1).alias("shorter")) for p in patterns])
+    start = F.struct(marks.alias("left"), F.array().cast("array<bigint>").alias("n"))
+
+    def matched(so_far, rule):
+        left = F.replace(so_far["left"], rule["pattern"], F.lit("|"))
+        n = F.floor((F.length(so_far["left"]) - F.length(left)) / rule["shorter"]).cast("long")
+        return F.struct(left.alias("left"), F.array_append(so_far["n"], n).alias("n"))
+
+    seq = seq.select("doc_id", F.col("first_fragment").cast("long").alias("first_fragment"), F.aggregate(steps, start, matched, lambda x: x["n"]).alias("n"))
     licences = list(dict.fromkeys(name for name, _ in rules))
-    totals = F.array(*[F.struct(F.lit(name).alias("license"), sum((F.col(f"n_{k}") for k, (x, _) in enumerate(rules) if x == name), F.lit(0)).cast("long").alias("matches")) for name in licences])
-    return seq.select("doc_id", F.col("first_fragment").cast("long").alias("first_fragment"), F.inline(F.filter(totals, lambda x: x["matches"] > 0))).select("doc_id", "license", "matches", "first_fragment")
+    of = lambda name: sum((F.get("n", F.lit(k)) for k, (x, _) in enumerate(rules) if x == name), F.lit(0)).cast("long")
+    totals = F.array(*[F.struct(F.lit(name).alias("license"), of(name).alias("matches")) for name in licences])
+    return seq.select("doc_id", "first_fragment", F.inline(F.filter(totals, lambda x: x["matches"] > 0))).select("doc_id", "license", "matches", "first_fragment")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
