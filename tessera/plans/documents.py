@@ -188,7 +188,8 @@ def intent_route(spark, sf_dir):
 
 
 def comparison_split(spark, sf_dir):
-    q = _questions(spark, sf_dir).withColumn("s", X.comparison(F.col("query"))).where("s IS NOT NULL")
+    # exploded, so that the long expression is not copied into the condition
+    q = _questions(spark, sf_dir).select("conv_id", "turn", F.explode(F.array(X.comparison(F.col("query")))).alias("s")).where("s IS NOT NULL")
     return q.select("conv_id", "turn", F.get("s", F.lit(0)).alias("left_side"), F.get("s", F.lit(1)).alias("right_side"))
 
 

@@ -82,6 +82,21 @@ def metadata_filter(spark, sf_dir):
     return R.metadata_filter(docs, within={"lang": ["en", "de"]}, prefix={"source": "src1"}, equal={"text": None}).select("doc_id", "lang", "source")
 
 
+def metadata_filter_fields(spark, sf_dir):
+    """All fields of a filter at once: workspace and space, documents, kinds, languages, a path's prefix, pages and time."""
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("paragraph", "table", "code"))), (i % 3 + 1).cast("int"))
+    points = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "n_chars", F.concat_ws(" > ", "source", "lang").alias("section_path"), kind.alias("content_type"), F.array((i % 5).cast("int"), (i % 7).cast("int")).alias("page_numbers"),
+        F.when(i % 11 > 0, "main").otherwise("other").alias("workspace"), F.when(i % 13 > 0, "open").otherwise("closed").alias("space"), (i % 4).alias("document_group"),
+    )
+    kept = R.metadata_filter(
+        points, equal={"workspace": "main", "space": "open"}, within={"document_group": [0, 1, 3], "content_type": ["table", "paragraph"], "lang": ["en", "de", "fr"]},
+        prefix={"section_path": "src1"}, overlap={"page_numbers": [1, 2, 3]}, after={"n_chars": 100},
+    )
+    return kept.select("doc_id", "section_path", "content_type")
+
+
 def rerank_structure(spark, sf_dir):
     meta = table(spark, sf_dir, "documents")
     side = lambda name, c: meta.select(F.col("doc_id").alias(name), c.alias(f"_{name}"))
@@ -149,7 +164,7 @@ def bootstrap_ci(spark, sf_dir):
     return E.bootstrap_interval(m.select("query_id", (F.col("ndcg") - F.col("recall")).alias("delta")))
 
 
-QUERIES = {f.__name__: f for f in (corpus_stats, term_df_topk, posting_weights, bm25_topk, dense_topk_cosine, dense_min_score, rrf_hybrid, rrf_dense_biased, rrf_sparse_cap, merge_ranked_lists, metadata_filter, rerank_structure, ir_metrics, ir_metrics_rollup, no_evidence, abstention_signals, percentile_ceil, lower_median, kill_gate, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (corpus_stats, term_df_topk, posting_weights, bm25_topk, dense_topk_cosine, dense_min_score, rrf_hybrid, rrf_dense_biased, rrf_sparse_cap, merge_ranked_lists, metadata_filter, metadata_filter_fields, rerank_structure, ir_metrics, ir_metrics_rollup, no_evidence, abstention_signals, percentile_ceil, lower_median, kill_gate, bootstrap_ci)}
 
 _TERMS = """
 tok AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
@@ -206,6 +221,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank, l) A
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, l, id) AS INTEGER) AS place FROM o WHERE n = 1
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, l, id) <= {K}""",
     "metadata_filter": "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source LIKE 'src1%'",
+    "metadata_filter_fields": """SELECT doc_id, concat_ws(' > ', source, lang) AS section_path, list_extract(['paragraph', 'table', 'code'], CAST(doc_id % 3 + 1 AS BIGINT)) AS content_type FROM documents
+WHERE doc_id % 11 > 0 AND doc_id % 13 > 0 AND doc_id % 4 IN (0, 1, 3) AND doc_id % 3 < 2 AND lang IN ('en', 'de', 'fr') AND concat_ws(' > ', source, lang) LIKE 'src1%' AND (doc_id % 5 IN (1, 2, 3) OR doc_id % 7 IN (1, 2, 3)) AND n_chars >= 100""",
     "rerank_structure": f"""WITH {_BM25},
 s AS (SELECT query_id, bm.id, round(bm.score * (1 + 0.5 * ((CASE WHEN q.lang = d.lang THEN 1 ELSE 0 END) + (CASE WHEN q.source = d.source THEN 1 ELSE 0 END)) / 3.0::DOUBLE), 5) AS score
       FROM bm JOIN documents d ON d.doc_id = bm.id JOIN documents q ON q.doc_id = bm.query_id)
