@@ -16,6 +16,7 @@ NAMES = {
     "op8_mix_sources": "mixing",
     "op9_secret_scan": "secret_scan",
     "op10_language_id": "language_id",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 

@@ -32,11 +32,11 @@ def powers(n: int, base: np.uint64 = STEP) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its row, its first byte) for texts that lie one after another in buf."""
     if not len(buf):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = LOWER[buf]
+    low = fold[buf]
     inside = ~separators[low]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
