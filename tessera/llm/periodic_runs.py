@@ -333,10 +333,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = {
     "op11_periodic_runs": r"""
 WITH ids AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-hashed AS (SELECT rid, doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
-    (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), (v, k) -> CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) AS h FROM ids),
+hashed AS (SELECT rid, doc_id, ws, len(ws)::BIGINT AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) AS h FROM ids),
 cut AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM hashed),
-made AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), i -> ws[CASE WHEN i < a THEN i + 1 ELSE a + 1 + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM cut),
+made AS MATERIALIZED (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i + 1 ELSE a + 1 + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM cut),
 word AS MATERIALIZED (SELECT rid, unnest(ws) AS w, unnest(range(0, n)) AS i FROM made),
 gram AS (SELECT rid, i, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS g, count(*) OVER (PARTITION BY rid) AS n FROM word WINDOW o AS (PARTITION BY rid ORDER BY i)),
 inner_gram AS MATERIALIZED (SELECT rid, i, g, n FROM gram WHERE i + 4 <= n),
