@@ -276,7 +276,7 @@ def _collapser(digest: bool):
         for t, mine in zip(text, runs, strict=True):
             words = _words(t.as_py())
             go = np.zeros(len(words) + 1, np.int64)
-            for r in mine.as_py():
+            for r in mine.as_py() or []:
                 go[r["start"] + r["period"]] += 1
                 go[r["start"] + r["length"]] -= 1
             stay = np.cumsum(go)[:-1] == 0

@@ -118,9 +118,10 @@ def test_texts_of_several_tiles_and_texts_themselves(spark, make_docs):
     rng = random.Random(8)
     unit = [str(k) for k in range(900)]
     words = [str(rng.random()) for _ in range(3000)] + unit * 9 + ["z"] * 5000 + [str(rng.random()) for _ in range(100)] + ["u", "v"] * 7000
-    got = {r.doc_id: r for r in m.periodic_runs(make_docs([(1, " ".join(words)), (2, "one two"), (3, None)])).collect()}
+    got = {r.doc_id: r for r in m.periodic_runs(make_docs([(1, " ".join(words)), (2, "one two"), (3, None), (4, " ".join(words[:3900] + words[:3500]))])).collect()}
     assert [tuple(r) for r in got[1].runs] == [(3000, 8100, 900), (11_100, 5000, 1), (16_200, 14_000, 2)]
     assert got[1].kept.split() == words[:3900] + ["z"] + words[16_100:16_202]
+    assert (got[4].runs, got[4].kept.split()) == ([], words[:3900] + words[:3500])
     assert (got[2].kept, got[2].runs, got[3].kept, got[3].n_words) == ("one two", [], "", 0)
 
 
