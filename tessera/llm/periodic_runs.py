@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -225,13 +226,11 @@ def solve(tiles: list[tuple[np.ndarray, int, int, int, int]], least: int = LEAST
 def _solver(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held, words = batch.to_pylist(), [], 0
-            for k, row in enumerate(rows):
-                held.append(row)
-                words += len(row["words"]) // 8
-                if words >= TOGETHER or k == len(rows) - 1:
-                    yield _solved(held, digest)
-                    held, words = [], 0
+            ends = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False) // 8) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    yield _solved(batch.slice(a, b - a).to_pylist(), digest)
 
     return run
 

@@ -17,6 +17,7 @@ NAMES = {
     "op9_secret_scan": "secret_scan",
     "op10_language_id": "language_id",
     "op11_periodic_runs": "periodic_runs",
+    "op12_html_extract": "html_extract",
     "op13_collocations": "collocations",
 }
 
