@@ -66,10 +66,10 @@ class Writer:
     def words(self, most: int = 4) -> str:
         return " ".join(self.word() for _ in range(self.rng.randint(1, most))).capitalize()
 
-    def named(self, kind: str) -> str:
-        """A class or id, or none, as a page might name this kind of part."""
+    def named(self, kind: str, sure: bool = False) -> str:
+        """A class or id, or (unless sure) none, as a page might name this kind of part."""
         rng = self.rng
-        if self.plain or rng.random() < 0.12:
+        if not sure and (self.plain or rng.random() < 0.12):
             return rng.choice(["", "", f' class="{rng.choice("abcxyz")}{rng.randint(1, 99)}"', f' class="css-{rng.randrange(16**6):06x}"'])
         name = rng.choice(NAMES[kind])
         if rng.random() < 0.25:
@@ -116,17 +116,18 @@ def links(w: Writer, kind: str, tag: str) -> None:
     w.close(tag)
 
 
-def note(w: Writer, kind: str, tag: str) -> None:
-    """A notice, advert or line of a header or footer: one or a few sentences."""
+def note(w: Writer, kind: str, tag: str, inside: bool = False) -> None:
+    """A notice, advert or line of a header or footer: one or a few sentences. Inside an article it has a name, or
+    nothing would tell it from the article."""
     rng = w.rng
     bare = rng.random() < 0.5
     if not bare:
-        w.open(tag, w.named(kind))
+        w.open(tag, w.named(kind, inside))
     for _ in range(1 if bare else rng.randint(1, 3)):
         text = said(w, kind) if rng.random() < 0.5 else w.sentence(2, 14) if rng.random() < 0.7 else w.prose(3)
         if kind == "footer" and rng.random() < 0.5:
             text = "© " + text
-        w.block(tag if bare else rng.choice(["p", "div", "p"]), text, 0, w.named(kind) if bare else "", rng.choice([lambda t: t, lambda t: t, link]))
+        w.block(tag if bare else rng.choice(["p", "div", "p"]), text, 0, w.named(kind, inside) if bare else "", rng.choice([lambda t: t, lambda t: t, link]))
     if not bare:
         w.close(tag)
 
@@ -149,18 +150,18 @@ def comments(w: Writer) -> None:
         w.block(rng.choice(["h2", "h3", "p"]), rng.choice(["Comments", "3 comments", "Discussion", "Leave a reply", w.words()]), 0)
     for _ in range(rng.randint(1, 6)):
         tag = "li" if outer in ("ol", "ul") else rng.choice(["div", "article", "div"])
-        w.open(tag, w.named("comments"))
+        w.open(tag, w.named("comments", tag == "article"))
         if rng.random() < 0.6:
             w.block(rng.choice(["div", "p", "h4"]), w.words(2) + rng.choice(["", " says:", " wrote 2 days ago"]), 0)
         for _ in range(rng.choice((1, 1, 2))):
-            w.block("p", w.prose(3) if rng.random() < 0.8 else said(w, "comments"), 0)
+            w.block(rng.choice(["p", "p", "div"]), w.prose(3) if rng.random() < 0.8 else said(w, "comments"), 0)
         if rng.random() < 0.5:
             w.block("div", rng.choice(["Reply", "Report", "Like"]), 0, inside=link)
         w.close(tag)
     w.close(outer)
 
 
-def boilerplate(w: Writer, kind: str) -> None:
+def boilerplate(w: Writer, kind: str, inside: bool = False) -> None:
     rng = w.rng
     if kind == "form":
         return form(w)
@@ -170,7 +171,7 @@ def boilerplate(w: Writer, kind: str) -> None:
     tag = rng.choice(tags)
     if kind in ("nav", "side") or kind in ("footer", "share", "header") and rng.random() < 0.4:
         return links(w, kind, "div" if tag in ("ul", "p") else tag)
-    return note(w, kind, "div" if tag == "ul" else tag)
+    return note(w, kind, "div" if tag == "ul" else tag, inside)
 
 
 def article(w: Writer) -> None:
@@ -218,7 +219,7 @@ def article(w: Writer) -> None:
                 w.close("tr")
             w.close("table")
         else:
-            boilerplate(w, rng.choice(["ad", "ad", "share", "side", "notice", "form"]))
+            boilerplate(w, rng.choice(["ad", "ad", "share", "side", "notice", "form"]), True)
     if rng.random() < 0.15:
         boilerplate(w, rng.choice(["comments", "share"]))
     for tag in reversed(wraps):

@@ -38,7 +38,7 @@ from tessera.llm.wordscan import LOWER, STEP, U, mix, word_hashes
 LEAST, LONGEST, FIRST, INSIDE = 30, 4, 2_000, 80
 SCALE = 2_000_000
 #: Bytes of text that are counted together, and of phrases in one batch.
-SLICE, STRINGS = 1 << 23, 1 << 28
+SLICE, STRINGS = 1 << 22, 1 << 22
 
 CUTS = np.zeros(256, bool)
 CUTS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -77,7 +77,9 @@ def in_language(words: np.ndarray, lang: str) -> np.ndarray:
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the given stretches one after another, and the offsets of the stretches."""
     off = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(off[-1]) + np.repeat(start - off[:-1], size)
+    kind = np.int32 if max(off[-1], len(data)) < 1 << 31 else np.int64
+    at = np.repeat((start - off[:-1]).astype(kind), size)
+    at += np.arange(off[-1], dtype=kind)
     return data[at], off
 
 
@@ -233,7 +235,8 @@ ORACLE = {
     "op13_collocations": r"""
 WITH low AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 piece AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?
--]')), '[^ 	]+') AS ws FROM low),
+-
+]')), '[^ 	]+') AS ws FROM low),
 pieces AS MATERIALIZED (SELECT lang, ws, len(ws) AS m FROM piece WHERE len(ws) > 0),
 gram AS (SELECT lang, k, array_to_string(ws[i + 1 : i + k], ' ') AS g FROM (SELECT lang, ws, k, unnest(range(0, m - k + 1)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE m >= k)),
 cnt AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30),
