@@ -49,7 +49,7 @@ class Writer:
         self.syllables = rng.choice(SYLLABLES)
         self.out: list[str] = []
         self.blocks: list[tuple[str, int]] = []
-        self.plain = rng.random() < 0.25  # a page whose names say nothing
+        self.plain = rng.random() < 0.15  # a page whose names say nothing
 
     def word(self) -> str:
         return "".join(self.rng.choice(self.syllables) for _ in range(self.rng.choice((1, 1, 2, 2, 3, 4))))

@@ -35,7 +35,7 @@ from tessera.llm.wordscan import U, word_hashes
 #: Rows and width of the tables of path and word vectors, figures of a block, units of a direction.
 PATHS, PATH_DIM, WORDS, WORD_DIM, FIGURES, UNITS = 4_096, 16, 4_096, 8, 12, 24
 #: Training: made-up pages, pages of a step, passes, step size.
-PAGES, STEP_PAGES, PASSES, RATE = 1_000, 24, 6, 0.01
+PAGES, STEP_PAGES, PASSES, RATE = 2_400, 24, 4, 0.02
 #: Characters of html parsed together, and cells (pages times blocks) of one pass of the network.
 TOGETHER, CELLS = 1 << 21, 1 << 14
 
