@@ -9,8 +9,9 @@ pieces; `PrefixCounts` keeps the sums at piece ends and looks up the counts insi
 and truncation without encoding again.
 
 A count inside a piece is that of the prefix as a text of its own wherever the pre-tokenizer cuts that prefix like the
-whole text. Where it does not (white space before another word, a contraction or a special string that is cut apart), the
-last piece or two are cut again, and the new pieces are looked up.
+whole text. Where it may not (white space before another word, a contraction, a special string that is cut apart: at most
+three characters into a piece, or inside a special string), the last piece or two are cut again, and the new pieces are
+looked up. The pattern must be one whose pieces are runs of one kind of character, but for such seams.
 
 Defined cases: null is empty and has 0 tokens; texts of any length are counted whole; rows that repeat are counted
 each; other columns are not read; an empty table gives no rows.
@@ -34,10 +35,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.shared import table
 
-#: Pieces that a worker remembers before it starts anew.
-PIECES = 400_000
-#: Bytes of a piece whose prefixes are remembered, too; those of a longer one are counted when they are asked for.
-INSIDE = 64
+#: Pieces that a worker remembers with their prefixes, and bytes of them, before the older half goes; the latest stays.
+PIECES, REMEMBERED = 400_000, 1 << 25
+#: A prefix that ends so many characters into a piece may be cut otherwise than the whole text; further in it is not.
+SEAM = 3
 COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("cut_chars", T.LongType())])
 
 
@@ -49,11 +50,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Merges(dict):
-    """Piece to its number of tokens; inside has the count of each prefix of the piece, by bytes from 0 on."""
+    """Piece to its number of tokens; inside has the count of each prefix of the piece, by characters from 0 on."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
-        self.inside: dict[str, bytes] = {}
+        self.inside: dict[str, bytes | np.ndarray] = {}
+        self.held = 0
         spec = json.loads(open(path, encoding="utf-8").read())
         letters = byte_alphabet()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -137,20 +139,24 @@ class Merges(dict):
 
     def __missing__(self, piece: str) -> int:
         """Tokens of a whole piece; the counts of its prefixes stay in inside."""
-        if len(self) >= PIECES:  # the older half goes, which has the rare pieces of the past and what comes again soon
-            for old in list(islice(self, PIECES // 2)):
-                del self[old]
-                self.inside.pop(old, None)
-        found = self.prefix_counts(piece.encode())
+        if len(self) >= PIECES or self.held >= REMEMBERED:  # the older half goes, which has the rare pieces of the past and what comes again soon
+            for old in list(islice(self, (len(self) + 1) // 2)):
+                del self[old], self.inside[old]
+            self.held = sum(map(len, self))
+        data = piece.encode()
+        found = self.prefix_counts(data)
+        if len(data) != len(piece):  # by characters
+            begins = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            found = [*np.array(found[:-1], np.uint32)[begins].tolist(), found[-1]]
         self[piece] = found[-1]
-        if len(found) <= INSIDE:
-            self.inside[piece] = bytes(found)
+        self.inside[piece] = bytes(found) if max(found) < 256 else np.array(found, np.uint32)
+        self.held += len(piece)
         return found[-1]
 
-    def prefixes(self, piece: str) -> bytes | list[int]:
-        """The counts of the piece's prefixes, by bytes."""
+    def prefixes(self, piece: str) -> bytes | np.ndarray:
+        """The counts of the piece's prefixes, by characters."""
         self[piece]
-        return self.inside.get(piece) or self.prefix_counts(piece.encode())
+        return self.inside[piece]
 
     def segments(self, text: str):
         """(piece or special string, whether it is special) in order, one at a time."""
@@ -166,7 +172,6 @@ class Merges(dict):
             return sum(1 if special else self[p] for p, special in self.segments(text))
         return sum(map(self.__getitem__, self.pieces(text)))
 
-
     def truncated(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text, and the most characters whose prefix takes no more than budget tokens."""
         if self.special and any(s in text for s in self.special):
@@ -201,23 +206,42 @@ class PrefixCounts:
         k = min(bisect_right(self.marks, chars), len(self.cuts)) - 1
         if k < 0:
             return 0
+        part = chars - self.marks[k]
+        if part > SEAM and not self.special[k]:
+            return self.tokens[k] + int(self.inside(k)[part])
+        if self.special[k] and part == len(self.cuts[k]):
+            return self.tokens[k + 1]
         # a piece that ends the prefix may be cut otherwise than before other text: at most it and the one before
         first = k - 1 if k and not self.special[k - 1] else k
-        part = self.text[self.marks[k] : chars]
-        if self.special[k] and part == self.cuts[k]:
-            return self.tokens[k + 1]
-        as_before = [c for c in (*self.cuts[first:k], part) if c]
-        again = [p for p, _ in self.merges.segments(self.text[self.marks[first] : chars])]
-        if again != as_before or self.special[k]:
-            return self.tokens[first] + sum(self.merges[p] for p in again)
-        return self.tokens[k] + self.merges.prefixes(self.cuts[k])[len(part.encode())]
+        start = self.marks[first]
+        if first < k and len(self.cuts[first]) > SEAM and not self.cuts[first].isspace():
+            first, start = k, self.marks[k]  # only white space and short pieces join what comes behind them
+        again = [p for p, _ in self.merges.segments(self.text[start:chars])]
+        if again == [*self.cuts[first:k], self.cuts[k][:part]] and not self.special[k]:
+            return self.tokens[k] + int(self.inside(k)[part])
+        return self.tokens[first] + sum(self.merges[p] for p in again)
+
+    def inside(self, k: int) -> bytes | np.ndarray:
+        return self.merges.prefixes(self.cuts[k])
 
     def within(self, budget: int) -> int:
         """The most characters whose prefix takes no more than budget tokens, by piece ends and then inside a piece."""
         k = max(0, bisect_right(self.tokens, budget) - 1)
         # white space that joins the piece behind may still fit
         end = min(self.marks[min(k + 1, len(self.marks) - 1)] + 1, self.marks[-1])
-        return next((c for c in range(end, self.marks[max(0, k - 1)] - 1, -1) if self.at(c) <= budget), 0)
+        for j in range(min(k + 1, len(self.cuts) - 1), max(0, k - 1) - 1, -1):
+            start, stop = self.marks[j], min(self.marks[j + 1], end)
+            near = stop if self.special[j] else min(stop, start + SEAM)
+            if stop > near:
+                counts = self.inside(j)
+                counts = np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else counts
+                fits = np.flatnonzero(counts[SEAM + 1 : stop - start + 1] <= budget - self.tokens[j])
+                if len(fits):
+                    return start + SEAM + 1 + int(fits[-1])
+            for chars in range(near, start, -1):
+                if self.at(chars) <= budget:
+                    return chars
+        return 0
 
 
 @lru_cache(4)

@@ -61,10 +61,45 @@ def test_table(spark, make_docs, both):
     assert M.token_counts(make_docs([]), P.path("byte_bpe_50k.json"), P.PATTERN, 1024).collect() == []
 
 
+@pytest.mark.parametrize("letters, n", [("acgt", 1_000_000), ("aé日x", 100_000), ("01", 50_000), (" ", 50_000), ("?!-", 50_000)])
+def test_one_long_run_is_encoded_once(both, monkeypatch, letters, n):
+    """The cut is right next to it, and nothing above it fits: counts fall by a few tokens at most from one prefix on."""
+    import random
+    import time
+
+    merges, tokenizer = both
+    rng = random.Random(7)
+    text = "A start. " + "".join(rng.choice(letters) for _ in range(n)) + " end"
+    calls, once = [], M.Merges.prefix_counts
+    monkeypatch.setattr(M.Merges, "prefix_counts", lambda self, data: calls.append(data) or once(self, data))
+    began = time.perf_counter()
+    total, cut = merges.truncated(text, 1024)
+    assert time.perf_counter() - began < 8  # 2 s on a machine of its own
+    assert len(calls) == len(set(calls))
+    assert total == library(tokenizer, text)
+    near = [library(tokenizer, text[:c]) for c in range(cut, min(len(text), cut + 40) + 1)]
+    assert near[0] <= 1024 and all(x > 1024 for x in near[1:])
+
+
+def test_odd_rows_have_the_librarys_counts_and_cuts(spark, make_docs, odd_rows, both):
+    got = M.token_counts(make_docs(odd_rows), P.path("byte_bpe_50k.json"), P.PATTERN, 64).collect()
+    want = []
+    for i, t in odd_rows:
+        n = library(both[1], t or "")
+        cut = len(t or "")
+        if n > 64:
+            cut = longest([library(both[1], t[:c]) for c in range(min(len(t), 700) + 1)], 64)
+        want.append((i, len((t or "").encode()), n, n > 64, cut))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_the_table_of_pieces_is_bounded(both, monkeypatch):
     monkeypatch.setattr(M, "PIECES", 3)
     merges = M.Merges(P.path("byte_bpe_50k.json"), P.PATTERN)
     assert merges.count("a b c d e f g a b") == library(both[1], "a b c d e f g a b") and len(merges) <= 3
+    monkeypatch.setattr(M, "REMEMBERED", 100)
+    assert all(merges.count("z" * k) == library(both[1], "z" * k) and sum(map(len, merges)) < 400 for k in range(90, 200))
+    assert set(merges) == set(merges.inside)
 
 
 def test_seams_of_tokens_equal_the_merges_of_their_bytes(both):
