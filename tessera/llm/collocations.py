@@ -6,7 +6,8 @@ words. All shorter counts follow from the flow: a node's count is the sum of the
 that end in it, a pair's that of the nodes that it begins plus its own piece ends, and a word's likewise.
 
 1. Words are counted by hash and language. Those of at least `least` occurrences set bits of a bitmap of fixed size; a
-   word whose bit is not set is in no candidate, so pieces are cut there. False positives cost rows and not results.
+   word whose bit is not set is in no candidate, so pieces are cut there. The pairs of neighbours that are left are counted
+   in the same way, and pieces are cut between words that are no frequent pair. False positives cost rows and not results.
 2. The texts' pieces become edges and ends; equal ones of a slice are summed before they are shuffled.
 3. A node that one edge enters and one edge leaves, each as often as the node itself occurs, is unary. Unary paths are
    compacted by pointer doubling into words and one weight, and the counts of their inner nodes are read from them. Such
@@ -22,6 +23,8 @@ hashes of them do; everything after that goes by the words themselves.
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,10 @@ from tessera.llm.wordscan import LOWER, STEP, U, mix, word_hashes
 #: Occurrences of a candidate; longest gram; phrases of each language; percent of its count that drops what a longer one holds.
 LEAST, LONGEST, FIRST, INSIDE = 30, 4, 2_000, 80
 SCALE = 2_000_000
-#: Bytes of text that are counted together, and of phrases in one batch.
-SLICE, STRINGS = 1 << 22, 1 << 22
+#: Bytes of text that are read together, and of phrases in one batch; keys that are summed together.
+SLICE, STRINGS, KEYS = 1 << 21, 1 << 22, 1 << 22
+#: Bits of the bitmap of pairs, as a power of two.
+PAIR_BITS = 26
 
 CUTS = np.zeros(256, bool)
 CUTS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -54,21 +59,80 @@ def by_language(lang: pa.Array, text: pa.Array) -> Iterator[tuple[str, pa.Array]
         yield name, text.take(pa.array(np.flatnonzero(codes == k)))
 
 
-def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, word, n): hashes of the words of each language that occur so often; word is null where n counts all."""
+def _summed(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the keys, each once for about KEYS of them."""
+    held: list[np.ndarray] = []
+    for key in itertools.chain(keys, [None]):
+        if key is not None:
+            held.append(key)
+        if held and (key is None or sum(map(len, held)) >= KEYS):
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            held = []
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "word", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, text in by_language(batch.column(0), batch.column(1)):
-                for _, buf, off in slices(text, SLICE):
-                    words, n = np.unique(in_language(word_hashes(buf, off, SEPARATORS)[0], lang), return_counts=True)
-                    word = pa.array([*words.view(np.int64).tolist(), None], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), word, pa.array(np.append(n, n.sum()).astype(np.int64))], ["lang", "word", "n"])
 
+def _counted(docs: DataFrame, run, least: int) -> DataFrame:
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return counted.where(F.col("word").isNull() | (F.col("n") >= least))
 
 
+def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, word, n): hashes of the words in their language that occur so often; a row with a lang counts all its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+
+        def keys() -> Iterator[np.ndarray]:
+            for lang, buf, off in read_texts(batches):
+                words = word_hashes(buf, off, SEPARATORS)[0]
+                total[lang] += len(words)
+                yield in_language(words, lang)
+
+        yield from _summed(keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
+
+    return _counted(docs, run, least)
+
+
+def pair_counts(docs: DataFrame, bits: np.ndarray, least: int = LEAST) -> DataFrame:
+    """(word, n): hashes of the pairs of neighbours that bits lets through and that occur so often."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys() -> Iterator[np.ndarray]:
+            for lang, buf, off in read_texts(batches):
+                words, _, _, linked = neighbours(buf, off, lang, shared.value)
+                yield pair_keys(words, lang)[linked]
+
+        yield from _summed(keys())
+
+    return _counted(docs, run, least)
+
+
+def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, bytes, offsets) of slices of the texts (lang, text)."""
+    for batch in batches:
+        for lang, text in by_language(batch.column(0), batch.column(1)):
+            for _, buf, off in slices(text, SLICE):
+                yield lang, buf, off
+
+
+def pair_keys(words: np.ndarray, lang: str) -> np.ndarray:
+    """For each word, the hash of it and the one before."""
+    return in_language(np.concatenate([words[:1], words[:-1] * STEP + words[1:]]), lang)
+
+
+def neighbours(buf: np.ndarray, off: np.ndarray, lang: str, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, starts, whether bits lets the word through, whether it and the one before do and are in one piece)."""
+    words, rows, start = word_hashes(buf, off, SEPARATORS)
+    keep = marked(bits, in_language(words, lang))
+    linked = np.zeros(len(words), bool)
+    if len(words):
+        piece = np.cumsum(CUTS[buf])[start]
+        linked[1:] = (rows[1:] == rows[:-1]) & (piece[1:] == piece[:-1]) & keep[1:] & keep[:-1]
+    return words, start, keep, linked
+
+
 def in_language(words: np.ndarray, lang: str) -> np.ndarray:
     """Hashes of words in a language; languages that share one only let more words through the bitmap."""
     return mix(words ^ U(int.from_bytes(lang.encode()[:8].ljust(8), "big")))
@@ -83,20 +147,16 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return data[at], off
 
 
-def grams_of(buf: np.ndarray, off: np.ndarray, known) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(size, phrases, occurrences): edges of LONGEST words and shorter piece ends of texts, at words that known takes."""
-    words, rows, start = word_hashes(buf, off, SEPARATORS)
-    if not len(words):
+def grams_of(buf: np.ndarray, off: np.ndarray, lang: str, bits: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(size, phrases, occurrences): edges of LONGEST words and shorter piece ends of texts, cut where the bitmaps say."""
+    words, start, keep, linked = neighbours(buf, off, lang, bits)
+    if not keep.any():
         return
+    linked &= marked(pairs, pair_keys(words, lang))
     low = LOWER[buf]
-    gap = SEPARATORS[low]
-    breaks = np.cumsum(CUTS[low])[start]  # which piece of the slice
     after = np.append(start[1:], len(buf))
-    outside = np.concatenate([[0], np.cumsum(gap)])
+    outside = np.concatenate([[0], np.cumsum(SEPARATORS[low], dtype=np.int64)])
     size = after - start - (outside[after] - outside[start])  # a word ends at the first separator or with its text
-    keep = known(words)
-    linked = np.zeros(len(words), bool)  # with the word before
-    linked[1:] = (rows[1:] == rows[:-1]) & (breaks[1:] == breaks[:-1]) & keep[1:] & keep[:-1]
     held = np.flatnonzero(keep)
     words, linked = words[held], linked[held]
     text, at = _gather(np.append(low, np.uint8(32)), start[held], size[held] + 1)
@@ -129,16 +189,14 @@ def grams_of(buf: np.ndarray, off: np.ndarray, known) -> Iterator[tuple[int, pa.
             yield k, pa.StringArray.from_buffers(len(cut), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)), count[cut]
 
 
-def edges_and_ends(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def edges_and_ends(docs: DataFrame, bits: np.ndarray, pairs: np.ndarray) -> DataFrame:
     """(lang, size, gram, n): edges (size LONGEST) and piece ends of fewer words, summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((bits, pairs))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, text in by_language(batch.column(0), batch.column(1)):
-                for _, buf, off in slices(text, SLICE):
-                    for size, grams, n in grams_of(buf, off, lambda words, lang=lang: marked(shared.value, in_language(words, lang))):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))], ["lang", "size", "gram", "n"])
+        for lang, buf, off in read_texts(batches):
+            for size, grams, n in grams_of(buf, off, lang, *shared.value):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))], ["lang", "size", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
@@ -194,7 +252,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     words = materialise(word_counts(docs, least), "word-counts")
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("total"))
     bits = bitmap(words.where("word IS NOT NULL"), "word")
-    grams = materialise(edges_and_ends(docs, bits), "edges")
+    pairs = bitmap(pair_counts(docs, bits, least), "word", PAIR_BITS)
+    grams = materialise(edges_and_ends(docs, bits, pairs), "edges")
     edges = materialise(grams.where((F.col("size") == LONGEST) & (F.col("n") >= least)).select("lang", "gram", "n"), "frequent-edges")
     short = [flow(grams, k, least).withColumn("size", F.lit(k)) for k in range(1, LONGEST)]
     nodes = materialise(short[0].unionByName(short[1]).unionByName(short[2]), "nodes")

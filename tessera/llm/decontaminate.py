@@ -40,18 +40,18 @@ SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """One bit for each hash, by its upper bits; 2^BITMAP bits however many hashes there are."""
-    at = f"shiftrightunsigned({column}, {64 - BITMAP})"
+def bitmap(hashes: DataFrame, column: str, size: int = BITMAP) -> np.ndarray:
+    """One bit for each hash, by its upper bits; 2^size bits however many hashes there are."""
+    at = f"shiftrightunsigned({column}, {64 - size})"
     words = hashes.selectExpr(f"{at} >> 5 AS w", f"shiftleft(1L, CAST({at} & 31 AS INT)) AS bit")
-    out = np.zeros(1 << (BITMAP - 5), np.uint32)
+    out = np.zeros(1 << (size - 5), np.uint32)
     got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     out[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     return out
 
 
 def marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key >> U(64 - BITMAP)
+    at = key >> U(64 - (len(bits) * 32).bit_length() + 1)
     return (bits[(at >> U(5)).astype(np.int64)] >> (at & U(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
