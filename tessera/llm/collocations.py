@@ -42,8 +42,6 @@ LEAST, LONGEST, FIRST, INSIDE = 30, 4, 2_000, 80
 SCALE = 2_000_000
 #: Bytes of text that are read together, and of phrases in one batch; keys that are summed together.
 SLICE, STRINGS, KEYS = 1 << 21, 1 << 22, 1 << 22
-#: Bits of the bitmap of pairs, as a power of two.
-PAIR_BITS = 26
 
 CUTS = np.zeros(256, bool)
 CUTS[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -252,7 +250,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     words = materialise(word_counts(docs, least), "word-counts")
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("total"))
     bits = bitmap(words.where("word IS NOT NULL"), "word")
-    pairs = bitmap(pair_counts(docs, bits, least), "word", PAIR_BITS)
+    pairs = bitmap(pair_counts(docs, bits, least), "word")
     grams = materialise(edges_and_ends(docs, bits, pairs), "edges")
     edges = materialise(grams.where((F.col("size") == LONGEST) & (F.col("n") >= least)).select("lang", "gram", "n"), "frequent-edges")
     short = [flow(grams, k, least).withColumn("size", F.lit(k)) for k in range(1, LONGEST)]
