@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,51 +110,82 @@ def content_delete(stored: DataFrame, gone: DataFrame) -> DataFrame:
 
 POINTS = "document_id bigint, chunk_id string, point_id string, signature string, content string"
 VECTORS = "document_id bigint, point_id string, vector array<float>"
-POSTINGS = "document_id bigint, point_id string, term string, weight float, stats_version string"
 EVIDENCE = "document_id bigint, node_id string, chunk_id string, score double"
 
 
 class Index:
-    """The tables of an index, by document: points with content, vectors, postings and entity evidence."""
+    """The tables of an index, by document: points with content, vectors, term statistics and entity evidence. An index
+    that is in the folder is opened as it was left."""
 
     def __init__(self, spark, path: str, parts: int = 64):
+        from tessera.operators.statistics import Statistics
         from tessera.sources.storage import Table
 
-        self.points, self.vectors, self.postings, self.evidence = (Table(spark, f"{path}/{n}", s, parts) for n, s in (("points", POINTS), ("vectors", VECTORS), ("postings", POSTINGS), ("evidence", EVIDENCE)))
+        keys = ("document_id", "point_id")
+        self.points, self.vectors = Table(spark, f"{path}/points", POINTS, keys, parts), Table(spark, f"{path}/vectors", VECTORS, keys, parts)
+        self.evidence = Table(spark, f"{path}/evidence", EVIDENCE, ("document_id", "node_id", "chunk_id"), parts)
+        self.statistics = Statistics(spark, f"{path}/statistics", parts)
+
+    def tables(self) -> dict:
+        s = self.statistics
+        return {"points": self.points, "vectors": self.vectors, "evidence": self.evidence, "texts": s.texts, "frequencies": s.frequencies, "totals": s.totals}
+
+    def compact(self, folders: int = 4) -> dict[str, list[int]]:
+        """Rewrite, of every table, the parts that so many commits have touched."""
+        return {name: t.compact(folders) for name, t in self.tables().items()}
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """What turns contents into vectors, and the names that go into a point's signature: with another encoder or
+    version of it all points count as changed."""
+
+    vector: Callable[[Column], Column]
+    provider: str
+    model: str
+    version: str = "1"
+
+
+def mock_encoder(dims: int = 32) -> Encoder:
+    from tessera.operators.models import mock_embedding
+
+    return Encoder(lambda content: mock_embedding(content, dims), "mock", "mock-embed")
 
 
-def index_documents(index: Index, incoming: DataFrame, dims: int = 32) -> DataFrame:
+def index_documents(index: Index, incoming: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """Bring the index to the state of incoming (document_id, chunk_id, content) and return the diff plan.
 
-    The plan is a full outer join by signature; what is deleted or changed goes, what is new or changed is embedded, gets
-    postings by the statistics of all texts that are kept, and gives its entities to the graph; unchanged points keep
-    their vectors. Every table is written once, as a new version.
+    The plan is a full outer join by signature. What is new or changed is written, embedded, counted and read for
+    entities, what is deleted is marked as gone, and unchanged points are not touched: each table gets one commit of the
+    rows that differ. The points come last: should a run end before them, the next one finds its work still to do, and
+    what the tables hold beyond the incoming rows goes. Chunk ids need be unique inside a document only; of rows with the
+    same ids the last by content counts.
     """
     from tessera.functions import text as X
     from tessera.operators import enrichment as N
-    from tessera.operators import models as O
-    from tessera.operators import retrieval as R
+    from tessera.sources.storage import stored
 
+    encoder = encoder or mock_encoder()
+    keys = ["document_id", "point_id"]
     point = X.point_id(F.col("document_id").cast("string"), F.col("chunk_id"), F.lit(0))
-    new = incoming.withColumns({"point_id": point, "signature": X.index_signature(X.content_hash(F.col("content")), "mock", "mock-embed", "1", "1.0.0")})
+    new = incoming.groupBy("document_id", "chunk_id").agg(F.max("content").alias("content"))
+    new = new.withColumns({"point_id": point, "signature": X.index_signature(X.content_hash(F.col("content")), encoder.provider, encoder.model, encoder.version, "1.0.0")})
     old = index.points.read()
-    plan = diff_plan(old, new)
-    work = plan.where("action IN ('new', 'modified')").select("point_id")
-    keep = plan.where("action = 'unchanged'").select("point_id")
-    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
-    fresh = new.join(work, "point_id", "left_semi").select(*columns(POINTS))
-    index.points.put(old.join(keep, "point_id", "left_semi").select(*columns(POINTS)).unionByName(fresh))
-    vectors = index.vectors.read().join(keep, "point_id", "left_semi").select(*columns(VECTORS))
-    index.vectors.put(vectors.unionByName(fresh.select("document_id", "point_id", O.mock_embedding(F.col("content"), dims).alias("vector"))))
-    now = index.points.read()
-    terms = R.term_counts(now, "point_id", F.col("content"))
-    stats = R.corpus_stats(now, F.col("content"))
-    made = R.postings(terms, R.document_frequencies(terms), stats).withColumnRenamed("id", "point_id")
-    made = made.crossJoin(F.broadcast(stats.select(R.stats_version().alias("stats_version"))))  # one row
-    index.postings.put(now.select("document_id", "point_id").join(made, "point_id").select(*columns(POSTINGS)))
-    found = N.mentions(fresh, "chunk_id", "content").select("chunk_id", F.lower("text").alias("node_id"), F.col("confidence").alias("score"))
-    evidence = found.join(fresh.select("document_id", "chunk_id"), "chunk_id").groupBy("document_id", "node_id", "chunk_id").agg(F.max("score").alias("score"))
-    kept = old.join(keep, "point_id", "left_semi").select("document_id", "chunk_id")
-    there = index.evidence.read().join(kept, ["document_id", "chunk_id"], "left_semi")
-    index.evidence.put(there.select(*columns(EVIDENCE)).unionByName(evidence.select(*columns(EVIDENCE))))
-    return plan
+    both = diff_plan(old.withColumn("_k", F.struct(*keys, "chunk_id")), new.withColumn("_k", F.struct(*keys, "chunk_id")), "_k")
+    plan = stored(both.select("_k.*", "action"), "plan")
+    work = plan.where("action IN ('new', 'modified')").select(*keys)
+    there = plan.where("action = 'deleted'").select(*keys)
+    for table in (index.vectors, index.statistics.texts):  # also what an unfinished run left
+        there = there.unionByName(table.read().select(*keys))
+    gone = stored(there.distinct().join(new.select(*keys), keys, "left_anti"), "gone")
+    fresh = stored(new.join(work, keys, "left_semi").select("document_id", "chunk_id", "point_id", "signature", "content"), "fresh")
+    index.vectors.commit(fresh.select(*keys, encoder.vector(F.col("content")).alias("vector")), gone)
+    index.statistics.update(fresh.select(*keys, F.col("content").alias("text")), gone)
+    chunk = F.struct("document_id", "chunk_id").alias("chunk_key")
+    found = N.mentions(fresh.select(chunk, "content"), "chunk_key", "content").select(F.col("chunk_id.document_id").alias("document_id"), F.lower("text").alias("node_id"), F.col("chunk_id.chunk_id").alias("chunk_id"), F.col("confidence").alias("score"))
+    evidence = stored(found.groupBy("document_id", "node_id", "chunk_id").agg(F.max("score").alias("score")), "evidence")
+    same = plan.where("action = 'unchanged'").select("document_id", "chunk_id")
+    before = index.evidence.read().join(same, ["document_id", "chunk_id"], "left_anti")
+    index.evidence.commit(evidence, before.join(evidence, ["document_id", "node_id", "chunk_id"], "left_anti").select("document_id", "node_id", "chunk_id"))
+    index.points.commit(fresh, gone)
+    return plan.select("point_id", "action")

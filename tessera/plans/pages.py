@@ -144,7 +144,7 @@ def index_documents(spark, sf_dir):
     first = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old Acme Corp "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
     I.index_documents(index, _snapshot(first))
     plan = I.index_documents(index, _snapshot(docs.where("doc_id % 7 <> 0")))
-    counted = index.postings.read().groupBy("point_id").agg(F.count("*").alias("terms"))
+    counted = index.statistics.postings().groupBy("point_id").agg(F.count("*").alias("terms"))
     held = index.points.read().select("point_id", "document_id", F.sha2("content", 256).alias("content_sha256")).join(index.vectors.read().select("point_id", F.size("vector").alias("dims")), "point_id", "left").join(counted, "point_id", "left")
     return plan.join(held, "point_id", "left").select("action", "document_id", "content_sha256", "dims", F.coalesce("terms", F.lit(0)).alias("terms"))
 

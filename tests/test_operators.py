@@ -14,7 +14,6 @@ from tessera.operators import indexing as I
 from tessera.operators import retrieval as R
 from tessera.operators import structure as S
 from tessera.sources import tables as T
-from tessera.streaming import incremental
 
 
 def one(spark, column, **values):
@@ -196,27 +195,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    for n, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c"), (3, None)], [(1, "a")]]):
-        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
-        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in/*")
-        incremental.index_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    index = incremental.versions(spark, f"{tmp_path}/out/index", "point_id bigint, signature string")
-    assert {r.point_id for r in index.collect()} == {1, 2, 3}
-    plans = spark.read.parquet(f"{tmp_path}/out/plans/*")
-    assert {(r.batch, r.point_id): r.action for r in plans.collect()} == {(0, 1): "new", (0, 2): "new", (1, 2): "modified", (1, 3): "new", (2, 1): "unchanged"}
-
-
-def test_job_states(spark, tmp_path):
-    rows = [(1, 1, "running"), (1, 2, "completed"), (1, 3, "running"), (2, 1, "completed"), (2, 2, "running"), (2, 3, "retrying")]
-    spark.createDataFrame(rows, "job_id long, seq long, state string").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("job_id long, seq long, state string").parquet(f"{tmp_path}/in")
-    query = incremental.job_states(stream).writeStream.format("memory").queryName("moves").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = pd.DataFrame(spark.table("moves").collect(), columns=["job_id", "seq", "from_state", "to_state", "legal"])
-    assert {(r.job_id, r.seq): r.legal for r in got.itertuples()} == {(1, 1): True, (1, 2): True, (1, 3): False, (2, 1): False, (2, 2): True, (2, 3): True}
-
-
 def test_partitions_do_not_matter(spark):
     from tessera.plans import search
 

@@ -13,7 +13,6 @@ from tessera.operators import indexing as I
 from tessera.operators import retrieval as R
 from tessera.operators import structure as S
 from tessera.sources import tables
-from tessera.sources.storage import Table
 
 DOC = """intro [1] and [1]
 
@@ -172,22 +171,3 @@ def test_results_of_another_version_are_an_error(spark, tmp_path):
             tables.from_result(spark.createDataFrame([(text,)], "result string"), "a long").collect()
 
 
-def test_a_table_by_document_reads_one_part(spark, tmp_path):
-    t = Table(spark, f"{tmp_path}/t", "document_id bigint, x string", parts=5)
-    assert t.read().count() == 0
-    t.put(spark.createDataFrame([(k, str(k)) for k in range(40)], t.schema))
-    assert t.read(7).collect() == [(7, "7")] and t.read().count() == 40
-    assert "PartitionFilters: [isnotnull(_part" in t.read(7)._jdf.queryExecution().toString()
-    t.put(t.read().where("document_id > 3"))
-    assert t.version == 2 and t.read().count() == 36
-
-
-def test_an_index_follows_its_documents(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame(list(x), "document_id long, chunk_id string, content string")
-    index = I.Index(spark, f"{tmp_path}/index", 4)
-    I.index_documents(index, rows((1, "1/a", "Acme Corp grew"), (2, "2/a", "old words"), (3, "3/a", "gone")), 8)
-    plan = I.index_documents(index, rows((1, "1/a", "Acme Corp grew"), (2, "2/a", "new words"), (4, "4/a", "Beta Holding")), 8)
-    assert sorted(r.action for r in plan.collect()) == ["deleted", "modified", "new", "unchanged"] and index.points.version == 2
-    assert {r.chunk_id: r.content for r in index.points.read().collect()} == {"1/a": "Acme Corp grew", "2/a": "new words", "4/a": "Beta Holding"}
-    assert {r.node_id for r in index.evidence.read().collect()} == {"acme corp", "beta holding"}
-    assert index.vectors.read().count() == 3 and index.postings.read().select("stats_version").distinct().count() == 1
