@@ -104,7 +104,7 @@ class JobMachine(StatefulProcessor):
     def _advance(self, job: int, skip: bool) -> list[tuple]:
         """Take what follows without a gap; with skip, the first gap is passed over."""
         state, following = self._held()
-        held = sorted((k[0], v[0]) for k, v in self.waiting.iterator()) if self.waiting.exists() else []
+        held = sorted((k[0], v[0]) for k, v in list(self.waiting.iterator()))
         if skip and held:
             following = max(following, held[0][0])
         moves = []
@@ -120,9 +120,9 @@ class JobMachine(StatefulProcessor):
         return moves
 
     def _wait(self, milliseconds: int) -> None:
-        for timer in self.handle.listTimers():
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if self.waiting.exists() and any(True for _ in self.waiting.keys()) or self._held()[0] in TERMINAL:
+        if list(self.waiting.keys()) or self._held()[0] in TERMINAL:
             self.handle.registerTimer(milliseconds + self.patience)
 
     def _frame(self, moves: list[tuple]) -> pd.DataFrame:
@@ -139,7 +139,7 @@ class JobMachine(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         moves = self._advance(key[0], True)
-        more = self.waiting.exists() and any(True for _ in self.waiting.keys())
+        more = list(self.waiting.keys())
         if self._held()[0] in TERMINAL and not more:
             self.now.clear()
         elif more:
@@ -152,7 +152,8 @@ class JobMachine(StatefulProcessor):
 
 def job_states(events: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """Each event (job_id, seq, state) as a move from the state before it in its job, and whether the move is legal; an
-    illegal move leaves the state as it was. Needs the RocksDB state store."""
+    illegal move leaves the state as it was. Needs the RocksDB state store. Timers keep a query that takes what is there now
+    from ending, unless spark.sql.streaming.noDataMicroBatches.enabled is off."""
     return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobMachine(patience), outputStructType=MOVES, outputMode="append", timeMode="processingTime")
 
 

@@ -214,10 +214,12 @@ def test_statistics_stream(spark, tmp_path):
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    held = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(key)
+    for k in held:
+        spark.conf.unset(k)
 
 
 def moves_of(spark, tmp_path, batches, patience=600_000):
