@@ -57,21 +57,17 @@ def by_language(lang: pa.Array, text: pa.Array) -> Iterator[tuple[str, pa.Array]
         yield name, text.take(pa.array(np.flatnonzero(codes == k)))
 
 
-def _summed(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the keys, each once for about KEYS of them."""
+def _summed(keys: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys in order and how often each comes, for about KEYS of them at a time."""
     held: list[np.ndarray] = []
     for key in itertools.chain(keys, [None]):
         if key is not None:
             held.append(key)
         if held and (key is None or sum(map(len, held)) >= KEYS):
-            words, n = np.unique(np.concatenate(held), return_counts=True)
+            found = np.unique(np.concatenate(held), return_counts=True)
             held = []
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "word", "n"])
-
-
-def _counted(docs: DataFrame, run, least: int) -> DataFrame:
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("word").isNull() | (F.col("n") >= least))
+            if len(found[0]):
+                yield found
 
 
 def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -86,25 +82,49 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 total[lang] += len(words)
                 yield in_language(words, lang)
 
-        yield from _summed(keys())
+        for words, n in _summed(keys()):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "word", "n"])
 
-    return _counted(docs, run, least)
+    counted = docs.select("lang", "text").mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("word").isNull() | (F.col("n") >= least))
 
 
 def pair_counts(docs: DataFrame, bits: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(word, n): hashes of the pairs of neighbours that bits lets through and that occur so often."""
+    """(word): hashes of the pairs of neighbours that bits lets through and that occur so often.
+
+    There are many and each is rare, so they are shuffled in blocks: the keys of a range of hashes as 32 bits each with
+    their counts, which need no more than least to be told apart. 46 bits of a hash are enough for a bitmap.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    kind = np.uint8 if least < 256 else np.uint32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
             for lang, buf, off in read_texts(batches):
                 words, _, _, linked = neighbours(buf, off, lang, shared.value)
-                yield pair_keys(words, lang)[linked]
-
-        yield from _summed(keys())
-
-    return _counted(docs, run, least)
+                yield pair_keys(words, lang)[linked] >> U(18)
+
+        for key, n in _summed(keys()):
+            ends = np.append(np.flatnonzero(np.diff(key >> U(32))) + 1, len(key))
+            starts = np.append(0, ends[:-1])
+            low, few = (key & U(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, least).astype(kind)
+            blocks = [[part.tobytes() for part in np.split(x, ends[:-1])] for x in (low, few)]
+            yield pa.RecordBatch.from_arrays([pa.array((key[starts] >> U(32)).astype(np.int32)), *(pa.array(x, pa.binary()) for x in blocks)], ["part", "low", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(part: int, low: list[bytes], n: list[bytes]) -> np.ndarray:
+            keys, at = np.unique(np.frombuffer(b"".join(low), np.uint32), return_inverse=True)
+            many = np.bincount(at, np.frombuffer(b"".join(n), kind), len(keys)) >= least
+            return ((keys[many].astype(U) + (U(part) << U(32))) << U(18)).view(np.int64)
+
+        rows = ((r["part"], r["low"], r["n"]) for batch in batches for k in range(0, batch.num_rows, 1024) for r in batch.slice(k, 1024).to_pylist())
+        for part, held in itertools.groupby(rows, key=lambda r: r[0]):
+            _, low, n = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(frequent(part, low, n))], ["word"])
+
+    blocks = docs.select("lang", "text").mapInArrow(cut, "part int, low binary, n binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(total, "word long")
 
 
 def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
