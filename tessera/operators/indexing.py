@@ -84,13 +84,20 @@ def illegal_moves(states: DataFrame, moves: DataFrame, key: str, order: str, sta
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) within depth steps of the seeds along edges (src, dst): a frontier join with what is new only."""
-    seen = seeds.select("node", F.lit(0).alias("depth"))
-    frontier = seen
+    """(node, depth) within depth steps of the seeds along edges (src, dst).
+
+    Each step joins the frontier with the edges, takes the nodes that were not seen before and writes them: a step's plan
+    is as long as the last one's, a lost executor costs that step's tasks, and the search ends with an empty frontier.
+    """
+    from tessera.sources.storage import stored
+
+    frontier = seen = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
+        frontier = stored(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = stored(seen.unionByName(frontier), "seen")
     return seen
 
 

@@ -10,6 +10,7 @@ from tessera.operators import indexing as I
 from tessera.operators import metadata as M
 from tessera.operators import retrieval as R
 from tessera.operators import structure as S
+from tessera.operators.statistics import Statistics
 from tessera.plans import documents as D
 from tessera.plans.documents_sql import _LINES, _MDL, _NORMAL, _trim, _words
 from tessera.sources.storage import work_folder
@@ -149,6 +150,30 @@ def index_documents(spark, sf_dir):
     return plan.join(held, "point_id", "left").select("action", "document_id", "content_sha256", "dims", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
+def index_shared_chunks(spark, sf_dir):
+    """Evidence of an index whose documents use the same few chunk ids, after a second snapshot that names other ones."""
+    docs = D._docs(spark, sf_dir)
+    index = I.Index(spark, work_folder(spark, "index"), parts=8)
+    for rest in (0, 4):
+        named = F.when(F.col("doc_id") % 9 == rest, F.concat(F.lit("Rick Rubin read this. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+        I.index_documents(index, docs.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("c"), (F.col("doc_id") % 4).cast("string")).alias("chunk_id"), named.alias("content")))
+    return index.evidence.read().select("document_id", "chunk_id", "node_id").where("node_id = 'rick rubin'")
+
+
+def stream_statistics(spark, sf_dir):
+    """Weights of all texts after batches that add, change and take away texts, of which one is replayed, and what was
+    weighed before the last one is weighed anew."""
+    docs = D._docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.lit("t").alias("point_id"), F.coalesce("text", F.lit("")).alias("text"))
+    i = F.col("document_id")
+    before = lambda words: F.concat(F.lit(words), "text").alias("text")
+    batches = [(docs.where(i % 3 != 0).select("document_id", "point_id", before("old words ")), None), (docs.where(i % 2 == 0), None), (docs.where((i % 5 == 0) & (i % 7 != 0)).select("document_id", "point_id", before("new ")), docs.where(i % 7 == 0))]
+    folder = work_folder(spark, "statistics")
+    for number in (0, 1, 1, 2):
+        Statistics(spark, folder, 8).update(*batches[number], ("batches", number))
+    found = Statistics(spark, folder, 8).postings()
+    return found.groupBy("document_id").agg(F.count("*").alias("terms"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("total_weight"), F.count_distinct("stats_version").alias("versions"))
+
+
 def bound_encoder(spark, sf_dir):
     """Weights of incoming texts by the statistics of both corpora, and of queries by those of the persisted one."""
     docs = D._docs(spark, sf_dir)
@@ -157,7 +182,7 @@ def bound_encoder(spark, sf_dir):
     return both.groupBy("side", "id").agg(F.count("*").alias("terms"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("total_weight"), F.count_distinct("stats_version").alias("versions"))
 
 
-QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, index_progress, upsert_points, content_store, index_documents, bound_encoder)}
+QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, index_progress, upsert_points, content_store, index_documents, index_shared_chunks, stream_statistics, bound_encoder)}
 
 _PAGED = _MDL + f""", pp AS (SELECT document_id, ord, line, CASE WHEN ord % 10 = 9 THEN ord END AS mark, sum(CASE WHEN ord % 10 <> 9 AND ord % 4 = 3 THEN 1 ELSE 0 END) OVER o AS brk FROM md WINDOW o AS (PARTITION BY document_id ORDER BY ord)),
 pb AS (SELECT *, last_value(mark IGNORE NULLS) OVER o AS m, last_value(CASE WHEN mark IS NOT NULL THEN brk END IGNORE NULLS) OVER o AS k FROM pp WINDOW o AS (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -216,6 +241,10 @@ SELECT *, round(100.0::DOUBLE * (indexed + skipped) / total, 3) AS percent FROM
     "index_documents": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 3 <> 0 AS was, doc_id % 7 <> 0 AS is_ FROM documents)
 SELECT CASE WHEN was AND is_ AND doc_id % 5 = 0 THEN 'modified' WHEN was AND is_ THEN 'unchanged' WHEN is_ THEN 'new' ELSE 'deleted' END AS action, CASE WHEN is_ THEN doc_id END AS document_id, CASE WHEN is_ THEN sha256(t) END AS content_sha256, CASE WHEN is_ THEN 32 END AS dims,
  CASE WHEN is_ THEN CAST(len(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+'))) AS BIGINT) ELSE 0 END AS terms FROM d WHERE was OR is_""",
+    "index_shared_chunks": "SELECT doc_id AS document_id, 'c' || (doc_id % 4) AS chunk_id, 'rick rubin' AS node_id FROM documents WHERE doc_id % 9 = 4",
+    "stream_statistics": """WITH tok AS (SELECT doc_id AS id, regexp_extract_all(lower(CASE WHEN doc_id % 5 = 0 THEN 'new ' WHEN doc_id % 2 = 0 THEN '' ELSE 'old words ' END || coalesce(text, '')), '[a-z0-9]+') AS t FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 5 = 0 OR doc_id % 2 = 0 OR doc_id % 3 <> 0)),
+tf AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(t) AS length, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM tok WHERE len(t) > 0)
+SELECT id AS document_id, count(*) AS terms, round(sum(CAST(CAST(ln(1 + (total - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean)) AS FLOAT) AS DOUBLE)), 4) AS total_weight, 1 AS versions FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY 1""",
     "bound_encoder": f"""WITH tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents)
 SELECT 'document' AS side, id, terms, total_weight, 1 AS versions FROM {_bound('id % 3 <> 0 OR id % 4 = 0', 'id % 4 = 0')} UNION ALL SELECT 'query', id, terms, total_weight, 1 FROM {_bound('id % 3 <> 0', 'id % 50 = 0')}""",
 }

@@ -43,6 +43,13 @@ class Folder:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(name))) if self.fs.exists(self.at(name)) else []
 
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def write_new(self, name: str, text: str) -> None:
         """The file appears whole under its name, or an error says that there is one already."""
         held = f"_{uuid.uuid4().hex}"
@@ -83,8 +90,7 @@ class Table:
     def _open(self, version: int) -> None:
         self.version, self.content, self.folders, self.done = version, 0, {}, {}
         if version:
-            text = self.spark.read.text(f"{self.path}/manifests/v{version}.json", wholetext=True).first()[0]
-            held = json.loads(text)
+            held = json.loads(self.manifests.read(f"v{version}.json"))
             self.content, self.folders, self.done = held["content"], {int(k): v for k, v in held["parts"].items()}, held["done"]
 
     def before(self, content: int) -> Table:

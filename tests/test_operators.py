@@ -117,6 +117,10 @@ def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "node string")
     assert {tuple(r) for r in I.reachable(edges, seeds, 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    ring = spark.createDataFrame([(k, (k + 1) % 14) for k in range(14)] + [(k, 0) for k in range(14)], "src long, dst long")
+    found = I.reachable(ring, spark.createDataFrame([(0,), (0,)], "node long"), 10)
+    assert {tuple(r) for r in found.collect()} == {(k, k) for k in range(11)}
+    assert "Join" not in found._jdf.queryExecution().toString()  # the plan does not grow with depth
     ev = spark.createDataFrame([("n", 1, 1, 0.9), ("n", 1, 2, 0.8), ("m", 2, 5, 0.9)], "node_id string, document_id long, chunk_id long, score double")
     assert sorted(map(tuple, I.merge_evidence(ev, ev.withColumn("score", F.lit(0.5))).collect())) == sorted(map(tuple, ev.collect()))
     assert {r.node_id for r in I.node_view(I.forget_document(ev, spark.createDataFrame([(2,)], "document_id long"))).collect()} == {"n"}
