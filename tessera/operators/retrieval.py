@@ -5,6 +5,8 @@ Every ranked table is ordered by score, highest first, and then by id, before an
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,9 +108,6 @@ SLICE = 128
 
 def _block_products(k: int, places: int):
     """The k best texts of each query of a block of queries among a block of texts."""
-    import numpy as np
-    import pyarrow as pa
-
     def side(group: pa.Table, asks: bool):
         part = group.filter(pa.array(group.column("asks").to_numpy() == asks)).combine_chunks()
         lists = part.column("terms").combine_chunks() if part.num_rows else None
@@ -160,26 +159,8 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm).otherwise(0.0)
 
 
-def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float = 0.0, places: int = 6, query_rows: int = 4096, block_rows: int = 8192, tile: int = 256) -> DataFrame:
-    """(query_id, id, score, rank): exact nearest neighbours by cosine.
-
-    queries (query_id, query_vector) and points (id, vector) are cut into blocks of bounded size that meet once each, so
-    a task holds a block of queries and a block of points and neither side is broadcast; products are matrix products
-    on Arrow batches. Each task keeps the k best of its block, and one window ranks what the blocks give.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    dims = "query_id bigint, id bigint, score double"
-    q = queries.select(F.lit(True).alias("is_query"), F.col("query_id").alias("key"), F.col("query_vector").alias("v"))
-    p = points.select(F.lit(False).alias("is_query"), F.col("id").alias("key"), F.col("vector").alias("v"))
-    parts = {c: max(1, -(-df.count() // n)) for c, df, n in (("query_block", queries, query_rows), ("block", points, block_rows))}
-    own = lambda c: F.pmod(F.xxhash64("key"), F.lit(parts[c]))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts[c] - 1).cast("bigint")))
-    q = q.withColumn("query_block", own("query_block")).withColumn("block", every("block"))
-    p = p.withColumn("block", own("block")).withColumn("query_block", every("query_block"))
-    both = q.unionByName(p.select(q.columns))
-
+def _block_cosines(k: int, places: int, tile: int):
+    """The k best points of each query of a group (is_query, key, v) by cosine."""
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("is_query").to_numpy()
         key = group.column("key").to_numpy()
@@ -203,12 +184,115 @@ def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float
                     out.append(pa.table({"query_id": np.full(len(best), key[i]), "id": near[best], "score": row[best]}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    scores = both.groupBy("query_block", "block").applyInArrow(compare, dims)
+    return compare
+
+
+def _meet(queries: DataFrame, points: DataFrame, k: int, places: int, tile: int) -> DataFrame:
+    """(query_id, id, score): the k best of each query in each of the groups (query_block, block) where both are."""
+    both = queries.unionByName(points.select(queries.columns))
+    return both.groupBy("query_block", "block").applyInArrow(_block_cosines(k, places, tile), "query_id bigint, id bigint, score double")
+
+
+def dense_search(queries: DataFrame, points: DataFrame, k: int, min_score: float = 0.0, places: int = 6, query_rows: int = 4096, block_rows: int = 8192, tile: int = 256, pivots: int = 256) -> DataFrame:
+    """(query_id, id, score, rank): exact nearest neighbours by cosine.
+
+    queries (query_id, query_vector) and points (id, vector) are cut into blocks of bounded size, so a task holds a block
+    of queries and a block of points and neither side is broadcast; products are matrix products on Arrow batches. Each
+    task keeps the k best of its block, and one window ranks what the blocks give. Where all queries and points make one
+    block each, they meet at once; beyond that, queries meet the cells of `dense_cells` that can hold one of their best.
+    """
+    q = queries.select(F.lit(True).alias("is_query"), F.col("query_id").alias("key"), F.col("query_vector").alias("v"))
+    p = points.select(F.lit(False).alias("is_query"), F.col("id").alias("key"), F.col("vector").alias("v"))
+    if points.count() <= block_rows and queries.count() <= query_rows:
+        one = F.lit(0).cast("bigint")
+        scores = _meet(q.withColumns({"query_block": one, "block": one}), p.withColumns({"query_block": one, "block": one}), k, places, tile)
+    else:
+        scores, _ = dense_cells(q, p, k, min_score, places, query_rows, block_rows, tile, pivots)
     if min_score > 0:
         scores = scores.where(F.col("score") >= min_score)
     return top(scores, k)
 
 
+#: Cells that each query visits first, to have a score that others must reach.
+FIRST_CELLS = 4
+
+
+def dense_cells(q: DataFrame, p: DataFrame, k: int, min_score: float, places: int, query_rows: int, block_rows: int, tile: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, id, score), (query, cell) visits) of q and p (is_query, key, v).
+
+    Points belong to the cell of the nearest of some of their own vectors (pivots, those whose ids have the least hashes;
+    a bounded number, whatever is chosen the result is exact). Angles are a metric: no point of a cell is nearer to a
+    query than the query's angle to the pivot less the cell's largest, or its smallest less that angle. Queries meet the
+    first cells by that bound, keep the k-th best score there, and then meet only cells whose bound reaches it. A cell of
+    many points is cut into blocks. Vectors without direction or of another size than the pivots' have a cell of their
+    own, which every query meets; such queries meet all cells.
+    """
+    from tessera.sources.storage import stored
+
+    spark = q.sparkSession
+    sample = [r.v for r in p.where(F.size("v") > 0).orderBy(F.xxhash64("key")).select("v").limit(pivots).collect()]
+    width = max((len(v) for v in sample), key=lambda n: sum(len(v) == n for v in sample), default=0)
+    usable = [v for v in sample if len(v) == width and any(v)]
+    base = np.array(usable, np.float64).reshape(len(usable), width)
+    base /= np.sqrt((base * base).sum(1, keepdims=True))
+
+    def angles(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which vectors the cells are for, and their angles to all pivots."""
+        fits = np.array([x.is_valid and len(x) == width for x in v], bool) if len(base) else np.zeros(len(v), bool)
+        m = np.asarray(v.take(pa.array(np.flatnonzero(fits))).flatten(), np.float64).reshape(-1, max(width, 1))
+        norm = np.sqrt((m * m).sum(1))
+        fits[np.flatnonzero(fits)[norm == 0]] = False
+        m = m[norm > 0] / norm[norm > 0, None]
+        return fits, np.arccos(np.clip(m @ base.T, -1, 1)) if len(base) else np.zeros((0, 0))
+
+    @F.arrow_udf("cell int, angle double")
+    def placed(v: pa.Array) -> pa.Array:
+        fits, angle = angles(v)
+        cell, least = np.full(len(v), -1, np.int32), np.zeros(len(v))
+        if fits.any():
+            cell[fits], least[fits] = angle.argmin(1), angle.min(1)
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(least)], ["cell", "angle"])
+
+    p = stored(p.withColumn("c", placed("v")).select("is_query", "key", "v", "c.cell", "c.angle"), "cells")
+    figures = {r.cell: (r.n, r.low, r.high) for r in p.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}  # a row for each pivot
+    cells = sorted(c for c in figures if c >= 0)
+    low, high = (np.array([figures[c][j] for c in cells]) for j in (1, 2))
+    blocks = {c: max(1, -(-figures[c][0] // block_rows)) for c in figures}
+    other = [-1] if -1 in figures else []
+
+    @F.arrow_udf("array<struct<cell: int, bound: double>>")
+    def bounds(v: pa.Array) -> pa.Array:
+        fits, angle = angles(v)
+        out: list = [[{"cell": c, "bound": 1.0} for c in [*other, *cells]] for _ in range(len(v))]
+        for at, row in zip(np.flatnonzero(fits), angle, strict=True):
+            apart = np.maximum(0, np.maximum(row[cells] - high, low - row[cells]))
+            order = np.argsort(apart, kind="stable")
+            out[at] = [{"cell": c, "bound": 1.0} for c in other] + [{"cell": cells[x], "bound": float(np.cos(apart[x]))} for x in order]
+        return pa.array(out, pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64())])))
+
+    slack = 2.0 * 10.0**-places  # of rounding
+    n_queries = max(1, -(-q.count() // query_rows))
+    q = stored(q.withColumn("bounds", bounds("v")).withColumn("query_block", F.pmod(F.xxhash64("key"), F.lit(n_queries))), "queries")
+    block_of = spark.createDataFrame([(c, b, c * (1 << 32) + b) for c in figures for b in range(blocks[c])], "cell int, b bigint, block bigint")
+    parts = F.create_map(*[F.lit(x) for c in figures for x in (c, blocks[c])]) if figures else F.lit(None)
+    located = p.withColumn("b", F.pmod(F.xxhash64("key"), F.get(F.map_values(parts), F.array_position(F.map_keys(parts), F.col("cell")).cast("int") - 1))) if figures else p.withColumn("b", F.lit(0))
+    located = located.select("is_query", "key", "v", (F.col("cell").cast("bigint") * (1 << 32) + F.col("b")).alias("block"))
+
+    def visit(visits: DataFrame) -> DataFrame:
+        """The best of the visits (key, v, query_block, cell): points go to the blocks of queries that ask for theirs."""
+        asked = visits.join(F.broadcast(block_of), "cell").select(F.lit(True).alias("is_query"), "key", "v", "query_block", "block")  # a row for each block of points
+        wanted = asked.select("query_block", "block").distinct()
+        return _meet(asked, located.join(wanted, "block"), k, places, tile)
+
+    first = q.select("key", "v", "query_block", F.inline(F.slice("bounds", 1, FIRST_CELLS + len(other)))).select("key", "v", "query_block", "cell", "bound")
+    scores = stored(visit(first), "first-scores")
+    reached = top(scores, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k).select(F.col("query_id").alias("key"), "score")
+    later = q.join(reached, "key", "left").withColumn("least", F.greatest(F.coalesce("score", F.lit(-2.0)), F.lit(min_score if min_score > 0 else -2.0)))
+    later = later.select("key", "v", "query_block", F.inline(F.expr(f"filter(slice(bounds, {FIRST_CELLS + len(other) + 1}, size(bounds)), x -> x.bound >= least - {slack})"))).select("key", "v", "query_block", "cell", "bound")
+    visits = first.unionByName(later).select(F.col("key").alias("query_id"), "cell")
+    return scores.unionByName(visit(later)), visits
+
+
 def fuse(streams: list[tuple[DataFrame, float]], k: int, constant: int = 60, places: int = 9) -> DataFrame:
     """Weighted reciprocal rank fusion of ranked tables (query_id, id, rank); a weight of 0 counts as 1."""
     constant = constant if constant > 0 else 60

@@ -199,6 +199,27 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
+def test_dense_search_skips_cells_and_stays_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    rows = [(k, [float(x) for x in centres[k % 20] + 0.1 * rng.standard_normal(16)]) for k in range(2000)]
+    rows += [(3000 + k, rows[0][1]) for k in range(700)]  # one cell of many copies
+    rows += [(5000, [0.0] * 16), (5001, None), (5002, [1.0, 2.0]), (5003, [])]
+    points = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = points.where("id % 50 = 0 OR id >= 5000").selectExpr("id AS query_id", "vector AS query_vector")
+    for least in (0.0, 0.9):
+        whole = R.dense_search(queries, points, 5, least, block_rows=10_000).collect()
+        assert sorted(R.dense_search(queries, points, 5, least, block_rows=300, query_rows=40, pivots=40).collect()) == sorted(whole)
+    q = queries.selectExpr("true AS is_query", "query_id AS key", "query_vector AS v")
+    p = points.selectExpr("false AS is_query", "id AS key", "vector AS v")
+    _, visits = R.dense_cells(q, p, 5, 0.0, 6, 40, 300, 16, 40)
+    per_query = visits.where("query_id < 5000").groupBy("query_id").count().agg({"count": "avg"}).first()[0]
+    assert per_query < 15  # of 40 cells
+    assert R.dense_cells(q, p.where("false"), 5, 0.0, 6, 40, 300, 16, 40)[0].count() == 0
+
+
 def test_partitions_do_not_matter(spark):
     from tessera.plans import search
 
