@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -73,28 +77,73 @@ def filled_statistics(chunks: DataFrame, text_col: str) -> DataFrame:
 
 def block_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(document_id, block_ord, page): the first page at or after the one before that holds the block's text, or else its
-    first three, two, one quarters; white space counts as one blank. Only the pages of one document meet its blocks."""
+    first three, two, one quarters; white space counts as one blank. Only the pages of one document meet its blocks, through an index of their text."""
     flat = lambda c: X.bare(F.regexp_replace(c, r"\s+", " "))
     p = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", flat(F.col("markdown")).alias("text")))).alias("pages"))
     b = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("block_ord", flat(F.col("content")).alias("text")))).alias("blocks"))
     return b.join(p, "document_id").select("document_id", F.inline(_found_pages("blocks", "pages")))
 
 
+#: Characters of an indexed stretch of the pages, and their distance.
+GRAM, APART = 16, 8
+
+
+class PageText:
+    """A document's pages as one text, with the places of the stretches that begin at every eighth character.
+
+    A part of 24 characters or more holds one of them whole at one of its first eight places, wherever it stands, so the
+    places to look at are those of eight stretches; they are in order, and those before the cursor are skipped by
+    bisection. Shorter parts are searched for from the cursor on.
+    """
+
+    def __init__(self, pages: list[tuple[int, str]]):
+        self.numbers = [n for n, _ in pages]
+        self.text = "\n".join(t for _, t in pages)  # no page or block has a line break
+        self.starts = [0, *itertools.accumulate(len(t) + 1 for _, t in pages)][:-1]
+        self.places: dict[str, list[int]] = {}
+        for k in range(0, len(self.text) - GRAM + 1, APART):
+            self.places.setdefault(self.text[k : k + GRAM], []).append(k)
+
+    def find(self, part: str, start: int) -> int:
+        """The first place of part at or after start, or -1."""
+        if len(part) < GRAM + APART:
+            return self.text.find(part, start)
+        best = -1
+        for offset in range(APART):
+            held = self.places.get(part[offset : offset + GRAM], [])
+            for k in range(bisect_left(held, start + offset), len(held)):
+                at = held[k] - offset
+                if best >= 0 and at >= best:
+                    break
+                if self.text.startswith(part, at):
+                    best = at
+                    break
+        return best
+
+    def pages_of(self, blocks: list[str]) -> Iterator[int | None]:
+        """The page of each block in order: the first one from the block before's on that holds it, or else its first
+        three, two, one quarters."""
+        cursor = 0  # the place where the page of the block before begins
+        for text in blocks:
+            n, step = len(text), max(1, len(text) // 4)
+            parts = (x for x in (text, *(text[: max(0, n - k * step)] for k in (1, 2, 3))) if x)
+            at = next((x for x in (self.find(part, cursor) for part in parts) if x >= 0), -1)
+            if at < 0:
+                yield None
+            else:
+                k = bisect_right(self.starts, at) - 1
+                cursor = self.starts[bisect_left(self.numbers, self.numbers[k])]  # of pages with one number the first
+                yield self.numbers[k]
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("block_ord", T.IntegerType()), T.StructField("page", T.IntegerType())])))
 def _found_pages(blocks: pa.Array, pages: pa.Array) -> pa.Array:
-    """The page of each block of each document, in one pass with a cursor."""
+    """The page of each block of each document."""
     out = []
     for mine, there in zip(blocks.to_pylist(), pages.to_pylist(), strict=True):
-        at, found = 0, []
-        for block in mine:
-            text, n = block["text"], len(block["text"])
-            step = max(1, n // 4)
-            ahead = [p for p in there if p["page_number"] >= at]
-            parts = [x for x in (text, *(text[: n - k * step] for k in (1, 2, 3))) if x]
-            page = next((p["page_number"] for part in parts for p in ahead if part in p["text"]), None)
-            at = at if page is None else page
-            found.append({"block_ord": block["block_ord"], "page": page})
-        out.append(found)
+        text = PageText([(p["page_number"], p["text"] or "") for p in there])
+        found = text.pages_of([b["text"] or "" for b in mine])
+        out.append([{"block_ord": b["block_ord"], "page": page} for b, page in zip(mine, found, strict=True)])
     return pa.array(out, pa.list_(pa.struct([("block_ord", pa.int32()), ("page", pa.int32())])))
 
 
