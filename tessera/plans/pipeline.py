@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import enrichment as N
+from tessera.operators import fingerprints as P
 from tessera.operators import metadata as M
 from tessera.operators import models as O
 from tessera.operators import structure as S
@@ -14,7 +15,7 @@ from tessera.plans import documents as D
 from tessera.plans import search
 from tessera.plans.documents_sql import _KW, _LINES, _MD, _WINDOW, _trim, _words
 from tessera.plans.search import _BM25
-from tessera.sources.tables import table
+from tessera.sources.tables import plain_pages, table
 
 DIMS = 32
 
@@ -130,7 +131,24 @@ def fingerprint_check(spark, sf_dir):
     return now.join(then, "conv_id").where("fingerprint <> expected").select("conv_id")
 
 
-QUERIES = {f.__name__: f for f in (embed_mock, embedding_inputs, titles_and_authors, chunk_statistics, concept_attach, keyword_attach, bibliography_items, block_pages, diagnostics, error_kinds, rerank_budget, answer_engine, answer_stream, abstention_metrics, probe_sweep, fingerprint_check)}
+def corpus_tree(spark, sf_dir):
+    """Root, first level and leaves of the hash tree of all documents' texts, after every fifth text has changed."""
+    docs = D._docs(spark, sf_dir)
+    hashed = lambda text: docs.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("hash"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("!"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    touched = docs.where("doc_id % 5 = 0")
+    both = touched.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).unionByName(touched.select(F.sha2(changed, 256).alias("hash")))
+    return P.updated_tree(P.hash_tree(hashed(F.col("text")), 2), hashed(changed), both, 2)
+
+
+def plain_outline(spark, sf_dir):
+    """Markdown of texts without marks, by the shape of their lines, and its pages of equally many lines."""
+    texts = D._docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CHAPTER ONE\r\n1. first things\n\n  Plain line\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    pages = plain_pages(texts.select(F.col("doc_id").alias("document_id"), "text", (F.col("doc_id") % 4).cast("int").alias("page_count")))
+    return pages.select("document_id", "page_number", F.sha2(F.concat(F.lit("|"), F.replace("markdown", F.lit("\n"), F.lit("\n|"))), 256).alias("sha256"), F.regexp_count("markdown", F.lit("(?m)^## ")).alias("headings"))
+
+
+QUERIES = {f.__name__: f for f in (corpus_tree, plain_outline, embed_mock, embedding_inputs, titles_and_authors, chunk_statistics, concept_attach, keyword_attach, bibliography_items, block_pages, diagnostics, error_kinds, rerank_budget, answer_engine, answer_stream, abstention_metrics, probe_sweep, fingerprint_check)}
 
 _T = "coalesce(text, '')"
 _ANSWERS = _WINDOW + f""",
@@ -139,6 +157,16 @@ cx AS (SELECT query_id, lower(string_agg(block, '' ORDER BY ref)) AS context FRO
 an AS (SELECT query_id, CASE WHEN context IS NOT NULL AND length(term) > 3 AND contains(context, term) THEN 'On ' || query || ': see [Ref 1].' END AS answer FROM qs LEFT JOIN cx USING (query_id))"""
 _TITLE = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ')"
 ORACLE = {
+    "corpus_tree": """WITH h AS (SELECT sha256(CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END || coalesce(text, '')) AS hash FROM documents), c AS (SELECT hash, count(*) AS n FROM h GROUP BY 1),
+l2 AS (SELECT substr(hash, 1, 2) AS prefix, sha256(string_agg(hash || ':' || n, chr(10) ORDER BY hash)) AS digest FROM c GROUP BY 1),
+l1 AS (SELECT substr(prefix, 1, 1) AS up, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM l2 GROUP BY 1)
+SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT '', sha256(string_agg(up || ':' || digest, chr(10) ORDER BY up)) FROM l1""",
+    "plain_outline": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'CHAPTER ONE' || chr(13) || chr(10) || '1. first things' || chr(10) || chr(10) || '  Plain line' || chr(10) ELSE '' END || coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\r?\n'), lambda x: regexp_replace(regexp_replace(x, '^[ \t\x0B\f\r]+', ''), '[ \t\x0B\f\r]+$', '')), lambda x: x <> '') AS l FROM t),
+m AS (SELECT doc_id, string_split(array_to_string(list_transform(l, lambda x: CASE WHEN length(x) < 60 AND regexp_matches(x, '^(?:[0-9]+\.|[A-Z0-9][A-Z0-9 \t\x0B\f\r]{1,38}(?:[A-Z0-9](?:[^A-Za-z0-9_]|$)|[ \t\x0B\f\r][A-Za-z0-9_]))') THEN chr(10) || '## ' || x || chr(10) ELSE x END), chr(10) || chr(10)), chr(10)) AS ls, greatest(1, doc_id % 4) AS n FROM l),
+p AS (SELECT doc_id, ls, unnest(range(0, n)) AS k, CAST(ceil(len(ls) / n::DOUBLE) AS BIGINT) AS per FROM m),
+q AS (SELECT doc_id, k, ls[k * per + 1 : (k + 1) * per] AS part FROM p)
+SELECT doc_id AS document_id, CAST(k + 1 AS INTEGER) AS page_number, sha256(coalesce(nullif(array_to_string(list_transform(part, lambda x: '|' || x), chr(10)), ''), '|')) AS sha256, CAST(len(list_filter(part, lambda x: starts_with(x, '## '))) AS INTEGER) AS headings FROM q""",
     "embed_mock": f"""WITH h AS (SELECT conv_id, turn, sha256(text) AS d FROM conversations), r AS (SELECT conv_id, turn, list_transform(range({DIMS}), lambda i: sin(((('0x' || substr(d, CAST(((i * 4) % 28) * 2 + 1 AS BIGINT), 8))::BIGINT + i) % 4294967296)::DOUBLE)) AS v FROM h),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS m FROM r)
 SELECT conv_id, turn, round(CAST(CAST(CAST(v[1] AS FLOAT) / m AS FLOAT) AS DOUBLE), 4) + 0.0 AS v0, round(CAST(CAST(CAST(v[8] AS FLOAT) / m AS FLOAT) AS DOUBLE), 4) + 0.0 AS v7, round(CAST(CAST(CAST(v[32] AS FLOAT) / m AS FLOAT) AS DOUBLE), 4) + 0.0 AS v31 FROM n""",

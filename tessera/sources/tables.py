@@ -99,3 +99,25 @@ def pages_from_layout(raw: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("_pages", F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(F.array(F.struct(F.lit(1).alias("page_number"), F.col("markdown"), F.lit(None).cast("string").alias("text")))))
     exploded = parsed.select("document_id", F.posexplode("_pages").alias("_at", "p"))
     return exploded.select("document_id", F.coalesce("p.page_number", F.col("_at") + 1).alias("page_number"), F.coalesce("p.markdown", "p.text", F.lit("")).alias("markdown"))
+
+
+#: A line without marks that is a heading if it is short: a number with a point, or capitals and digits up to a word's end.
+PLAIN_HEADING = r"^(?:[0-9]+\.|[A-Z0-9][A-Z0-9 \t\x0B\f\r]{1,38}(?:[A-Z0-9](?:[^A-Za-z0-9_]|$)|[ \t\x0B\f\r][A-Za-z0-9_]))"
+HEADING_CHARS = 60
+
+
+def plain_markdown(text: Column) -> Column:
+    """Markdown of a text whose extractor found no structure: trimmed lines that are not blank, a blank line between them,
+    those that look like headings at level 2. Null is empty."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", ""))
+    marked = lambda x: F.when((F.length(x) < HEADING_CHARS) & x.rlike(PLAIN_HEADING), F.concat(F.lit("\n## "), x, F.lit("\n"))).otherwise(x)
+    return F.array_join(F.transform(F.filter(lines, lambda x: x != ""), marked), "\n\n")
+
+
+def plain_pages(texts: DataFrame) -> DataFrame:
+    """(document_id, page_number, markdown) of texts (document_id, text, page_count): the lines of `plain_markdown` in equal
+    shares, the last ones what is left; a page_count below 1 is 1."""
+    lines = texts.select("document_id", F.split(plain_markdown(F.col("text")), "\n").alias("lines"), F.greatest(F.coalesce("page_count", F.lit(1)), F.lit(1)).alias("n"))
+    share = F.ceil(F.size("lines") / F.col("n")).cast("int")
+    pages = lines.select("document_id", "lines", share.alias("share"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_number"))
+    return pages.select("document_id", "page_number", F.array_join(F.slice("lines", (F.col("page_number") - 1) * F.col("share") + 1, F.col("share")), "\n").alias("markdown"))
