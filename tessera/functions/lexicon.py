@@ -91,3 +91,14 @@ QUESTION_MOVES = [
 
 # Kinds of content that a filter may name.
 CONTENT_TYPES = ["paragraph", "table", "code", "list", "equation", "figure"]
+
+# Texts of warnings and of an empty context.
+EMPTY_HEADING = 'empty heading text encountered at page %d'
+LEVEL_SKIPPED = "heading level skipped: expected level %d before level %d for heading '%s'"
+AMBIGUOUS_PAGE = 'ambiguous page reference %d in JSON layout node'
+UNMAPPED_NODE = "unmapped custom layout node type: '%s' on page %d"
+OVERSIZED_CHUNK = 'oversized chunk encountered in section "%s": token estimate %d exceeds absolute max limit %d'
+PREAMBLE = 'preamble text detected before first heading node at page %d'
+BROKEN_TABLE = 'malformed HTML table block encountered'
+BROKEN_IMAGE = 'malformed HTML image tag encountered: %s'
+NO_CONTEXT = 'No source context available.'

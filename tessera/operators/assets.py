@@ -57,7 +57,7 @@ def _tables(p: Page):
         if "</table>" in m[0]:
             yield "table", "html", *m.span(), {"caption": p.caption_above(p.line_of(m.start())), "headers": [], "content": m[0]}
         else:
-            yield "warning", "table", *m.span(), {"content": "malformed HTML table block encountered"}
+            yield "warning", "table", *m.span(), {"content": L.BROKEN_TABLE}
 
 
 def _figures(p: Page):
@@ -69,7 +69,7 @@ def _figures(p: Page):
         yield "figure", "html", *m.span(), {"caption": alt[1] if alt else "", "uri": m[1]}
     for start, line in zip(p.starts, p.lines, strict=False):
         if "<img" in line.lower() and ">" not in line:
-            yield "warning", "figure", start, start + len(line), {"content": f"malformed HTML image tag encountered: {line.strip()}"}
+            yield "warning", "figure", start, start + len(line), {"content": L.BROKEN_IMAGE % line.strip()}
 
 
 def _code(p: Page):

@@ -118,19 +118,19 @@ def outline_warnings(nodes: DataFrame) -> DataFrame:
         parent = F.when(at.isNotNull() & (F.lit(j) < F.col("level")), F.lit(j)).otherwise(parent)
     heads = marked.withColumn("_parent", parent).where("level IS NOT NULL")
     name = F.when(F.col("heading") == "", "Untitled Section").otherwise(F.col("heading"))
-    empty = heads.where("heading = ''").select("document_id", "ord", F.format_string("empty heading text encountered at page %d", "page").alias("message"))
-    skipped = heads.where("level > _parent + 1").select("document_id", "ord", F.format_string("heading level skipped: expected level %d before level %d for heading '%s'", F.col("_parent") + 1, F.col("level"), name).alias("message"))
+    empty = heads.where("heading = ''").select("document_id", "ord", F.format_string(L.EMPTY_HEADING, "page").alias("message"))
+    skipped = heads.where("level > _parent + 1").select("document_id", "ord", F.format_string(L.LEVEL_SKIPPED, F.col("_parent") + 1, F.col("level"), name).alias("message"))
     first = nodes.groupBy("document_id").agg(F.min(F.when(F.col("level").isNull(), F.col("ord"))).alias("_text"), F.min(F.when(F.col("level").isNotNull(), F.struct("ord", "page"))).alias("_head"), F.max(F.struct("ord", "page")).alias("_end"))
     at = F.coalesce("_head", "_end")
-    preamble = first.where("_text IS NOT NULL AND (_head IS NULL OR _text < _head.ord)").select("document_id", at["ord"].alias("ord"), F.format_string("preamble text detected before first heading node at page %d", at["page"]).alias("message"))
+    preamble = first.where("_text IS NOT NULL AND (_head IS NULL OR _text < _head.ord)").select("document_id", at["ord"].alias("ord"), F.format_string(L.PREAMBLE, at["page"]).alias("message"))
     return empty.unionByName(skipped).unionByName(preamble)
 
 
 def layout_warnings(nodes: DataFrame) -> DataFrame:
     """outline_warnings of layout nodes without those of preambles, and pages below 1 and unknown types."""
     known = ["heading", "header", "paragraph", "text", "table", "code", "list"]
-    page = nodes.where("given_page < 1").select("document_id", "ord", F.format_string("ambiguous page reference %d in JSON layout node", "given_page").alias("message"))
-    kind = nodes.where(~F.col("type").isin(*known)).select("document_id", "ord", F.format_string("unmapped custom layout node type: '%s' on page %d", "type", "page").alias("message"))
+    page = nodes.where("given_page < 1").select("document_id", "ord", F.format_string(L.AMBIGUOUS_PAGE, "given_page").alias("message"))
+    kind = nodes.where(~F.col("type").isin(*known)).select("document_id", "ord", F.format_string(L.UNMAPPED_NODE, "type", "page").alias("message"))
     return outline_warnings(nodes).where("message NOT LIKE 'preamble%'").unionByName(page).unionByName(kind)
 
 
@@ -361,7 +361,7 @@ def chunks(parsed: DataFrame) -> DataFrame:
 
 def chunk_warnings(parsed: DataFrame) -> DataFrame:
     """(document_id, block_ord, message): a warning for each block over MOST_TOKENS."""
-    text = F.format_string('oversized chunk encountered in section "%s": token estimate %d exceeds absolute max limit %d', "section_path", "tokens", F.lit(MOST_TOKENS))
+    text = F.format_string(L.OVERSIZED_CHUNK, "section_path", "tokens", F.lit(MOST_TOKENS))
     return parsed.where(F.col("tokens") > MOST_TOKENS).select("document_id", "block_ord", text.alias("message"))
 
 
