@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import ascii_lower, table
 
-#: Identifiers of known licence sentences, as they read in public licence texts and notices.
+#: Identifiers of known licence sentences, as they read in public licence texts and notices. Sentences whose
+#: names agree up to a # share an identifier.
 SENTENCES = {
     "apache-line": "Licensed under the Apache License, Version 2.0",
     "apache-1": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
@@ -107,8 +108,26 @@ SENTENCES = {
     "reserved": "All rights reserved",
 }
 #: Licences that are also stated by a short machine-readable line.
-SPDX = ["Apache-2.0", "MIT", "MIT-0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "ISC", "0BSD", "Unlicense"]
+SPDX = ["Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MIT-0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Artistic-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "ISC", "0BSD", "Unlicense"]
 SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+#: Heads of licence files.
+HEADS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "EPL-2.0": "Eclipse Public License - v 2.0",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "CC0-1.0": "CC0 1.0 Universal",
+}
+#: Names that readme files give to licences, and what they say of them.
+NAMES = {"MIT": ["MIT"], "Apache-2.0": ["Apache", "Apache 2.0", "Apache-2.0"], "BSD-3-Clause": ["BSD 3-Clause"], "BSD-2-Clause": ["BSD 2-Clause"], "ISC": ["ISC"], "MPL-2.0": ["MPL 2.0"], "GPL-3.0": ["GPL-3.0", "GPLv3", "GNU GPLv3"], "GPL-2.0": ["GPL-2.0", "GPLv2"], "AGPL-3.0": ["AGPL-3.0", "AGPLv3"], "LGPL-3.0": ["LGPL-3.0", "LGPLv3"]}
+SAID = ["This project is licensed under the {}", "This project is licensed under the {} - see the LICENSE file for details", "This project is licensed under the {} - see the [LICENSE](LICENSE) file for details", "This project is licensed under the {} - see the [LICENSE.md](LICENSE.md) file for details"]
+SENTENCES |= {f"head-{x}": head for x, head in HEADS.items()}
+SENTENCES |= {f"said-{x}#{n}-{k}{tail}": said.format(name + tail) for x, names in NAMES.items() for n, name in enumerate(names) for k, said in enumerate(SAID) for tail in ("", " License")}
 #: Ordered rules, licence and the identifiers that must follow each other.
 RULES = [
     ("Apache-2.0", ["apache-asf-1", "apache-2", "apache-3", "apache-4"]),
@@ -183,6 +202,8 @@ RULES = [
     ("all-rights-reserved", ["reserved"]),
 ]
 RULES += [(x, [f"spdx-{x}"]) for x in SPDX]
+RULES += [(x, [f"head-{x}"]) for x in HEADS]
+RULES += [(x, [f"said-{x}"]) for x in NAMES]
 #: Regular expressions and what replaces each match, in order, on lower-case text: 1 is a hard break, 2 a soft one.
 CUTS = [
     (r"\r\n?", "\n"),
@@ -206,11 +227,24 @@ def normal_form(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+#: How a fragment with an SPDX expression begins, and its operators; `or later` is part of an identifier.
+EXPRESSION, OPERATORS, LATER = "spdx license identifier ", " (?:and|or|with) ", (" or later", " orlater")
+
+
 def fragments(text: str) -> list[str]:
-    """The plain version of the cut: normal forms of a text's fragments, with \\x01 before those behind a hard break."""
+    """The plain version of the cut: normal forms of a text's fragments, with \\x01 before those behind a hard break. An SPDX
+    expression is as many fragments as it has identifiers, each behind the words of the first."""
     for pattern, new in CUTS:
         text = re.sub(pattern, new, text)
-    return text.split("\x02") if text else []
+    out = []
+    for x in text.split("\x02") if text else []:
+        mark = "\x01" if x.startswith("\x01") else ""
+        if x.startswith(mark + EXPRESSION):
+            terms = re.split(OPERATORS, x[len(mark + EXPRESSION) :].replace(*LATER))
+            out += [(mark if not k else "") + EXPRESSION + t.replace(*LATER[::-1]) for k, t in enumerate(terms)]
+        else:
+            out.append(x)
+    return out
 
 
 def cover(sentences: list[str]) -> list[str]:
@@ -226,15 +260,20 @@ def cover(sentences: list[str]) -> list[str]:
 
 def lexicon_rows(known: dict[str, str]) -> list[tuple[str, str, int]]:
     """(head, sentence, number) of each known sentence; its inner stops make no break."""
-    forms = [normal_form(s) for s in known.values()]
-    return [(" ".join(s.split()[:HEAD]), s, k) for k, s in enumerate(forms)]
+    number = numbers(known)
+    return [(" ".join(s.split()[:HEAD]), s, number[name.split("#")[0]]) for name, s in ((name, normal_form(s)) for name, s in known.items())]
+
+
+def numbers(known: dict[str, str]) -> dict[str, int]:
+    """The number of each identifier."""
+    return {name: k for k, name in enumerate(dict.fromkeys(name.split("#")[0] for name in known))}
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """(doc_id, license, matches, first_fragment): a row per row of docs and licence that its sentences state."""
     spark, known, rules = docs.sparkSession, sentences or SENTENCES, rules or RULES
     assert len(known) < 10_000, "the lexicon is a small fixed table"
-    number = {name: k for k, name in enumerate(known)}
+    number = numbers(known)
     rows = lexicon_rows(known)
     lexicon = spark.createDataFrame(rows, "head string, sentence string, sid int")
     longest = max(len(s) for _, s, _ in rows)
@@ -244,7 +283,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = ascii_lower(F.col(text_col))
     for pattern, new in CUTS:
         text = F.regexp_replace(text, pattern, new)
-    texts = docs.where(some).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.split(text, "\x02").alias("parts"))
+    bare = lambda x: F.ltrim(x, F.lit("\x01"))
+    terms = lambda x: F.split(F.replace(F.substring(bare(x), F.lit(len(EXPRESSION) + 1), F.length(x)), F.lit(LATER[0]), F.lit(LATER[1])), OPERATORS)
+    term = lambda x, t, k: F.concat(F.when((k == 0) & F.startswith(x, F.lit("\x01")), F.lit("\x01")).otherwise(F.lit("")), F.lit(EXPRESSION), F.replace(t, F.lit(LATER[1]), F.lit(LATER[0])))
+    each = lambda x: F.when(F.startswith(bare(x), F.lit(EXPRESSION)), F.transform(terms(x), lambda t, k: term(x, t, k))).otherwise(F.array(x))
+    texts = docs.where(some).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.split(text, "\x02").alias("parts"), F.contains(low, F.lit("spdx")).alias("_spdx"))
+    texts = texts.withColumn("parts", F.when(F.col("_spdx"), F.flatten(F.transform("parts", each))).otherwise(F.col("parts")))
     # behind a fragment come those that a sentence may go on with, up to the next hard break
     ahead = lambda x, i: F.struct(i.alias("at"), F.substring_index(F.array_join(F.slice("parts", i + 2, F.lit(longest // 2)), "\x02"), "\x01", 1).alias("ahead"), F.ltrim(x, F.lit("\x01")).alias("x"))
     heads = F.array(*[F.lit(h) for h in sorted({h for h, _, _ in rows})])
@@ -282,7 +326,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    number = {name: k for k, name in enumerate(SENTENCES)}
+    number = numbers(SENTENCES)
     quote = lambda x: x.replace("'", "''")
     values = ", ".join(f"('{head}', '{sentence}', {sid})" for head, sentence, sid in lexicon_rows(SENTENCES))
     longest = max(len(s) for _, s, _ in lexicon_rows(SENTENCES))
@@ -298,7 +342,9 @@ def _oracle() -> str:
     totals = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS license, CAST({' + '.join(f'n_{k}' for k, (x, _) in enumerate(RULES) if x == name)} AS BIGINT) AS matches, first_fragment FROM {left}" for name in dict.fromkeys(x for x, _ in RULES))
     return f"""
 WITH lex(head, sentence, sid) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, string_split({text}, chr(2)) AS parts FROM documents WHERE text IS NOT NULL),
+d0 AS (SELECT row_number() OVER () AS rid, doc_id, string_split({text}, chr(2)) AS parts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT rid, doc_id, flatten(list_transform(parts, lambda x: CASE WHEN starts_with(ltrim(x, chr(1)), '{EXPRESSION}')
+    THEN list_transform(string_split_regex(replace(substr(ltrim(x, chr(1)), {len(EXPRESSION) + 1}), '{LATER[0]}', '{LATER[1]}'), '{OPERATORS}'), lambda t, k: CASE WHEN k = 1 AND starts_with(x, chr(1)) THEN chr(1) ELSE '' END || '{EXPRESSION}' || replace(t, '{LATER[1]}', '{LATER[0]}')) ELSE [x] END)) AS parts FROM d0),
 p AS (SELECT rid, doc_id, unnest(range(len(parts))) AS pos, parts FROM d),
 q AS (SELECT rid, doc_id, pos, left(ltrim(parts[pos + 1], chr(1)) || CASE WHEN len(parts) > pos + 1 THEN chr(2) || string_split(array_to_string(parts[pos + 2 : pos + {1 + longest // 2}], chr(2)), chr(1))[1] ELSE '' END, {longest + 1}) AS line0 FROM p),
 l AS (SELECT rid, doc_id, pos, rtrim(line0, chr(2)) AS line, replace(rtrim(line0, chr(2)), chr(2), ' ') AS flat FROM q),

@@ -16,8 +16,8 @@ BSD = S["bsd-1"] + "\n\n1. " + S["bsd-2"] + ".\n2. " + S["bsd-3"] + ".\n"
 
 def plain(text):
     """The definition, fragment by fragment."""
-    known = {s: k for k, (_, s, _) in enumerate(M.lexicon_rows(S))}
-    names = list(S)
+    known = {s: k for _, s, k in M.lexicon_rows(S)}
+    names = list(M.numbers(S))
     parts = M.fragments("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     seq, at, after = [], 0, None
     for at in range(len(parts)):
@@ -55,6 +55,9 @@ TEXTS = [
     wrapped(BSD, 70), wrapped(BSD + "3. " + S["bsd-4"] + ".\n\n" + S["bsd-5"] + ".", 70, "// "), wrapped(BSD + S["bsd-5"] + ".", 70), wrapped(S["mpl-1"] + ". " + S["mpl-2"], 60, "-- "),
     "// SPDX-License-Identifier: GPL-2.0-or-later\ncode();", "Licensed under the Apache License,\n\nVersion 2.0", wrapped(S["lgpl21-later"] + ".\n\n" + S["lgpl-2"] + ". " + S["lgpl-3"] + ".", 72, "    "), "Licensed under the Apache License, Version 2.0\nand more of it",
     "one\ntwo licensed\nunder the MIT License\nthree", "Licensed\nunder\nthe\nMIT\nLicense", wrapped(S["cc0-1"] + ". " + S["cc0-2"] + ".", 40),
+    "# SPDX-License-Identifier: Apache-2.0 OR MIT\ncode", "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND (MIT OR ISC OR Zlib)", "spdx-license-identifier: mit or later",
+    "This project is licensed under the MIT License - see the LICENSE file for details", "Text. This project is licensed under the Apache 2.0 license - see the\n[LICENSE.md](LICENSE.md) file for details.", "This project is licensed under the GPLv3.",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n",
 ]
 
 
@@ -103,3 +106,9 @@ def test_its_sql(make_docs):
     assert sorted(got, key=order) == sorted(want, key=order) and len(got) > 60
 
 
+
+
+def test_the_forms_that_most_repositories_carry(spark, make_docs):
+    said = {"# SPDX-License-Identifier: Apache-2.0 OR MIT": {"Apache-2.0", "MIT"}, "This project is licensed under the MIT License - see the LICENSE file for details": {"MIT"}, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": {"GPL-3.0"}, "Apache License\n   Version 2.0, January 2004\n": {"Apache-2.0"}, "SPDX-License-Identifier: MIT AND (ISC OR GPL-3.0-or-later)": {"MIT", "ISC", "GPL-3.0-or-later"}}
+    got = M.license_scan(make_docs(list(enumerate(said)))).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(k, x) for k, v in enumerate(said.values()) for x in v}
