@@ -1,14 +1,15 @@
 """Phrase collocations from a weighted de Bruijn graph of the longest grams.
 
 Nodes are runs of three words, an edge is a run of four, from its first three words to its last three. Only edges are
-counted in the texts, and with them what no edge starts from: at the end of each piece its last three, two and one
-words. All shorter counts follow from the flow: a node's count is the sum of the edges that leave it plus the pieces
-that end in it, a pair's that of the nodes that it begins plus its own piece ends, and a word's likewise.
+counted in the texts, and with them what no edge starts from, as at the end of each piece its last three, two and one
+words. All shorter counts follow from the flow: a node's count is the sum of the edges that leave it plus the ends in it,
+a pair's that of the nodes that it begins plus its own ends, and a word's likewise.
 
 1. Words are counted by hash and language. Those of at least `least` occurrences set bits of a bitmap of fixed size; a
-   word whose bit is not set is in no candidate, so pieces are cut there. The pairs of neighbours that are left are counted
-   in the same way, and pieces are cut between words that are no frequent pair. False positives cost rows and not results.
-2. The texts' pieces become edges and ends; equal ones of a slice are summed before they are shuffled.
+   word whose bit is not set is in no candidate. Of the pairs of neighbours that are left those are counted, and of the
+   runs of three whose pairs are left those, each with a bitmap. False positives cost rows and not results.
+2. Each word gives the longest run of up to four words from it on that the bitmaps let through: an edge, or an end. Equal
+   ones of a slice are summed before they are shuffled.
 3. A node that one edge enters and one edge leaves, each as often as the node itself occurs, is unary. Unary paths are
    compacted by pointer doubling into words and one weight, and the counts of their inner nodes are read from them. Such
    a node is no candidate: the edge through it is a longer one with the same count.
@@ -90,20 +91,20 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return counted.where(F.col("word").isNull() | (F.col("n") >= least))
 
 
-def pair_counts(docs: DataFrame, bits: np.ndarray, least: int = LEAST) -> DataFrame:
-    """(word): hashes of the pairs of neighbours that bits lets through and that occur so often.
+def gram_counts(docs: DataFrame, maps: list[np.ndarray], least: int = LEAST) -> DataFrame:
+    """(word): hashes of the runs of one word more than maps has bitmaps, that these let through and that occur so often.
 
     There are many and each is rare, so they are shuffled in blocks: the keys of a range of hashes as 32 bits each with
     their counts, which need no more than least to be told apart. 46 bits of a hash are enough for a bitmap.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(maps)  # of fixed size
     kind = np.uint8 if least < 256 else np.uint32
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
             for lang, buf, off in read_texts(batches):
-                words, _, _, linked = neighbours(buf, off, lang, shared.value)
-                yield pair_keys(words, lang)[linked] >> U(18)
+                words, _, allowed = allowed_runs(buf, off, lang, shared.value, len(shared.value) + 1)
+                yield run_keys(words, lang, len(allowed))[allowed[-1]] >> U(18)
 
         for key, n in _summed(keys()):
             ends = np.append(np.flatnonzero(np.diff(key >> U(32))) + 1, len(key))
@@ -135,25 +136,34 @@ def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndar
                 yield lang, buf, off
 
 
-def pair_keys(words: np.ndarray, lang: str) -> np.ndarray:
-    """For each word, the hash of it and the one before."""
-    return in_language(np.concatenate([words[:1], words[:-1] * STEP + words[1:]]), lang)
+def in_language(words: np.ndarray, lang: str) -> np.ndarray:
+    """Hashes of words in a language; languages that share one only let more words through the bitmap."""
+    return mix(words ^ U(int.from_bytes(lang.encode()[:8].ljust(8), "big")))
 
 
-def neighbours(buf: np.ndarray, off: np.ndarray, lang: str, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, starts, whether bits lets the word through, whether it and the one before do and are in one piece)."""
-    words, rows, start = word_hashes(buf, off, SEPARATORS)
-    keep = marked(bits, in_language(words, lang))
-    linked = np.zeros(len(words), bool)
-    if len(words):
-        piece = np.cumsum(CUTS[buf])[start]
-        linked[1:] = (rows[1:] == rows[:-1]) & (piece[1:] == piece[:-1]) & keep[1:] & keep[:-1]
-    return words, start, keep, linked
+def run_keys(words: np.ndarray, lang: str, size: int) -> np.ndarray:
+    """The hash of the run of size words from each word on; near the end it means nothing."""
+    key = words
+    for k in range(1, size):
+        key = key * STEP + np.append(words[k:], np.zeros(min(k, len(words)), U))
+    return in_language(key, lang)
 
 
-def in_language(words: np.ndarray, lang: str) -> np.ndarray:
-    """Hashes of words in a language; languages that share one only let more words through the bitmap."""
-    return mix(words ^ U(int.from_bytes(lang.encode()[:8].ljust(8), "big")))
+def allowed_runs(buf: np.ndarray, off: np.ndarray, lang: str, maps: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(words, starts, for each size up to most: at which words such a run begins inside a piece, of which the bitmaps, one
+    for each size from 1 on, let every part through)."""
+    words, rows, start = word_hashes(buf, off, SEPARATORS)
+    piece = np.cumsum(CUTS[buf])[start] if len(words) else start
+    together = np.append((rows[1:] == rows[:-1]) & (piece[1:] == piece[:-1]), np.zeros(min(1, len(words)), bool))
+    allowed = []
+    for size in range(1, most + 1):
+        now = np.ones(len(words), bool) if size == 1 else allowed[-1] & np.append(allowed[-1][1:], np.zeros(min(1, len(words)), bool))
+        if size == 2:
+            now &= together
+        if size <= len(maps):
+            now &= marked(maps[size - 1], run_keys(words, lang, size))
+        allowed.append(now)
+    return words, start, allowed
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,34 +175,26 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     return data[at], off
 
 
-def grams_of(buf: np.ndarray, off: np.ndarray, lang: str, bits: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(size, phrases, occurrences): edges of LONGEST words and shorter piece ends of texts, cut where the bitmaps say."""
-    words, start, keep, linked = neighbours(buf, off, lang, bits)
-    if not keep.any():
+def grams_of(buf: np.ndarray, off: np.ndarray, lang: str, maps: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(size, phrases, occurrences): from each word that the bitmaps let through, the longest run of up to LONGEST words
+    that they let through: an edge, or the end of what can be in a candidate."""
+    words, start, allowed = allowed_runs(buf, off, lang, maps, LONGEST)
+    held = np.flatnonzero(allowed[0])
+    if not len(held):
         return
-    linked &= marked(pairs, pair_keys(words, lang))
     low = LOWER[buf]
     after = np.append(start[1:], len(buf))
     outside = np.concatenate([[0], np.cumsum(SEPARATORS[low], dtype=np.int64)])
     size = after - start - (outside[after] - outside[start])  # a word ends at the first separator or with its text
-    held = np.flatnonzero(keep)
-    words, linked = words[held], linked[held]
+    words, allowed = words[held], [x[held] for x in allowed]
     text, at = _gather(np.append(low, np.uint8(32)), start[held], size[held] + 1)
     text[at[1:] - 1] = 32  # single spaces, whatever stood there
-    group = np.cumsum(~linked)
-    last = np.append(group[1:] != group[:-1], True)
-    key = np.zeros(len(words), U)
     for k in range(1, LONGEST + 1):
-        full = len(words) - k + 1
-        if full <= 0:
-            return
-        key = key[:full] * STEP + words[k - 1 :]
-        same = group[:full] == group[k - 1 :]
-        at_end = same if k == LONGEST else same & last[k - 1 :]
-        first = np.flatnonzero(at_end)
+        first = np.flatnonzero(allowed[k - 1] & ~allowed[k] if k < LONGEST else allowed[k - 1])
         if not len(first):
             continue
-        _, which, inverse, count = np.unique(mix(key[first]), return_index=True, return_inverse=True, return_counts=True)
+        key = run_keys(words, lang, k)
+        _, which, inverse, count = np.unique(key[first], return_index=True, return_inverse=True, return_counts=True)
         model = first[which]
         wrong = np.zeros(len(first), bool)  # another gram with the same hash is a row of its own
         for j in range(k):
@@ -207,13 +209,13 @@ def grams_of(buf: np.ndarray, off: np.ndarray, lang: str, bits: np.ndarray, pair
             yield k, pa.StringArray.from_buffers(len(cut), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)), count[cut]
 
 
-def edges_and_ends(docs: DataFrame, bits: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, size, gram, n): edges (size LONGEST) and piece ends of fewer words, summed."""
-    shared = docs.sparkSession.sparkContext.broadcast((bits, pairs))  # of fixed size
+def edges_and_ends(docs: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """(lang, size, gram, n): edges (size LONGEST) and ends of fewer words, summed."""
+    shared = docs.sparkSession.sparkContext.broadcast(maps)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, buf, off in read_texts(batches):
-            for size, grams, n in grams_of(buf, off, lang, *shared.value):
+            for size, grams, n in grams_of(buf, off, lang, shared.value):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), grams, pa.array(n.astype(np.int64))], ["lang", "size", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
@@ -269,9 +271,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = materialise(word_counts(docs, least), "word-counts")
     totals = words.where("word IS NULL").select("lang", F.col("n").alias("total"))
-    bits = bitmap(words.where("word IS NOT NULL"), "word")
-    pairs = bitmap(pair_counts(docs, bits, least), "word")
-    grams = materialise(edges_and_ends(docs, bits, pairs), "edges")
+    maps = [bitmap(words.where("word IS NOT NULL"), "word")]
+    while len(maps) < LONGEST - 1:
+        maps.append(bitmap(gram_counts(docs, maps, least), "word"))
+    grams = materialise(edges_and_ends(docs, maps), "edges")
     edges = materialise(grams.where((F.col("size") == LONGEST) & (F.col("n") >= least)).select("lang", "gram", "n"), "frequent-edges")
     short = [flow(grams, k, least).withColumn("size", F.lit(k)) for k in range(1, LONGEST)]
     nodes = materialise(short[0].unionByName(short[1]).unionByName(short[2]), "nodes")
