@@ -102,3 +102,4 @@ PREAMBLE = 'preamble text detected before first heading node at page %d'
 BROKEN_TABLE = 'malformed HTML table block encountered'
 BROKEN_IMAGE = 'malformed HTML image tag encountered: %s'
 NO_CONTEXT = 'No source context available.'
+PAGE_UNKNOWN = 'semantic page resolution unavailable for heading "%s"'

@@ -153,6 +153,15 @@ def resolve_pages(nodes: DataFrame, pages: DataFrame, chunks: DataFrame) -> Data
     return joined.withColumn("page", F.coalesce("_a", "_b", "_c")).drop("_key", "_a", "_b", "_c")
 
 
+def page_warnings(resolved: DataFrame) -> DataFrame:
+    """(document_id, node, message) of nodes (document_id, node, heading, is_root, given, page) at the root whose page was
+    not found and whose own pages say no more than that they begin at the first."""
+    vague = (F.coalesce(F.size("given"), F.lit(0)) <= 0) | ((F.size("given") == 1) & (F.get("given", F.lit(0)) == 1))
+    quoted = F.replace(F.replace("heading", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    lost = resolved.where(F.col("is_root") & F.col("page").isNull() & vague)
+    return lost.select("document_id", "node", F.format_string(L.PAGE_UNKNOWN, quoted).alias("message"))
+
+
 def section_of_lines(rows: DataFrame) -> DataFrame:
     """Each line with the heading in force at it: the latest one at or before it, or "Document Overview"."""
     marked = rows.withColumn("_h", F.when(F.col("line").rlike(HEADING), X.bare(F.regexp_extract("line", HEADING, 2))))

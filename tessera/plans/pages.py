@@ -62,7 +62,7 @@ def layout_pages(spark, sf_dir):
     return pages_from_layout(_layouts(spark, sf_dir))
 
 
-def section_pages(spark, sf_dir):
+def _resolved(spark, sf_dir):
     """Headings found again on pages (turns): as a heading line, by a chunk's path, in the text, or not at all."""
     t, n = D._turns(spark, sf_dir), F.col("turn")
     three = F.array_join(F.slice(X.words(F.col("text")), 1, 3), " ")
@@ -71,7 +71,19 @@ def section_pages(spark, sf_dir):
     pages = t.select(doc, (n + 1).cast("int").alias("page_number"), F.when(n % 4 == 1, F.concat(F.lit("# "), three, F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("markdown"))
     nodes = t.select(doc, n.alias("node"), F.when(n % 4 < 2, three).when(n % 4 == 2, chapter).otherwise("Nowhere zz").alias("heading"))
     chunks = t.select(doc, n.alias("chunk_order"), chapter.alias("section_path"), F.array((n + 10).cast("int")).alias("pages"))
-    return S.resolve_pages(nodes, pages, chunks).select("document_id", "node", "page")
+    return S.resolve_pages(nodes, pages, chunks)
+
+
+def section_pages(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("document_id", "node", "page")
+
+
+def section_page_warnings(spark, sf_dir):
+    """Sections at the root whose pages were not found, where they have no pages of their own or the first alone."""
+    n = F.col("node")
+    given = F.when(n % 5 == 0, F.array(F.lit(1))).when(n % 5 == 1, F.array(F.lit(3))).when(n % 5 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    quoted = F.when(n % 7 == 3, F.concat(F.lit('a "b" '), "heading")).otherwise(F.col("heading"))
+    return S.page_warnings(_resolved(spark, sf_dir).withColumns({"given": given, "heading": quoted, "is_root": n % 3 < 2}))
 
 
 def metadata_map(spark, sf_dir):
@@ -182,7 +194,7 @@ def bound_encoder(spark, sf_dir):
     return both.groupBy("side", "id").agg(F.count("*").alias("terms"), F.round(F.sum(F.col("weight").cast("double")), 4).alias("total_weight"), F.count_distinct("stats_version").alias("versions"))
 
 
-QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, index_progress, upsert_points, content_store, index_documents, index_shared_chunks, stream_statistics, bound_encoder)}
+QUERIES = {f.__name__: f for f in (outline_nodes, outline_warnings, layout_outline, layout_warnings, layout_pages, section_pages, section_page_warnings, metadata_map, metadata_consistency, pdf_bytes, gold_violations, result_roundtrip, index_progress, upsert_points, content_store, index_documents, index_shared_chunks, stream_statistics, bound_encoder)}
 
 _PAGED = _MDL + f""", pp AS (SELECT document_id, ord, line, CASE WHEN ord % 10 = 9 THEN ord END AS mark, sum(CASE WHEN ord % 10 <> 9 AND ord % 4 = 3 THEN 1 ELSE 0 END) OVER o AS brk FROM md WINDOW o AS (PARTITION BY document_id ORDER BY ord)),
 pb AS (SELECT *, last_value(mark IGNORE NULLS) OVER o AS m, last_value(CASE WHEN mark IS NOT NULL THEN brk END IGNORE NULLS) OVER o AS k FROM pp WINDOW o AS (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -225,6 +237,12 @@ hl AS (SELECT conv_id, page, unnest(string_split(md, chr(10))) AS line FROM pg),
 hb AS (SELECT conv_id, {_NORM("'Chapter ' || turn")} AS key, min(turn + 10) AS b FROM t GROUP BY 1, 2), po AS (SELECT conv_id, page, x FROM (SELECT conv_id, page, md, {_NORM('md')} AS x FROM pg) WHERE NOT contains(x, 'contents') AND NOT contains(md, '.....') AND NOT contains(md, '. . . .')),
 hc AS (SELECT nk.conv_id, nk.turn, min(page) AS c FROM nk JOIN po ON po.conv_id = nk.conv_id AND contains(x, key) WHERE key <> '' GROUP BY 1, 2)
 SELECT nk.conv_id AS document_id, nk.turn AS node, CAST(coalesce(a, b, c) AS INTEGER) AS page FROM nk LEFT JOIN ha ON ha.conv_id = nk.conv_id AND ha.key = nk.key LEFT JOIN hb ON hb.conv_id = nk.conv_id AND hb.key = nk.key LEFT JOIN hc ON hc.conv_id = nk.conv_id AND hc.turn = nk.turn""",
+    "section_page_warnings": f"""SELECT document_id, node, 'semantic page resolution unavailable for heading "' || CASE WHEN node % 7 = 3 THEN 'a \\"b\\" ' ELSE '' END || h || '"' AS message FROM (WITH t AS (SELECT conv_id, turn, text, {_THREE} AS three FROM conversations), pg AS (SELECT conv_id, turn + 1 AS page, CASE WHEN turn % 4 = 1 THEN '# ' || three || chr(10) || text ELSE text END AS md FROM t),
+nd AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 2 THEN three WHEN turn % 4 = 2 THEN 'Chapter ' || turn ELSE 'Nowhere zz' END AS h FROM t), nk AS (SELECT *, {_NORM('h')} AS key FROM nd),
+hl AS (SELECT conv_id, page, unnest(string_split(md, chr(10))) AS line FROM pg), ha AS (SELECT conv_id, {_NORM("regexp_replace(" + _trim('line') + ", '^#+', '')")} AS key, min(page) AS a FROM hl WHERE starts_with(ltrim(line), '#') GROUP BY 1, 2),
+hb AS (SELECT conv_id, {_NORM("'Chapter ' || turn")} AS key, min(turn + 10) AS b FROM t GROUP BY 1, 2), po AS (SELECT conv_id, page, x FROM (SELECT conv_id, page, md, {_NORM('md')} AS x FROM pg) WHERE NOT contains(x, 'contents') AND NOT contains(md, '.....') AND NOT contains(md, '. . . .')),
+hc AS (SELECT nk.conv_id, nk.turn, min(page) AS c FROM nk JOIN po ON po.conv_id = nk.conv_id AND contains(x, key) WHERE key <> '' GROUP BY 1, 2)
+SELECT nk.conv_id AS document_id, nk.turn AS node, CAST(coalesce(a, b, c) AS INTEGER) AS page, nk.h FROM nk LEFT JOIN ha ON ha.conv_id = nk.conv_id AND ha.key = nk.key LEFT JOIN hb ON hb.conv_id = nk.conv_id AND hb.key = nk.key LEFT JOIN hc ON hc.conv_id = nk.conv_id AND hc.turn = nk.turn) WHERE page IS NULL AND node % 3 < 2 AND node % 5 NOT IN (1, 2)""",
     "metadata_map": """SELECT doc_id AS document_id, CASE WHEN doc_id % 3 <> 0 THEN 'T' || doc_id WHEN doc_id % 6 = 0 THEN coalesce(nullif(source, ''), 'Untitled Document') ELSE 'Untitled Document' END AS title, 'A' || doc_id AS author, 'native' AS pdf_type,
  CAST(CASE WHEN doc_id % 4 > 0 THEN doc_id % 4 ELSE greatest(2, doc_id % 5) END AS INTEGER) AS page_count, 'a,f' || doc_id AS fonts, false AS encrypted, doc_id % 2 = 1 AS searchable FROM documents""",
     "metadata_consistency": """WITH t AS (SELECT conv_id, count(*) AS n, max(CASE WHEN turn % 2 = 0 THEN turn + 2 END) AS last, max(CASE WHEN text <> '' THEN 1 ELSE 0 END) AS has_text FROM conversations GROUP BY 1)
