@@ -118,6 +118,6 @@ def test_query_on_odd_rows(spark, tmp_path):
     assert found[6, "u6"].text.count("\n") > 2_000 * len(texts(ARTICLE)) - 10
     assert all(r.n_chars == len(r.text) for r in found.values())
     blocks = m.page_blocks(spark.read.parquet(f"{tmp_path}/pages.parquet")).where("page_id = 5").collect()
-    assert [(b.block, b.tags, b.text) for b in blocks] == [(0, "nav/a", "Home")]
+    assert [(b.block, b.tags, b.text) for b in blocks] == [(0, "nav", "Home")]
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert m.op12_html_extract(spark, f"{tmp_path}/none").count() == 0
