@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import lexicon as L
 from tessera.functions import text as X
+from tessera.sources.storage import stored
 
 ORGANISATION = r"\b([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*\s+(?:" + "|".join(L.ORGANISATION_SUFFIXES) + r"))\b"
 
@@ -138,11 +139,15 @@ def named_in(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> D
     parts = [own.where(size == n).select("name", "_low", A.byte_grams((n,))(F.col("_low")).alias("_g")) for n in sizes]
     cut = reduce(DataFrame.unionByName, parts, own.where("false").select("name", "_low", F.array().cast("array<bigint>").alias("_g")))
     pieces = cut.select("name", "_low", F.size("_g").alias("_all"), F.explode("_g").alias("_piece"))
-    there = texts.select("chunk_id", F.explode(A.byte_grams(sizes, A.bitmap(pieces, "_piece"))(F.col("_text"))).alias("_piece"))
-    common = there.groupBy("_piece").agg(F.count("*").alias("_n"))
-    rarest = pieces.join(common, "_piece").groupBy("name", "_low", "_all").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"))
-    rarest = rarest.where("_have = _all").select("name", "_low", "_piece")  # a name with a piece that no text has is in none
-    met = there.join(rarest, "_piece").select("chunk_id", "name", "_low").join(texts, "chunk_id")
+    # names and texts grow, so that neither side of a join goes through the driver
+    join = lambda x, y, on: x.hint("merge").join(y.hint("merge"), on)
+    common = texts.select(F.explode(A.byte_grams(sizes, A.bitmap(pieces, "_piece"))(F.col("_text"))).alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = join(pieces, common, "_piece").groupBy("name", "_low", "_all").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"))
+    # a name with a piece that no text has is in none
+    rarest = stored(rarest.where("_have = _all").select("name", "_low", "_piece"), "rarest")
+    # of the texts' pieces only those are shuffled that are some name's rarest
+    there = texts.select("chunk_id", F.explode(A.byte_grams(sizes, A.bitmap(rarest, "_piece"))(F.col("_text"))).alias("_piece"))
+    met = join(join(there, rarest, "_piece").select("chunk_id", "name", "_low"), texts, "chunk_id")
     return met.where(F.col("_text").contains(F.col("_low"))).select("chunk_id", "name").distinct()
 
 
