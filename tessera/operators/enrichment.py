@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -128,34 +127,26 @@ def relations(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 def named_in(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(chunk_id, name): the names (name) that a lower-cased text holds anywhere.
 
-    A name meets the texts that hold its rarest piece of four bytes (the whole name, if it is shorter) by an equi-join; what
-    meets is then looked for in the text. A bitmap of fixed size keeps pieces that no name has out of the join, so neither
-    names nor texts are broadcast.
+    A text gives those of its own strings that have a name's size and pass a bitmap of the names' hashes, and these meet the
+    names by an equi-join, which is exact. Texts stay where they lie: what is shuffled follows what is found, and neither
+    side is broadcast but for the bitmap of fixed size and the names' sizes.
     """
-    own = names.where(F.length("name") > 0).select("name", F.lower("name").alias("_low")).distinct()
-    size = F.least(F.octet_length("_low"), F.lit(4))
-    sizes = tuple(sorted(r[0] for r in own.select(size.alias("n")).distinct().collect()))  # four numbers at most
-    texts = docs.select(F.col(id_col).alias("chunk_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("_text"))
-    parts = [own.where(size == n).select("name", "_low", A.byte_grams((n,))(F.col("_low")).alias("_g")) for n in sizes]
-    cut = reduce(DataFrame.unionByName, parts, own.where("false").select("name", "_low", F.array().cast("array<bigint>").alias("_g")))
-    pieces = cut.select("name", "_low", F.size("_g").alias("_all"), F.explode("_g").alias("_piece"))
-    # names and texts grow, so that neither side of a join goes through the driver
-    join = lambda x, y, on: x.hint("merge").join(y.hint("merge"), on)
-    common = texts.select(F.explode(A.byte_grams(sizes, A.bitmap(pieces, "_piece"))(F.col("_text"))).alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_n"))
-    rarest = join(pieces, common, "_piece").groupBy("name", "_low", "_all").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_have"))
-    # a name with a piece that no text has is in none
-    rarest = stored(rarest.where("_have = _all").select("name", "_low", "_piece"), "rarest")
-    # of the texts' pieces only those are shuffled that are some name's rarest
-    there = texts.select("chunk_id", F.explode(A.byte_grams(sizes, A.bitmap(rarest, "_piece"))(F.col("_text"))).alias("_piece"))
-    met = join(join(there, rarest, "_piece").select("chunk_id", "name", "_low"), texts, "chunk_id")
-    return met.where(F.col("_text").contains(F.col("_low"))).select("chunk_id", "name").distinct()
+    own = stored(names.where(F.length("name") > 0).select("name", F.lower("name").alias("_low")).distinct(), "names")
+    sizes = sorted(r.n for r in own.select(F.octet_length("_low").alias("n")).distinct().collect())  # a few numbers
+    bits = A.bitmap(own.select(F.explode(A.spelling(F.col("_low"))).alias("_h")), "_h")
+    text = F.lower(F.coalesce(text_col, F.lit("")))
+    found = docs.select(F.col(id_col).alias("chunk_id"), F.explode(A.spelled(sizes, bits)(text)).alias("_found"))
+    # names and texts grow, so that neither side of the join goes through the driver
+    met = found.hint("merge").join(own.withColumn("_found", F.col("_low").cast("binary")).hint("merge"), "_found")
+    return met.select("chunk_id", "name")
 
 
 def related_concepts(found: DataFrame, attached: DataFrame) -> DataFrame:
     """(subject, predicate, object, confidence, chunk_id): each entity named in a text `relates_to` the concepts (chunk_id,
     concept_id) that the text holds; the first text of a relation counts."""
-    ids = found.select("chunk_id", F.concat_ws(":", "type", F.lower("text")).alias("subject")).distinct()
-    rows = ids.join(attached.select("chunk_id", F.col("concept_id").alias("object")).distinct(), "chunk_id")
+    ids = found.select("chunk_id", F.concat_ws(":", "type", F.lower("text")).alias("subject"))
+    # rows that repeat change no minimum, and are not shuffled for being found
+    rows = ids.join(attached.select("chunk_id", F.col("concept_id").alias("object")), "chunk_id")
     return rows.groupBy("subject", F.lit("relates_to").alias("predicate"), "object").agg(F.lit(0.80).alias("confidence"), F.min("chunk_id").alias("chunk_id"))
 
 

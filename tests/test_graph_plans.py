@@ -26,3 +26,32 @@ def test_names_meet_texts_without_a_broadcast(spark):
     got = N.named_in(docs, names, "id", "t")
     assert "BroadcastExchange" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [(1, "be"), (1, "beta"), (2, "be"), (2, "beta")]
+
+
+def test_names_are_found_where_the_texts_lie(spark):
+    docs = spark.createDataFrame([(k, f"Straße {k} Önder beta") for k in range(30)], "id bigint, t string")
+    names = spark.createDataFrame([("straße 1",), ("ÖNDER",), ("r b",), ("beta straße",), ("e",), ("önder beta and more",)], "name string")
+    got = N.named_in(docs, names, "id", "t")
+    # what is found and the names are shuffled once each, and no text is
+    assert plan(got).count("Exchange hashpartitioning") == 2 and "Contains(" not in plan(got) and "contains(" not in plan(got)
+    want = {(k, n) for k in range(30) for n in ("straße 1", "ÖNDER", "r b", "e") if n.lower() in f"straße {k} önder beta"}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_spelled_strings_over_windows(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.functions import arrays as A
+
+    names = ["a", "ab", "abc", "abcd", "abcdefgh", "bcdefghij" * 30, "zz", "é"]
+    hashes = A.spelling.func(pa.array(names)).flatten().to_numpy()
+    bits = np.zeros(1 << (A.BITMAP - 6), np.uint64)
+    at = A._places(hashes).astype(np.int64)
+    np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    monkeypatch.setattr(A, "WINDOW", 7)
+    texts = ["", "xabcdefgh" * 200, "ab", "c", "z", "zé", "bcdefghij" * 29, "bcdefghij" * 400]
+    got = A.spelled(sorted({len(n.encode()) for n in names}), bits).func(pa.array(texts).cast(pa.string()))
+    for text, found in zip(texts, got.to_pylist(), strict=True):
+        assert {n for n in names if n in text} == {n for n in names if n.encode() in found}
+        assert all(f in text.encode() for f in found) and len(set(found)) == len(found)
