@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -223,6 +223,7 @@ def inline_assets(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 
 BLOCKS = "document_id bigint, block_ord int, kind string, category string, heading_level int, section_path string, page int, start_offset bigint, end_offset bigint, tokens bigint, citations array<string>, content string"
+_BLOCK_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
 #: The category of each kind of block but a paragraph, which has that of its text.
 CATEGORY = {"code": "code", "equation": "equation", "table": "table", "figure": "figure", "list": "procedure"}
 OVERVIEW = "Document Overview"
@@ -260,6 +261,11 @@ def _kind(line: str, bare: str) -> str:
     return "list" if is_list_item(bare) else "paragraph"
 
 
+def page_mark(bare: str) -> re.Match | None:
+    """PAGE_MARK in a line, looked for only where one of its forms can be."""
+    return re.search(PAGE_MARK, bare) if "<!--" in bare or "[" in bare or bare.startswith("---") else None
+
+
 def _blocks(doc: int, text: str) -> list[tuple]:
     """The blocks of one document: what a line adds depends on those before it. Code and equations are kept whole, with
     blank lines and marks in them; blank lines don't end tables and lists; paragraphs have their true start."""
@@ -281,10 +287,10 @@ def _blocks(doc: int, text: str) -> list[tuple]:
             held.append(line)
             if bare.startswith(held[0].strip()[:3]) if kind == "code" else bare.endswith(("$$", "\\]")):
                 flush(after)
-        elif (mark := re.search(PAGE_MARK, bare)) or re.search(PAGE_BREAK, line):
+        elif (mark := page_mark(bare)) or (("<!--" in line or "\f" in line) and re.search(PAGE_BREAK, line)):
             flush(at)
             page = int(next(g for g in mark.groups() if g)) if mark else page + 1
-        elif head := re.match(HEADING, bare):
+        elif head := bare.startswith("#") and re.match(HEADING, bare):
             flush(at)
             level = len(head[1])
             path = [p for p in path if p[0] < level] + [(level, (head[2] or "").strip() or "Untitled Section")]
@@ -305,14 +311,14 @@ def _blocks(doc: int, text: str) -> list[tuple]:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of every document; each is parsed where its row lies, so nothing is shuffled and groups don't form."""
+    """Blocks of every document; each is parsed where its row lies, so nothing is shuffled and groups don't form, and a
+    worker gives blocks back text by text, so that its memory does not follow a batch."""
 
     def run(batches):
-        for batch in batches:
-            rows = [b for d, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True) for b in _blocks(int(d), t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+        pairs = ((d.as_py(), t.as_py() or "") for batch in batches for d, t in zip(batch.column(0), batch.column(1), strict=True))
+        yield from A.in_pieces(((len(t), _blocks(int(d), t)) for d, t in pairs), [c.split()[0] for c in BLOCKS.split(", ")], _BLOCK_TYPES)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, BLOCKS)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, BLOCKS)
 
 
 def greedy_groups(units: Column, budget: int) -> Column:
