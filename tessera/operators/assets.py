@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions import lexicon as L
 
 RECORDS = "document_id bigint, asset_id string, asset_type string, subtype string, asset_order int, start_offset bigint, end_offset bigint, line_no int, caption string, uri string, language string, headers array<string>, content string"
@@ -97,13 +98,13 @@ def _citations(p: Page):
     inside = False
     for start, line in zip(p.starts, p.lines, strict=False):
         bare = line.strip()
-        if re.match(L.BIBLIOGRAPHY_HEADING, bare):
-            inside = True
-        elif bare.startswith("#"):
-            inside = False
+        if bare.startswith("#"):
+            inside = re.match(L.BIBLIOGRAPHY_HEADING, bare) is not None
         elif inside and re.match(L.BIBLIOGRAPHY_ITEM, bare):
             yield cited("bibliography", start, start + len(line), bare)
     for start, line in zip(p.starts, p.lines, strict=False):
+        if "[^" not in line:  # neither form
+            continue
         if re.search(L.FOOTNOTE_TEXT, line.strip()):
             yield cited("footnote", start, start + len(line), line.strip())
         else:
@@ -112,6 +113,14 @@ def _citations(p: Page):
         yield from (cited(kind, *m.span(), m[0].strip()) for m in re.finditer(pattern, p.text))
 
 
+def bytes_before(text: str, places: list[int]) -> dict[int, int]:
+    """The number of bytes before each of the places, which are in order; each character is encoded once."""
+    if text.isascii():
+        return {at: at for at in places}
+    pieces = (len(text[a:b].encode("utf-8", "surrogatepass")) for a, b in zip([0, *places], places, strict=False))
+    return dict(zip(places, accumulate(pieces), strict=True))
+
+
 def find(text: str) -> list[tuple]:
     """(id, type, subtype, order, start, end, line, fields) of a text's assets and warnings, in the order of their places;
     ids are numbered by type in the order of the scans, places are bytes."""
@@ -127,7 +136,7 @@ def find(text: str) -> list[tuple]:
             rank = _ORDER.index(kind) if kind in count else len(_ORDER)
             out.append((a, rank, f"{L.ASSET_PREFIX[kind]}-{count[kind]}" if kind in count else None, kind, sub, b, fields))
     out.sort(key=lambda r: (r[3] == "warning", r[0], r[1]))  # stable: equal places stay in the order of the scans
-    size = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)] if not text.isascii() else range(len(text) + 1)
+    size = bytes_before(text, sorted({at for r in out for at in (r[0], r[5])}))
     order, rows = 0, []
     for a, _, name, kind, sub, b, fields in out:
         order += kind != "warning"
@@ -138,12 +147,12 @@ def find(text: str) -> list[tuple]:
 def assets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """RECORDS of every document: assets in document order, and warnings (asset_type `warning`, without id or order)."""
 
+    def rows(doc: int, text: str) -> list[tuple]:
+        return [(doc, *r[:7], *(r[7].get(k) for k in ("caption", "uri", "language", "headers", "content"))) for r in find(text)]
+
     def run(batches):
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(doc.as_py(), *r[:7], *(r[7].get(k) for k in ("caption", "uri", "language", "headers", "content"))) for r in find(text.as_py() or "")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+        pairs = ((d.as_py(), t.as_py() or "") for batch in batches for d, t in zip(batch.column(0), batch.column(1), strict=True))
+        yield from A.in_pieces(((len(t), rows(d, t)) for d, t in pairs), _NAMES, _TYPES)
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, RECORDS)
 
@@ -162,8 +171,10 @@ def placed(found: DataFrame, lines: DataFrame, pages: DataFrame, chunks: DataFra
     without a page is on page 1.
     """
     from tessera.operators.structure import overlaps
+    from tessera.sources.storage import stored
 
-    own = found.where("asset_type <> 'warning'").withColumns({"l_start": F.col("start_offset"), "l_end": F.col("end_offset"), "ord": F.col("line_no") - 1})
+    # three parts of the plan read the assets, and each would scan the texts for them
+    own = stored(found.where("asset_type <> 'warning'"), "assets").withColumns({"l_start": F.col("start_offset"), "l_end": F.col("end_offset"), "ord": F.col("line_no") - 1})
     key = ["document_id", "asset_id"]
     spans = own.select(*key, "l_start", "l_end")
     on_pages = overlaps(spans, pages, "document_id").groupBy(*key).agg(F.array_sort(F.collect_set("page_number")).alias("page_numbers"), F.min_by("page_number", "r_start").alias("page_number"))
