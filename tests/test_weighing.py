@@ -1,0 +1,43 @@
+"""Texts are weighed in blocks, and a part of many rows is written by several tasks."""
+
+import os
+
+import pyarrow as pa
+import pytest
+
+from tessera.operators import statistics as Z
+from tessera.sources.storage import Table
+
+
+def test_a_block_is_weighed_as_its_texts_are():
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    terms = [[{"term": "b", "tf": 2}, {"term": "a", "tf": 1}], [], None, [{"term": "a", "tf": 3}, {"term": "zz", "tf": 1}]]
+    texts = pa.table({"document_id": pa.array([1, 2, 3, 4]), "point_id": ["p"] * 4, "length": pa.array([3, 0, 0, 4], pa.int32()), "terms": pa.array(terms, kind), "avg_length": [3.5] * 4, "stats_version": ["v"] * 4})
+    known = pa.table({"term": ["a", "b", "zz", "a"], "idf": pa.array([0.5, 2.0, None, 0.5])})
+    got = Z._weigh_block(known, texts).to_pylist()
+    w = lambda idf, tf, n: pytest.approx(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 3.5)), rel=1e-6)
+    assert [r["terms"] for r in got] == [[{"term": "a", "tf": 1, "weight": w(0.5, 1, 3)}, {"term": "b", "tf": 2, "weight": w(2.0, 2, 3)}], [], [], [{"term": "a", "tf": 3, "weight": w(0.5, 3, 4)}, {"term": "zz", "tf": 1, "weight": None}]]
+    batch = pa.record_batch({"block": pa.array([7, 7, 8]), "terms": pa.array([["a", "b"], ["a"], ["a"]], pa.list_(pa.string()))})
+    assert sorted((r["block"], r["term"]) for b in Z._distinct_terms([batch]) for r in b.to_pylist()) == [(7, "a"), (7, "b"), (8, "a")]
+
+
+def test_weighing_collects_no_postings_by_text(spark, tmp_path):
+    stats = Z.Statistics(spark, f"{tmp_path}/s", 2)
+    stats.update(spark.createDataFrame([(1, "p", "a b a"), (2, "p", None)], "document_id long, point_id string, text string"))
+    plan = stats.postings()._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert sorted((r.document_id, r.term) for r in stats.postings().collect()) == [(1, "a"), (1, "b")]
+
+
+def test_a_part_of_many_rows_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "32k")
+    try:
+        t = Table(spark, f"{tmp_path}/t", "document_id bigint, s string", ("document_id",), 1)
+        t.commit(spark.range(20000, numPartitions=8).selectExpr("id AS document_id", "sha2(string(id), 256) AS s"))
+    finally:
+        spark.conf.set(key, held)
+    (folder,) = t.folders[0]
+    assert len([f for f in os.listdir(f"{tmp_path}/t/data/_commit={folder}/_part=0") if f.endswith(".parquet")]) > 1
+    assert t.read().count() == 20000
