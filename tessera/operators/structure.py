@@ -110,28 +110,36 @@ def outline(nodes: DataFrame) -> DataFrame:
     return out.select("document_id", "ord", "node_id", "level", "heading", "parent_ord", pages.alias("page_numbers")).unionByName(alone)
 
 
-def outline_warnings(nodes: DataFrame) -> DataFrame:
-    """(document_id, ord, message): empty headings, text before the first heading, and levels that are skipped."""
+def _warnings(nodes: DataFrame, preambles: bool, *more: Column) -> DataFrame:
+    """The messages of each node, and more: one pass over a document's nodes in their order gives them all."""
     marked, open_at = _open_headings(nodes)
+    order = W.partitionBy("document_id").orderBy("ord")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
     parent = F.lit(None).cast("int")
     for j, at in enumerate(open_at, 1):
         parent = F.when(at.isNotNull() & (F.lit(j) < F.col("level")), F.lit(j)).otherwise(parent)
-    heads = marked.withColumn("_parent", parent).where("level IS NOT NULL")
     name = F.when(F.col("heading") == "", "Untitled Section").otherwise(F.col("heading"))
-    empty = heads.where("heading = ''").select("document_id", "ord", F.format_string(L.EMPTY_HEADING, "page").alias("message"))
-    skipped = heads.where("level > _parent + 1").select("document_id", "ord", F.format_string(L.LEVEL_SKIPPED, F.col("_parent") + 1, F.col("level"), name).alias("message"))
-    first = nodes.groupBy("document_id").agg(F.min(F.when(F.col("level").isNull(), F.col("ord"))).alias("_text"), F.min(F.when(F.col("level").isNotNull(), F.struct("ord", "page"))).alias("_head"), F.max(F.struct("ord", "page")).alias("_end"))
-    at = F.coalesce("_head", "_end")
-    preamble = first.where("_text IS NOT NULL AND (_head IS NULL OR _text < _head.ord)").select("document_id", at["ord"].alias("ord"), F.format_string(L.PREAMBLE, at["page"]).alias("message"))
-    return empty.unionByName(skipped).unionByName(preamble)
+    empty = F.when(F.col("level").isNotNull() & (F.col("heading") == ""), F.format_string(L.EMPTY_HEADING, "page"))
+    skipped = F.when(F.col("level") > F.col("_parent") + 1, F.format_string(L.LEVEL_SKIPPED, F.col("_parent") + 1, F.col("level"), name))
+    marked = marked.withColumn("_parent", parent)
+    if preambles:  # stands at the first heading, or at the last node where there is none
+        marked = marked.withColumns({"_heads": F.count("level").over(upto), "_text": F.min(F.when(F.col("level").isNull(), F.col("ord"))).over(upto), "_more": F.lead(F.lit(True)).over(order)})
+        first = F.when(F.col("level").isNotNull(), (F.col("_heads") == 1) & (F.col("_text") < F.col("ord"))).otherwise((F.col("_heads") == 0) & F.col("_more").isNull())
+        more = (F.when(first, F.format_string(L.PREAMBLE, "page")), *more)
+    return marked.select("document_id", "ord", F.explode(F.array_compact(F.array(empty, skipped, *more))).alias("message"))
+
+
+def outline_warnings(nodes: DataFrame) -> DataFrame:
+    """(document_id, ord, message): empty headings, text before the first heading, and levels that are skipped."""
+    return _warnings(nodes, True)
 
 
 def layout_warnings(nodes: DataFrame) -> DataFrame:
     """outline_warnings of layout nodes without those of preambles, and pages below 1 and unknown types."""
     known = ["heading", "header", "paragraph", "text", "table", "code", "list"]
-    page = nodes.where("given_page < 1").select("document_id", "ord", F.format_string(L.AMBIGUOUS_PAGE, "given_page").alias("message"))
-    kind = nodes.where(~F.col("type").isin(*known)).select("document_id", "ord", F.format_string(L.UNMAPPED_NODE, "type", "page").alias("message"))
-    return outline_warnings(nodes).where("message NOT LIKE 'preamble%'").unionByName(page).unionByName(kind)
+    page = F.when(F.col("given_page") < 1, F.format_string(L.AMBIGUOUS_PAGE, "given_page"))
+    kind = F.when(~F.col("type").isin(*known), F.format_string(L.UNMAPPED_NODE, "type", "page"))
+    return _warnings(nodes, False, page, kind)
 
 
 def resolve_pages(nodes: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -40,13 +40,20 @@ def outline_warnings(spark, sf_dir):
 
 
 def _layouts(spark, sf_dir) -> DataFrame:
-    """Layouts of nodes and of pages, a document for each conversation and an entry for each turn."""
-    t = F.col("turn")
-    kind = F.when(t % 3 == 0, "heading").when(t % 3 == 1, "header").when(t % 6 == 2, "paragraph").otherwise("sidebar")
-    node = F.struct("turn", kind.alias("type"), F.when(t % 3 == 1, 2).alias("level"), F.col("text"), (t - 1).cast("int").alias("page"))
-    page = F.struct("turn", F.when(t % 3 > 0, t + 100).cast("int").alias("page_number"), F.when(t % 2 == 0, F.col("text")).alias("markdown"), F.when(t % 2 == 1, F.col("text")).alias("text"))
-    grouped = D._turns(spark, sf_dir).groupBy(F.col("conv_id").alias("document_id")).agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.array_sort(F.collect_list(page)).alias("pages"))
-    return grouped.select("document_id", F.to_json(F.struct("nodes", "pages")).alias("json_layout"), F.lit("").alias("markdown"))
+    """Layouts of nodes and of pages, a document for each conversation and an entry for each turn; a turn's text is
+    shuffled once."""
+    def node(x: Column) -> Column:
+        t = x["turn"]
+        kind = F.when(t % 3 == 0, "heading").when(t % 3 == 1, "header").when(t % 6 == 2, "paragraph").otherwise("sidebar")
+        return F.struct(t.alias("turn"), kind.alias("type"), F.when(t % 3 == 1, 2).alias("level"), x["text"].alias("text"), (t - 1).cast("int").alias("page"))
+
+    def page(x: Column) -> Column:
+        t = x["turn"]
+        return F.struct(t.alias("turn"), F.when(t % 3 > 0, t + 100).cast("int").alias("page_number"), F.when(t % 2 == 0, x["text"]).alias("markdown"), F.when(t % 2 == 1, x["text"]).alias("text"))
+
+    grouped = D._turns(spark, sf_dir).groupBy(F.col("conv_id").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    layout = F.struct(F.transform("turns", node).alias("nodes"), F.transform("turns", page).alias("pages"))
+    return grouped.select("document_id", F.to_json(layout).alias("json_layout"), F.lit("").alias("markdown"))
 
 
 def layout_outline(spark, sf_dir):
