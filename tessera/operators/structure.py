@@ -19,12 +19,14 @@ PAGE_BREAK = r"(?i)<!--\s*pagebreak\s*-->|\f"
 TARGET_TOKENS, MOST_TOKENS = 700, 1200
 
 
-def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(document_id, ord, line, start): lines from 0 on, with the byte offset of each.
+def lines(docs: DataFrame, id_col: str, text: Column, offsets: bool = True) -> DataFrame:
+    """(document_id, ord, line, start): lines from 0 on, with the byte offset of each; without offsets no start.
 
     Offsets are sums inside the document's own array, so no line is shuffled.
     """
     exploded = docs.select(F.col(id_col).alias("document_id"), F.split(text, "\n").alias("_l"))
+    if not offsets:
+        return exploded.select("document_id", F.posexplode("_l").alias("ord", "line"))
     exploded = exploded.withColumn("_s", A.sums_before(F.transform("_l", lambda x: F.octet_length(x).cast("bigint") + 1)))
     return exploded.select("document_id", F.posexplode(F.arrays_zip(F.col("_l").alias("line"), F.col("_s").alias("start"))).alias("ord", "z")).select("document_id", "ord", "z.line", "z.start")
 
@@ -60,11 +62,15 @@ def sections(rows: DataFrame) -> DataFrame:
 
 def marked_lines(rows: DataFrame) -> DataFrame:
     """Lines as nodes of an outline (document_id, ord, level, heading, page): level is null for content; page marks,
-    breaks and blank lines are left out."""
-    bare = X.bare(F.col("line"))
-    level = F.when(bare.rlike(HEADING), F.length(F.regexp_extract(bare, HEADING, 1)))
-    paged = page_of_lines(rows).where(~bare.rlike(PAGE_MARK) & ~F.col("line").rlike(PAGE_BREAK) & (bare != ""))
-    return paged.select("document_id", "ord", level.alias("level"), F.when(level.isNotNull(), X.bare(F.regexp_extract(bare, HEADING, 2))).alias("heading"), "page")
+    breaks and blank lines are left out. What a line says is read before its document is put in order, so that of texts
+    only headings are shuffled."""
+    bare = F.col("_bare")
+    own = rows.where(F.trim("line") != "").withColumn("_bare", X.bare(F.col("line")))
+    level = F.when(bare.startswith("#") & bare.rlike(HEADING), F.length(F.regexp_extract(bare, HEADING, 1)))
+    marked = own.select("document_id", "ord", *_page_marks(F.col("line")), level.alias("level"), (~(_says_page(bare) & bare.rlike(PAGE_MARK)) & (bare != "")).alias("_node"), "_bare")
+    heading = F.when(F.col("level").isNotNull(), X.bare(F.regexp_extract(bare, HEADING, 2)))
+    marked = marked.select("document_id", "ord", "_page", "_break", "level", heading.alias("heading"), (F.col("_node") & ~F.col("_break")).alias("_node"))
+    return _with_pages(marked).where("_node").select("document_id", "ord", "level", "heading", "page")
 
 
 def layout_nodes(raw: DataFrame) -> DataFrame:
@@ -177,13 +183,29 @@ def section_of_lines(rows: DataFrame) -> DataFrame:
     return marked.withColumn("section", F.coalesce(here, F.lit("Document Overview"))).drop("_h")
 
 
-def page_of_lines(rows: DataFrame) -> DataFrame:
-    """Each line with its page: the last explicit mark, and one more for each break since then."""
-    number = F.coalesce(*[F.nullif(F.regexp_extract("line", PAGE_MARK, k), F.lit("")) for k in (1, 2, 3)]).cast("int")
+def _says_page(line: Column) -> Column:
+    """Whether a line can hold a page mark at all: a plain search, since few lines do."""
+    return F.lower(line).contains("page")
+
+
+def _page_marks(line: Column) -> tuple[Column, Column]:
+    """The page that a line marks (_page) and whether it is a page break (_break)."""
+    number = F.coalesce(*[F.nullif(F.regexp_extract(line, PAGE_MARK, k), F.lit("")) for k in (1, 2, 3)]).cast("int")
+    marks, breaks = _says_page(line) & line.rlike(PAGE_MARK), (_says_page(line) | line.contains("\f")) & line.rlike(PAGE_BREAK)
+    return F.when(marks, number).alias("_page"), breaks.alias("_break")
+
+
+def _with_pages(marked: DataFrame) -> DataFrame:
+    """Lines (document_id, ord, _page, _break) with page instead of the marks."""
     order = W.partitionBy("document_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    marked = rows.withColumns({"_page": number, "_breaks": F.sum(F.when(F.col("line").rlike(PAGE_BREAK), 1).otherwise(0)).over(order)})
+    marked = marked.withColumn("_breaks", F.sum(F.when(F.col("_break"), 1).otherwise(0)).over(order))
     base = F.last(F.when(F.col("_page").isNotNull(), F.struct(F.col("_page").alias("p"), F.col("_breaks").alias("b"))), True).over(order)
-    return marked.withColumn("_base", base).withColumn("page", F.coalesce(F.col("_base.p") + F.col("_breaks") - F.col("_base.b"), F.col("_breaks") + 1).cast("int")).drop("_page", "_breaks", "_base")
+    return marked.withColumn("_base", base).withColumn("page", F.coalesce(F.col("_base.p") + F.col("_breaks") - F.col("_base.b"), F.col("_breaks") + 1).cast("int")).drop("_page", "_break", "_breaks", "_base")
+
+
+def page_of_lines(rows: DataFrame) -> DataFrame:
+    """Each line with its page: the last explicit mark, and one more for each break since then."""
+    return _with_pages(rows.select("*", *_page_marks(F.col("line"))))
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, cell_bytes: int = 4096) -> DataFrame:

@@ -34,7 +34,7 @@ def outline_nodes(spark, sf_dir):
 
 def outline_warnings(spark, sf_dir):
     """Documents that begin with text and skip a level at every third heading."""
-    rows = S.lines(D._docs(spark, sf_dir), "doc_id", F.col("text"))
+    rows = S.lines(D._docs(spark, sf_dir), "doc_id", F.col("text"), offsets=False)
     mark = F.concat(F.repeat(F.lit("#"), F.element_at(F.array(F.lit(1), F.lit(3), F.lit(2)), (F.floor(F.col("ord") / 6) % 3 + 1).cast("int"))), F.lit(" "))
     return S.outline_warnings(S.marked_lines(rows.withColumn("line", F.when(F.col("ord") % 6 == 1, F.concat(mark, "line")).otherwise(F.col("line")))))
 

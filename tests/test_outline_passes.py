@@ -57,3 +57,16 @@ def test_layout_warnings_read_layouts_once(spark):
         (1, 2, "heading level skipped: expected level 2 before level 3 for heading 'Untitled Section'"), (1, 3, "unmapped custom layout node type: 'aside' on page 4"),
     ]
     assert plan(got).count("Exchange hashpartitioning") == 1 and "Union" not in plan(got)
+
+
+def test_lines_are_not_shuffled(spark):
+    text = "\t\n \f\nx\n--- PAGE 7 ---\n  [Page 9] y\n## B \n<!-- PageBreak -->\nseen on page 3\n#\t\n#no\n<!--page:2--> and more\n####### seven\nend\f\nlast"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id long, t string")
+    nodes = S.marked_lines(S.lines(docs, "id", F.col("t"), offsets=False))
+    assert [tuple(r) for r in nodes.orderBy("ord").collect()] == [
+        (1, 2, None, None, 2), (1, 5, 2, "B", 9), (1, 7, None, None, 10), (1, 8, 1, "", 10), (1, 9, None, None, 10), (1, 11, None, None, 2), (1, 13, None, None, 3),
+    ]
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, S.marked_lines(S.lines(docs, "id", F.col("t"))).collect()))
+    assert "ArrowEvalPython" not in plan(nodes)
+    above, below = plan(nodes).split("Exchange hashpartitioning")
+    assert "RLIKE" not in above and "line#" not in above and "RLIKE" in below
