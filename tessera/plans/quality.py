@@ -17,6 +17,7 @@ from tessera.plans import documents as D
 from tessera.plans import search
 from tessera.plans.documents_sql import _GRAPH, _KW, _MENTIONS, _trim, _words
 from tessera.plans.search import _BM25, _DENSE, _METRICS
+from tessera.sources.storage import stored
 from tessera.sources.tables import table
 
 
@@ -177,9 +178,9 @@ def model_sweep(spark, sf_dir):
     """Two models and two budgets over dense candidates; queries divisible by 100 are not reranked."""
     points = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     hits = search._dense(spark, sf_dir).join(points.select(F.col("vec_id").alias("id"), F.col("label").alias("_a")), "id").join(points.select(F.col("vec_id").alias("query_id"), F.col("label").alias("_b")), "query_id")
-    ranked = hits.select("query_id", "id", "rank", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("relevant"))
+    ranked = stored(hits.select("query_id", "id", "rank", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("relevant")), "ranked")  # read three times
     models = ranked.select("query_id", "id", F.explode(F.array(F.struct(F.lit("far").alias("model"), F.col("rank").cast("double").alias("score")), F.struct(F.lit("mod").alias("model"), (F.col("id") % 7).cast("double").alias("score")))).alias("m")).select("query_id", "id", "m.*")
-    totals = search._judged(spark, sf_dir)[1].select("query_id", "n")
+    totals = search._totals(spark, sf_dir).select("query_id", "n")
     out = E.sweep(ranked, models, [5, 10], totals, 5, ranked.where("query_id % 100 <> 0").select("query_id").distinct())
     return out.groupBy("model", "candidates").agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "mrr", "ndcg")])
 
