@@ -78,7 +78,7 @@ def keywords(counts: DataFrame, by: list[str], k: int = 15) -> DataFrame:
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(chunk_id, text, type, confidence): organisations by their endings and known names by their triggers, once each."""
-    low = F.lower(text_col)
+    docs, low = docs.select(id_col, text_col, F.lower(text_col).alias("_low")), F.col("_low")  # once for all names
     organisations = F.transform(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(ORGANISATION), F.lit(1)), X.bare)), lambda t: F.struct(t.alias("text"), F.lit("organization").alias("type"), F.lit(0.85).alias("confidence")))
     known = F.array_compact(F.array(*[F.when(low.contains(t), F.struct(F.lit(n).alias("text"), F.lit(k).alias("type"), F.lit(c).alias("confidence"))) for t, n, k, c in L.KNOWN_NAMES]))
     return docs.select(F.col(id_col).alias("chunk_id"), F.inline(F.concat(organisations, known)))

@@ -47,9 +47,19 @@ def entity_nodes(mentions: DataFrame, floor: float = 0.9) -> DataFrame:
     """(name, canonical_name, entity_type, score, evidence) of mentions (chunk_id, text, type): 0.8 and 0.1 for each
     further mention, 1 at most; below floor a node is left out. The first mention gives name and type, evidence is the
     number of chunks, which stay rows (`node_evidence`) however many there are."""
+    return nodes_of_chunks(names_in_chunks(mentions), floor)
+
+
+def names_in_chunks(mentions: DataFrame) -> DataFrame:
+    """(name, chunk_id, f, n): each name of a chunk once, with its first mention and their number; name and chunk_id are
+    what `node_evidence` gives."""
     name = F.lower(F.trim("text"))
     first = F.min_by(F.struct("text", "type"), F.struct("chunk_id", "text", "type"))
-    per_chunk = mentions.where(name != "").groupBy(name.alias("name"), "chunk_id").agg(first.alias("f"), F.count("*").alias("n"))
+    return mentions.where(name != "").groupBy(name.alias("name"), "chunk_id").agg(first.alias("f"), F.count("*").alias("n"))
+
+
+def nodes_of_chunks(per_chunk: DataFrame, floor: float = 0.9) -> DataFrame:
+    """`entity_nodes` from `names_in_chunks`."""
     nodes = per_chunk.groupBy("name").agg(F.min_by("f", "chunk_id").alias("f"), F.sum("n").alias("n"), F.count("*").alias("evidence"))
     score = F.round(F.least(F.lit(1.0), 0.8 + 0.1 * (F.col("n") - 1)), 6)
     return nodes.select("name", F.col("f.text").alias("canonical_name"), F.col("f.type").alias("entity_type"), score.alias("score"), "evidence").where(F.col("score") >= floor)

@@ -20,6 +20,29 @@ def test_graph_search_broadcasts_nothing(spark):
     assert ids == {1: [0, 1, 2], 2: [0, 1, 2], 3: []}
 
 
+def test_graph_search_finds_nodes_once(spark, monkeypatch):
+    chunks = spark.range(400).select(F.col("id").alias("chunk_id"), F.when(F.col("id") % 4 < 3, "rick rubin").otherwise(F.concat(F.lit("anton"), (F.col("id") % 40).cast("string"), F.lit(" holding"))).alias("name"))
+    nodes = chunks.groupBy("name").agg(F.lit(1.0).alias("score"), F.count("*").alias("evidence"))
+    queries = spark.range(0, 40).select(F.col("id").alias("query_id"), F.concat(F.lit("What about anton"), F.col("id").cast("string"), F.lit(" and rubin?")).alias("q"))
+    calls, names = [], N.named_in
+    monkeypatch.setattr(N, "named_in", lambda *a: calls.append(1) or names(*a))
+    got = R.graph_search(queries, nodes, chunks, 5)
+    # the nodes of the questions lie in a table: their search and its Python are in no branch of the plan
+    assert "ArrowEvalPython" not in plan(got) and len(calls) == 1
+    where = {}
+    for r in chunks.collect():
+        where.setdefault(r["name"], set()).add(r.chunk_id)
+    want = set()
+    for q in range(40):
+        score = {}
+        for name, ids in where.items():
+            met = (f"anton{q}" in name) + ("rubin" in name)
+            for i in ids if met else ():
+                score[i] = score.get(i, 0) + met / 2
+        want |= {(q, i, k) for k, (i, _) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5], 1)}
+    assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
+
+
 def test_names_meet_texts_without_a_broadcast(spark):
     docs = spark.createDataFrame([(1, "Alpha beta"), (2, "betamax"), (3, None)], "id bigint, t string")
     names = spark.createDataFrame([("beta",), ("be",), ("gamma",)], "name string")
